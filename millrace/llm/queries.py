@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .linededup import dedup_lines
+from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,25 @@ m AS (SELECT k.doc_id, k.i, k.line, r.key IS NOT NULL AND r.first <> k.doc_id AS
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike to 80 percent."""
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words_each=2)
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
+ORACLES["op7_minhash_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+t AS (SELECT doc_id, len(sh) AS n, list_sort(sh) AS sh FROM s),
+c AS (SELECT min(doc_id) AS node, n, sh FROM t WHERE n > 0 GROUP BY n, sh),
+e AS (SELECT node, n, unnest(sh) AS x FROM c),
+p AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+      FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n) GROUP BY ALL HAVING 100 * k >= 80 * (na + nb - k)),
+g AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, root) AS (SELECT node, node FROM c UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node WHERE r.root < g.b),
+q AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT t.doc_id, t.n AS n_shingles, coalesce(q.root, t.doc_id) AS component_id, coalesce(q.root, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN c ON t.n > 0 AND t.sh = c.sh LEFT JOIN q ON c.node = q.node"""
