@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Entries of each of the two generations of a worker's memory.
 GENERATION = 150_000
+_NONE = float("inf")
 
 
 class MergeModel:
@@ -47,18 +48,26 @@ class MergeModel:
         self.end, self.unknown = sp.eos_id(), sp.unk_id()
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score) or any("\n" in p and len(p) > 1 for p in self.score):
             raise ValueError("a piece of this vocabulary runs over a word start: segments would not be independent")
-        if sp.encode("a") != sp.encode(" a")[1:] and self.pieces[sp.encode("a")[0]][:1] != SPACE:
+        if self.pieces[sp.encode("a")[0]][:1] != SPACE:
             raise ValueError("only models that put a space before the text are supported")
+        self.find_segments = re.compile(self.segment_pattern()).findall
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
+    def segment_pattern(self) -> str:
+        """Segments end before a space, at a line break, and before signs that no piece has behind other characters."""
+        cut = set("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
+        while bad := {b for p in self.score for a, b in zip(p, p[1:], strict=False) if b in cut and a not in cut and a != SPACE}:
+            cut -= bad
+        signs, rest = f"[{re.escape(''.join(sorted(cut)))}]" if cut else "(?!)", f"[^{SPACE}\n{re.escape(''.join(sorted(cut)))}]"
+        return f"{SPACE}+(?:{signs}[^{SPACE}\n]*|{rest}*)|{signs}[^{SPACE}\n]*|{rest}+|\n"
+
     def encode_segment(self, text: str) -> list[int]:
         """Ids of one segment, by the agenda."""
-        if text in self.id:  # a whole piece need not be the result of merges: see below
-            pass
         symbols = list(text)
-        n, score = len(symbols), self.score
-        get = score.get
+        n, get = len(symbols), self.score.get
+        if n <= 40:
+            return self.ids_of(self.merge_short(symbols))
         agenda = [(s, i, i + 1, p) for i in range(n - 1) if (s := get(p := symbols[i] + symbols[i + 1])) is not None]
         if agenda:
             heapq.heapify(agenda)
@@ -80,6 +89,23 @@ class MergeModel:
                     p = symbols[lead] + piece
                     if (s := get(p)) is not None:
                         push(agenda, (s, lead, left, p))
+        return self.ids_of(symbols)
+
+    def merge_short(self, symbols: list[str]) -> list[str]:
+        """The agenda of a short segment is a plain list by position: its minimum is found faster than a heap is kept."""
+        get, none = self.score.get, _NONE
+        agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) is not none:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         ids = self.id
         for x in symbols:
@@ -110,7 +136,8 @@ class MergeModel:
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
     def segments(self, text: str) -> list[str]:
-        return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Parts of the text that encode on their own; the text begins with a space that is put in front."""
+        return self.find_segments(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, wanted: set[str]) -> None:
         """Put the segments into the young generation, checked against the library."""
@@ -125,12 +152,11 @@ class MergeModel:
             self.young[x] = (len(ids), "".join([f" {i}" for i in ids]), self.decode_segment(ids))
 
     def decode_segment(self, ids: list[int]) -> str:
-        return self.decode([*self.byte_or_mark, *ids])[1:] if self.byte_or_mark else self.decode(ids)
-
-    @property
-    def byte_or_mark(self) -> list[int]:
-        """Ids that decode to one character and keep the next piece from being the first."""
-        return [self.id["."]] if "." in self.id else []
+        """Text of a segment's ids with all of its spaces."""
+        if self.id_byte.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        lead = self.library.encode("\n")[0]  # the mark of a space, which decoding takes away again
+        return self.decode([lead, *ids])
 
     def recall(self, wanted: set[str]) -> None:
         """Bring all wanted segments into the young generation; the old one is forgotten when the young is full."""
@@ -144,9 +170,6 @@ class MergeModel:
             self.learn(missing)
 
 
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-
-
 def decode_bytes(run: bytes) -> str:
     """Bytes as text; each byte that is not part of valid UTF-8 becomes U+FFFD, as in the library."""
     out, i = [], 0
