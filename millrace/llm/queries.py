@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .linededup import dedup_lines
 from .minhash import near_duplicates
+from .mixing import mix, words
 from .sentencepiece_codec import encode_decode
+from .tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,32 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of byte-level BPE tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    out = mix(table(spark, sf_dir, "documents"), F.array("source"), words(F.col("text")))
+    return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mix_sources"] = """
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * size::DOUBLE / w, source) AS k, sum(size) OVER () AS total, sum(w) OVER () AS weights FROM s),
+c AS (SELECT *, coalesce(sum(3 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM o),
+f AS (SELECT min(k) AS k FROM c WHERE (total - capped) * w <= 3 * size * (weights - gone)),
+z AS (SELECT c.k, c.total - c.capped AS rest, c.weights - c.gone AS left_ FROM c JOIN f USING (k)),
+t AS (SELECT c.source, c.size AS source_size, CASE WHEN c.k < z.k THEN (3 * c.size)::DOUBLE ELSE (z.rest * c.w)::DOUBLE / z.left_ END AS target FROM c, z),
+q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT % source_size END AS rest FROM t),
+r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.passes, q.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, ((passes + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the one with the smallest id."""
