@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .mixing import mix, words
 from .sentencepiece_codec import encode_decode
 from .tokencount import count_tokens
+from .toxicity import held_out, learn, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a classifier trained on the label model's posteriors."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of byte-level BPE tokens of every document."""
