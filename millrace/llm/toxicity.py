@@ -111,6 +111,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tupl
         spread = np.sqrt(np.diag(centred)) + 1e-9
         correlation = centred / np.outer(spread, spread)
         weight = 1 / np.maximum((correlation**2).sum(1), 1)
+        weight[-1] = 1  # a given label is evidence of its own
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -160,7 +161,7 @@ def _training_rows(model, posterior, index, text_col: str):
     return run
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_000, least_support: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_000, least_support: int = 5, least_odds: float = 2.0, least_ratio: float = 22.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from rows (id, text, label 0/1), at most about ``max_rows`` of them by a hash of the id."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
@@ -177,12 +178,16 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
         share = (bad + 0.5) / (good + bad + 1)
         return Model(bias=math.log(share / (1 - share)))
     seen = sample.mapInArrow(_feature_rows("text"), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least_support)
-    odds = F.log((F.col("k") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("k") + 0.5) / (good + 1))
-    error = F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("n") - F.col("k") + 0.5))
-    chosen = seen.select("feature", odds.alias("odds"), (odds / error).alias("z")).orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()
+    # toxic features: much commoner in toxic rows, by more than chance leaves among so many (likelihood ratio)
+    base = bad / (good + bad)
+    k, n_k = F.col("k"), F.col("n") - F.col("k")
+    odds = F.log((k + 0.5) / (bad + 1)) - F.log((n_k + 0.5) / (good + 1))
+    ratio = 2 * (k * F.log(F.greatest(k, F.lit(1)) / (F.col("n") * base)) + n_k * F.log(F.greatest(n_k, F.lit(1)) / (F.col("n") * (1 - base))))
+    strong = seen.select("feature", odds.alias("odds"), ratio.alias("ratio")).where(f"odds > {least_odds} AND ratio > {least_ratio}")
+    strong = strong.orderBy(F.desc("ratio"), "feature").limit(max_features).collect()
 
     # lexicons: toxic features by kind and by strength, each strength dealt to two voters
-    strong = sorted((r for r in chosen if r["z"] > 3 and r["odds"] > 2), key=lambda r: (-r["odds"], r["feature"]))
+    strong.sort(key=lambda r: (-r["odds"], r["feature"]))
     model = Model()
     for kind in "wpq":
         own = [r["feature"] for r in strong if r["feature"][0] == kind]
@@ -198,13 +203,13 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     post, _ = label_model(votes, np.array([r["count"] for r in patterns], float))
     posterior = spark.sparkContext.broadcast({r["votes"]: float(p) for r, p in zip(patterns, post, strict=True)})
 
-    names = sorted(r["feature"] for r in chosen if abs(r["z"]) > 2)
+    names = sorted(r["feature"] for r in strong)
     index = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
     width = len(names) + votes.shape[1] - 1
     vector = udf(lambda at, values: Vectors.sparse(width, at, values), VectorUDT())
     training = sample.mapInArrow(_training_rows(shared, posterior, index, "text"), "label double, weight double, at array<int>, values array<double>")
     training = stored(training.select("label", "weight", vector("at", "values").alias("features")), "training")
-    fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=60, standardization=False).fit(training)
+    fitted = LogisticRegression(weightCol="weight", regParam=3e-5, maxIter=100, standardization=False).fit(training)
     c = fitted.coefficients.toArray()
     model.weights = {x: float(w) for x, w in zip(names, c[: len(names)], strict=True) if w}
     model.vote_weights = [float(w) for w in c[len(names) :]]
