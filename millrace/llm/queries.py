@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .linededup import dedup_lines
+from .media import store_and_read
 from .minhash import near_duplicates
 from .mixing import mix, words
 from .sentencepiece_codec import encode_decode
 from .tokencount import count_tokens
 from .toxicity import held_out, learn, score
+from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +42,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a sharded archive and read back."""
+    out = read_warc(*write_warc(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+b AS (SELECT page_id, payload_bytes, translate(array_to_string(list_transform(range(8), lambda k: to_base(('0x' || substr(hex, 5 * k + 1, 5))::BIGINT, 32, 4)), ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
+@query
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as chunked media, rebuilt, and described from what was read back."""
+    return store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of byte-level BPE tokens of every document."""
