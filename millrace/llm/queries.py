@@ -14,6 +14,7 @@ from .media import store_and_read
 from .minhash import near_duplicates
 from .mixing import mix, words
 from .sentencepiece_codec import encode_decode
+from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 from .toxicity import held_out, learn, score
 from .warc import read_warc, write_warc
@@ -63,6 +64,13 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that occur elsewhere too."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of byte-level BPE tokens of every document."""
