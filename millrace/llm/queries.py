@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hnsw import near_vectors
 from .linededup import dedup_lines
 from .media import store_and_read
 from .minhash import near_duplicates
@@ -71,6 +72,23 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op10_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors whose cosine is 0.95 or more."""
+    out = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("doc").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
+ORACLES["op10_hnsw_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node WHERE r.root < p.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, c.root AS component_id, c.root = v.vec_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of byte-level BPE tokens of every document."""
