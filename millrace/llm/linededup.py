@@ -13,7 +13,8 @@ the result stays exact.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points always stay;
 documents with the same id are one document; a null id sorts after all others; repeated rows give repeated
-results; an empty table gives an empty one. Other columns are not read.
+results; an empty table gives an empty one. Other columns pass
+through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import stored, texts
 
@@ -113,11 +115,11 @@ def _suspects(min_chars: int, bits: int, hashes: int, twice, id_col: str, text_c
     return run
 
 
-def _apply(min_chars: int, text_col: str, schema: pa.Schema):
+def _apply(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n_lines, n_dropped = [], [], []
-            for text, drops in zip(texts(batch, text_col), batch.column("_drops").to_pylist(), strict=True):
+            for text, drops in zip(texts(batch, "text"), batch.column("drops").to_pylist(), strict=True):
                 lines = text.split("\n")
                 n_lines.append(len(lines))
                 if drops:
@@ -126,14 +128,13 @@ def _apply(min_chars: int, text_col: str, schema: pa.Schema):
                     text = "\n".join(lines)
                 n_dropped.append(n_lines[-1] - len(lines))
                 out.append(text)
-            columns = [batch.column(c) for c in batch.schema.names if c not in ("_doc", "_drops", text_col)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*(c for c in batch.schema.names if c not in ("_doc", "_drops", text_col)), "_kept", "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "kept", "n_lines", "n_dropped"])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27, hashes: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_kept`` (text without dropped lines), ``_n_lines``, ``_n_dropped`` in place of the text.
+    """Rows (row, kept, n_lines, n_dropped): ``row`` holds all other columns of ``docs``, ``kept`` the text that stays.
 
     Lines whose key has ``min_chars`` code points and stands in at least two documents stay only in the one with
     the smallest id. ``bits`` and ``hashes`` shape the filters and change no result.
@@ -151,7 +152,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27, ha
     suspects = stored(narrow.mapInArrow(_suspects(min_chars, bits, hashes, twice, id_col, text_col), "doc bigint, k1 bigint, k2 bigint"), "suspects")
     first = stored(suspects.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "repeats")
     drops = suspects.join(first, ["k1", "k2"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
-    marked = docs.withColumn("_doc", F.coalesce(F.col(id_col), F.lit(_LAST))).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_kept string, _n_lines bigint, _n_dropped bigint"])
-    return marked.mapInArrow(_apply(min_chars, text_col, None), schema)
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc"))
+    marked = rows.join(drops.withColumnRenamed("_drops", "drops"), "doc", "left")
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("kept string, n_lines bigint, n_dropped bigint").fields])
+    return marked.select("row", "text", "drops").mapInArrow(_apply(min_chars), schema)

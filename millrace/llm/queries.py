@@ -41,7 +41,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a classifier trained on the label model's posteriors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query
@@ -119,7 +119,7 @@ SELECT doc_id, size, source_size, target, ((passes + CASE WHEN 2 * upto - size <
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the one with the smallest id."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: chr(9) to chr(13) and the blank, as DuckDB's trim takes them.

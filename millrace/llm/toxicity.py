@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stored, texts
 
@@ -217,21 +218,20 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     return model
 
 
-def _scores(model, text_col: str):
+def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            scores = pa.array([m.score(x) for x in texts(batch, text_col)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([m.score(x) for x in texts(batch, "text")], pa.float64())], names=["row", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_score``: 0 to 1, the higher the likelier toxic."""
+    """Rows (row, score): all columns of ``docs`` in a struct, and 0 to 1, the higher the likelier toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_score double"])
-    return docs.mapInArrow(_scores(shared, text_col), schema)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_scores(shared), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
