@@ -1,0 +1,53 @@
+import pytest
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_all_eleven_queries_are_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} >= {f"op{k}" for k in range(1, 11)}
+
+
+def test_pipeline_stages_keep_the_columns_and_every_decision(spark):
+    import corpus_pipeline
+    from millrace.llm.common import stored
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SMALL), name)
+        assert docs.columns == columns
+        counts.append(docs.count())
+    assert counts[0] >= counts[1] == counts[2] >= counts[3] > 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert last.count() == counts[-1]
+
+
+def test_pipeline_takes_odd_rows(odd, spark):
+    import corpus_pipeline
+    from millrace.llm.common import stored
+
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stored(stage(spark, docs, SMALL), name)
+        assert docs.columns == odd.columns
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op6_mix_sources", "op7_minhash_near_dedup", "op9_line_dedup", "op10_hnsw_near_dedup"])
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    theirs = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = sorted(c[0] for c in theirs.description)
+    place = [[c[0] for c in theirs.description].index(c) for c in columns]
+    want = sorted(repr(tuple(r[i] for i in place)) for r in theirs.fetchall())
+    got = __spark_entry__.queries()[name](spark, SMALL)
+    assert sorted(got.columns) == columns
+    assert sorted(repr(tuple(r)) for r in got.select(columns).collect()) == want
