@@ -4,7 +4,7 @@ Equal vectors are one node from the start. Nodes are dealt to shards of bounded
 in one task: nodes enter by falling level, so that every layer is a prefix, in batches that search the graph as it
 stands and each other directly, and keep diverse neighbours. Every node is then a query to every shard, in blocks.
 A beam walks all queries of a block in step. A query whose beam holds nothing but links is searched again with
-twice the beam; so is the whole block until an audit, brute force for a hashed sample of its queries over the whole
+twice the beam, or, where that would grow too wide, compared with the whole shard; so is the block until an audit, brute force for a hashed sample of its queries over the whole
 shard, finds the recall it asks for. Found pairs are verified as double-precision cosines, links are united from
 both sides, and components follow.
 
@@ -35,7 +35,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def beam(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Best ``width`` nodes (-1: none) and their similarities for each query, walking all queries in step.
 
     ``near`` holds each node's neighbours, -1 where there are fewer; ``entries`` the nodes to begin from.
@@ -61,7 +61,7 @@ def beam(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, entries: np
         live, open_ = live[live_now], open_[live_now]
         if not len(live):
             break
-        k = min(at_once, width)
+        k = min(max(4, width // 16), width)
         pick = np.argpartition(-open_, k - 1, axis=1)[:, :k]
         usable = np.take_along_axis(open_, pick, axis=1) > _NONE
         done[live[:, None], pick] = True
@@ -134,7 +134,29 @@ class Graph:
             near[begin:end] = chosen = diverse(v, ids, sims, most)
             self._back(near, np.repeat(np.arange(begin, end, dtype=np.int32), most), chosen.reshape(-1), most)
             begin = end
-        self.layers[k] = near
+        self.layers[k] = self._bridged(near, width)
+
+    def _bridged(self, near: np.ndarray, width: int, rounds: int = 12) -> np.ndarray:
+        """A column more, with edges to nodes that cannot be reached from the first node, from the nearest that can."""
+        near = np.concatenate([near, np.full((len(near), 1), -1, near.dtype)], axis=1)
+        for _ in range(rounds):
+            reached, front = np.zeros(len(near) + 1, bool), np.zeros(1, np.int64)
+            reached[[0, -1]] = True  # the last place takes the -1
+            while len(front):
+                front = np.unique(near[front])
+                front = front[~reached[front]]
+                reached[front] = True
+            lost = np.flatnonzero(~reached[:-1])
+            if not len(lost):
+                break
+            for lo in range(0, len(lost), 256):
+                part = lost[lo : lo + 256]
+                ids, sims = beam(self.vectors, near, self.vectors[part], np.zeros((len(part), 1), np.int32), width)
+                sims[(ids < 0) | (near[ids, -1] >= 0) | ~reached[ids]] = _NONE
+                at = sims.argmax(axis=1)
+                good = sims[np.arange(len(part)), at] > _NONE
+                near[ids[np.arange(len(part)), at][good], -1] = part[good]  # of several, the last stays
+        return near
 
     def _back(self, near: np.ndarray, source: np.ndarray, target: np.ndarray, most: int) -> None:
         """Edges from the targets back to the sources; a node with too many keeps diverse ones."""
@@ -186,27 +208,35 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Graph]:
     return held["nodes"], held["raw"], graph
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (query, node) of float32 cosines that may reach ``least``, with the beams widened as described above."""
+def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, most_width: int = 512, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (query, node) of float32 cosines that may reach ``least``, with the beams widened as described above.
+
+    What would need a beam wider than ``most_width`` is compared with the whole shard instead.
+    """
     n, floor = len(graph.vectors), np.float32(least - 1e-5)
-    truth = queries[audit] @ graph.vectors.T >= floor
+    truth = queries[audit] @ graph.vectors.T >= floor + np.float32(1e-5)  # surely links, whatever the rounding
+    place = np.full(len(queries), -1)
+    place[audit] = np.arange(len(audit))
     while True:
-        out_q, out_n, hits = [], [], np.zeros(truth.shape, bool)
+        out_q, out_n = [], []
         for lo in range(0, len(queries), together):
-            todo, wide = np.arange(lo, min(lo + together, len(queries))), min(width, n)
+            todo, wide = np.arange(lo, min(lo + together, len(queries))), width
             while len(todo):
+                if wide >= min(n, most_width):
+                    rows, nodes = np.nonzero(queries[todo] @ graph.vectors.T >= floor)
+                    out_q.append(todo[rows])
+                    out_n.append(nodes)
+                    break
                 ids, sims = graph.search(queries[todo], wide)
-                full = (sims >= floor).all(axis=1) & (wide < n)  # nothing but links: there may be more
+                full = (sims >= floor).all(axis=1)  # nothing but links: there may be more
                 rows, at = np.nonzero((sims >= floor) & ~full[:, None])
                 out_q.append(todo[rows])
                 out_n.append(ids[rows, at])
-                todo, wide = todo[full], min(wide * 2, n)
+                todo, wide = todo[full], wide * 2
         found_q, found_n = np.concatenate(out_q), np.concatenate(out_n)
-        place = np.full(len(queries), -1)
-        place[audit] = np.arange(len(audit))
-        own = place[found_q] >= 0
+        own, hits = place[found_q] >= 0, np.zeros(truth.shape, bool)
         hits[place[found_q[own]], found_n[own]] = True
-        if width >= n or (hits & truth).sum() >= recall * truth.sum():
+        if width >= min(n, most_width) or (hits & truth).sum() >= recall * truth.sum():
             return found_q, found_n
         width *= 2
 
@@ -229,7 +259,7 @@ def _search_block(least: float, width: int, recall: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 32, recall: float = 0.99, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, recall: float = 0.995, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (doc, n_links, component), one for each row of ``vectors``; links are cosines of at least ``least``.
 
     ``width`` is the beam to begin with, ``recall`` what each block's audit must find. A shard has about
