@@ -13,6 +13,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import uuid
 import zlib
@@ -87,7 +88,7 @@ def _chunked(batch: pa.RecordBatch, text_col: str, shape: tuple[int, int, int])
             group, held, first = [], 0, i + 1
 
 
-def _chunks(text_col: str, shape: tuple[int, int, int], level: int):
+def _chunks(text_col: str, shape: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, bytes] = {}
@@ -96,7 +97,7 @@ def _chunks(text_col: str, shape: tuple[int, int, int], level: int):
                 for a, b in zip([0, *ends[:-1]], ends, strict=True):
                     digest = xxhash.xxh3_128_digest(media[a:b])
                     if digest not in found:
-                        found[digest] = zlib.compress(media[a:b], level)
+                        found[digest] = bz2.compress(media[a:b])
                         held += len(found[digest])
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pydict({"digest": pa.array(found, pa.binary()), "data": pa.array(found.values(), pa.binary())})
@@ -155,7 +156,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if place == 0:
                 copies += 1
             if place != last:
-                parts.append(zlib.decompress(data))
+                parts.append(bz2.decompress(data))
                 last = place
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
@@ -165,7 +166,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most: int = 32768, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as chunked media and read it back: rows (doc, n_bytes, payload_..., media_..., feature).
 
     Chunks have ``least`` to ``most`` bytes and about 2 ** ``bits`` more than the least on average.
@@ -174,7 +175,7 @@ def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most:
     narrow = docs.select(id_col, text_col)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"millrace_chunks_{uuid.uuid4().hex}", scratch(spark, "chunks")
-    chunks = narrow.mapInArrow(_chunks(text_col, shape, level), "digest binary, data binary")
+    chunks = narrow.mapInArrow(_chunks(text_col, shape), "digest binary, data binary")
     with _shuffles_go_when_written(spark):
         distinct = chunks.groupBy("digest").agg(F.first("data").alias("data"))
         distinct.write.option("compression", "none").option("path", path).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
