@@ -160,7 +160,7 @@ def write_warc(records: DataFrame, *, uri: str | None = None, shard_bytes: int =
     both = rows.select("page", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("bigint").alias("refers_to"), F.lit(None).cast("string").alias("digest")).unionByName(
         marks.select("page", F.lit(0).alias("kind"), "refers_to", "digest"), allowMissingColumns=True
     )
-    dealt = both.withColumn("shard", shard).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page", "kind", "url", "payload")
+    dealt = both.withColumn("shard", shard).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page", "kind", "url", "payload")
     manifest = stored(dealt.mapInArrow(_write(uri, roll_bytes, level), _MANIFEST), "manifest")
     manifest.mapInArrow(_commit(uri), "n bigint").agg(F.sum("n")).collect()
     fs.delete_dir(f"{root}/_temporary")
