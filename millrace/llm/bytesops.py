@@ -29,7 +29,7 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 3 << 19)
         with np.errstate(over="ignore"):
             _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(n - 1, _BASE, U)]))
             _INVERSES = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(n - 1, _INVERSE, U)]))

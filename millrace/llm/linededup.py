@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored, texts
+from .common import stored, texts, tidy
 
 _STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LAST = (1 << 63) - 1
@@ -142,18 +142,18 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27, ha
     spark = docs.sparkSession
     narrow = docs.select(id_col, text_col)
     layout = "slice int, salt int, once binary, twice binary"
-    parts = narrow.mapInArrow(_bloom_slices(min_chars, bits, hashes, id_col, text_col), layout)
-    merged = parts.repartition("slice", "salt").mapInArrow(_merge, layout).withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(_merge, layout)
+    parts = narrow.mapInArrow(tidy(_bloom_slices(min_chars, bits, hashes, id_col, text_col)), layout)
+    merged = parts.repartition("slice", "salt").mapInArrow(tidy(_merge), layout).withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(tidy(_merge), layout)
     bitmap = bytearray(-(-bits // 8))
     for r in merged.select("slice", "twice").collect():  # 64 slices of 256 KB, whatever the input
         begin = r["slice"] * _SLICE_BITS // 8
         bitmap[begin : begin + _SLICE_BITS // 8] = zlib.decompress(bytes(r["twice"]))[: len(bitmap) - begin]
     twice = spark.sparkContext.broadcast(bytes(bitmap))
-    suspects = stored(narrow.mapInArrow(_suspects(min_chars, bits, hashes, twice, id_col, text_col), "doc bigint, k1 bigint, k2 bigint"), "suspects")
+    suspects = stored(narrow.mapInArrow(tidy(_suspects(min_chars, bits, hashes, twice, id_col, text_col)), "doc bigint, k1 bigint, k2 bigint"), "suspects")
     first = stored(suspects.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "repeats")
     drops = suspects.join(first, ["k1", "k2"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
     others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc"))
     marked = rows.join(drops.withColumnRenamed("_drops", "drops"), "doc", "left")
     schema = StructType([rows.schema["row"], *StructType.fromDDL("kept string, n_lines bigint, n_dropped bigint").fields])
-    return marked.select("row", "text", "drops").mapInArrow(_apply(min_chars), schema)
+    return marked.select("row", "text", "drops").mapInArrow(tidy(_apply(min_chars)), schema)

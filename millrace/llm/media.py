@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _shuffles_go_when_written, scratch, texts
+from .common import _shuffles_go_when_written, scratch, texts, tidy
 
 _WIDTH, _UNIT = 24, 576
 _GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -175,12 +175,12 @@ def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most:
     narrow = docs.select(id_col, text_col)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"millrace_chunks_{uuid.uuid4().hex}", scratch(spark, "chunks")
-    chunks = narrow.mapInArrow(_chunks(text_col, shape), "digest binary, data binary")
+    chunks = narrow.mapInArrow(tidy(_chunks(text_col, shape)), "digest binary, data binary")
     with _shuffles_go_when_written(spark):
         distinct = chunks.groupBy("digest").agg(F.first("data").alias("data"))
         distinct.write.option("compression", "none").option("path", path).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
     kind = docs.schema[id_col].dataType.simpleString()
-    lists = narrow.mapInArrow(_lists(id_col, text_col, shape), f"doc {kind}, whole binary, place int, digest binary")
+    lists = narrow.mapInArrow(tidy(_lists(id_col, text_col, shape)), f"doc {kind}, whole binary, place int, digest binary")
     parts = lists.join(spark.table(name).hint("merge"), "digest")
     ordered = parts.repartition("doc").sortWithinPartitions("doc", "whole", "place")
-    return ordered.select("doc", "whole", "place", "data").mapInArrow(_rebuild, f"doc {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return ordered.select("doc", "whole", "place", "data").mapInArrow(tidy(_rebuild), f"doc {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

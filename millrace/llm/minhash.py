@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import slices, stored
+from .common import slices, stored, tidy
 from .components import components
 
 _ATTEMPTS = 256
@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
     ``words_each`` lower-cased words. ``rounds`` is the number of star centres tried in unsettled buckets.
     """
     narrow = docs.select(id_col, text_col)
-    marks = stored(narrow.mapInArrow(_features(words_each, bands, rows, id_col, text_col), "doc bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "minhash")
+    marks = stored(narrow.mapInArrow(tidy(_features(words_each, bands, rows, id_col, text_col)), "doc bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "minhash")
     named = marks.where("doc IS NOT NULL AND n > 0")
     nodes = stored(named.groupBy("s1", "s2").agg(F.min("doc").alias("node")), "sets")
     # one row of each set goes on; rows with the same id and set are alike
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
 
     chosen = members.select("node").distinct()
     texts = narrow.withColumnRenamed(id_col, "node").join(chosen, "node").select("node", text_col)
-    sets = stored(texts.mapInArrow(_sets(words_each, text_col), "node bigint, shingles array<bigint>"), "shingles")
+    sets = stored(texts.mapInArrow(tidy(_sets(words_each, text_col)), "node bigint, shingles array<bigint>"), "shingles")
 
     links = tried = reached = None
     for k in range(rounds):
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
         pairs = stored(pairs, "candidates")
         tried = pairs if tried is None else tried.unionAll(pairs)
         compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys")), "b")
-        found = compared.mapInArrow(_overlap, "a bigint, b bigint, na bigint, nb bigint, common bigint").where(f"100 * common >= {int(percent)} * (na + nb - common)").select("a", "b")
+        found = compared.mapInArrow(tidy(_overlap), "a bigint, b bigint, na bigint, nb bigint, common bigint").where(f"100 * common >= {int(percent)} * (na + nb - common)").select("a", "b")
         found = stored(found, "links")
         links = found if links is None else links.unionAll(found)
         if k and found.isEmpty():

@@ -23,6 +23,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 SPACE = "▁"
 #: Entries of each of the two generations of a worker's memory.
 GENERATION = 150_000
@@ -51,8 +53,10 @@ class MergeModel:
         if self.pieces[sp.encode("a")[0]][:1] != SPACE:
             raise ValueError("only models that put a space before the text are supported")
         self.find_segments = re.compile(self.segment_pattern()).findall
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        #: Ids of a segment as decimal text, each after a blank; and of segments that decode to something else.
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
 
     def segment_pattern(self) -> str:
         """Segments end before a space, at a line break, and before signs that no piece has behind other characters."""
@@ -149,7 +153,9 @@ class MergeModel:
         for x, ids, other in zip(new, own, theirs, strict=True):
             if ids != other[lead:]:
                 raise ValueError(f"the library encodes {x!r} as {other[lead:]}, the agenda as {ids}")
-            self.young[x] = (len(ids), "".join([f" {i}" for i in ids]), self.decode_segment(ids))
+            self.young[x] = "".join([f" {i}" for i in ids])
+            if (decoded := self.decode_segment(ids)) != x.replace(SPACE, " "):
+                self.changed[x] = decoded
 
     def decode_segment(self, ids: list[int]) -> str:
         """Text of a segment's ids with all of its spaces."""
@@ -162,6 +168,7 @@ class MergeModel:
         """Bring all wanted segments into the young generation; the old one is forgotten when the young is full."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
+            self.changed = {x: d for x, d in self.changed.items() if x in self.old}
         missing = wanted - self.young.keys()
         if kept := missing & self.old.keys():
             self.young.update((x, self.old[x]) for x in kept)
@@ -211,10 +218,12 @@ def _encode(path: str, add_end: bool, audit_every: int, with_text: bool, id_col:
                 m.recall(set(chain.from_iterable(pending)))
                 known = m.young
                 for text, own in zip(group, pending, strict=True):
-                    found = [known[x] for x in own]
-                    ids = ("".join([x[1] for x in found]) + end)[1:]
-                    decoded = "".join([x[2] for x in found])[1:]  # without the space put in front
-                    n = sum([x[0] for x in found]) + add_end
+                    ids = "".join([known[x] for x in own])
+                    n = ids.count(" ") + add_end
+                    ids = (ids + end)[1:]
+                    if not m.changed.keys().isdisjoint(own):
+                        own = [m.changed.get(x, x) for x in own]
+                    decoded = "".join(own).replace(SPACE, " ")[1:]  # without the space put in front
                     doc = docs[len(counts)]
                     if isinstance(doc, int) and doc % audit_every == 0:
                         theirs = m.library.encode(text, add_eos=add_end)
@@ -233,7 +242,7 @@ def _encode(path: str, add_end: bool, audit_every: int, with_text: bool, id_col:
                 group.append(text or "")
                 pending.append(m.segments(text or ""))
                 held += len(text or "")
-                if held > 2_000_000:
+                if held > 1_000_000:
                     flush()
                     held = 0
             flush()
@@ -253,4 +262,4 @@ def encode_decode(docs: DataFrame, model: str, *, add_end: bool = True, audit_ev
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
-    return docs.select(id_col, text_col).mapInArrow(_encode(model, add_end, audit_every, with_text, id_col, text_col), schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(_encode(model, add_end, audit_every, with_text, id_col, text_col)), schema)

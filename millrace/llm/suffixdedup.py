@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import slices, stored
+from .common import slices, stored, tidy
 
 _CORE, _PART, _PIECE = 32, 32, 1 << 22
 _SUFFIX = "rk bigint, pos int, lo int, hi int, core bigint, c1 bigint, c2 bigint"
@@ -74,7 +74,7 @@ def samples(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 def _suffixes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch, "text", 2 << 20):
+            for a, b in slices(batch, "text"):
                 data, offsets = B.joined(batch.column("text").slice(a, b - a))
                 text, at, lo, hi, core = samples(data, offsets, width)
                 view = memoryview(data.tobytes())
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.withColumn("rk", F.xxhash64("doc", "text"))
-    suffixes = stored(keyed.select("rk", "text").mapInArrow(_suffixes(width), _SUFFIX), "samples")
+    suffixes = stored(keyed.select("rk", "text").mapInArrow(tidy(_suffixes(width)), _SUFFIX), "samples")
     family = Levels()
     for k in range(batches):
         family.insert(suffixes.where(F.pmod("rk", F.lit(batches)) == k))
@@ -217,15 +217,15 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
 
     leads = family.all().join(forks, "core").groupBy(_CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("rk", "pos", "lo", "hi")).alias("r"))
     by_doc = leads.groupBy("r.rk").agg(F.collect_list(F.struct("r.pos", "r.lo", "r.hi", "c1", "n", "core")).alias("wanted"))
-    contexts = keyed.select("rk", "text").join(by_doc, "rk").mapInArrow(_contexts(width), "rk bigint, pos int, lo int, hi int, c1 bigint, n bigint, core bigint, data binary")
+    contexts = keyed.select("rk", "text").join(by_doc, "rk").mapInArrow(tidy(_contexts(width)), "rk bigint, pos int, lo int, hi int, c1 bigint, n bigint, core bigint, data binary")
     contexts = stored(contexts, "contexts")
-    parts = stored(contexts.mapInArrow(_parts(width), "rk bigint, pos int, c1 bigint, n bigint, first int, last int, inner bigint, o1 bigint, o2 bigint"), "parts")
+    parts = stored(contexts.mapInArrow(tidy(_parts(width)), "rk bigint, pos int, c1 bigint, n bigint, first int, last int, inner bigint, o1 bigint, o2 bigint"), "parts")
     whole = stored(parts.groupBy("o1", "o2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("o1", "o2"), "wholes")
     whole_marks = parts.where("n = 1").join(whole, ["o1", "o2"]).select("rk", F.col("first").alias("lo"), F.col("last").alias("hi"))
     outer = F.struct("o1", "o2")
     unsure = stored(parts.groupBy("inner").agg(F.min(outer).alias("x"), F.max(outer).alias("y")).where("x < y").select("inner"), "unsure")
     ranges = parts.join(unsure, "inner").groupBy("rk", "pos").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    strings = contexts.join(ranges, ["rk", "pos"]).mapInArrow(_strings(width), "rk bigint, at int, c1 bigint, n bigint, w1 bigint, w2 bigint")
+    strings = contexts.join(ranges, ["rk", "pos"]).mapInArrow(tidy(_strings(width)), "rk bigint, at int, c1 bigint, n bigint, w1 bigint, w2 bigint")
     strings = stored(strings, "strings")
     again = stored(strings.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("w1", "w2"), "again")
     string_marks = strings.where("n = 1").join(again, ["w1", "w2"]).select("rk", F.col("at").alias("lo"), F.col("at").alias("hi"))
@@ -233,4 +233,4 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
     marks = suffixes.join(matches, ["c1", "c2"]).select("rk", "lo", "hi").unionAll(whole_marks).unionAll(string_marks)
     marks = stored(marks.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "marks")
     out = keyed.join(marks, "rk", "left")
-    return out.select("doc", "text", "ranges").mapInArrow(_remove(width), f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return out.select("doc", "text", "ranges").mapInArrow(tidy(_remove(width)), f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

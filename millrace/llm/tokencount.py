@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import texts, tidy
 
 #: Entries of each of the two generations of remembered pre-tokens, and states of the transducer.
 GENERATION, STATES = 200_000, 400_000
@@ -296,4 +296,4 @@ def _count(path: str, limit: int, id_col: str, text_col: str):
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, n_bytes, n_tokens, over_limit) for every row; ``tokenizer`` is a file on every executor."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_count(tokenizer, limit, id_col, text_col), f"doc {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(_count(tokenizer, limit, id_col, text_col)), f"doc {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, texts
+from .common import stored, texts, tidy
 
 _TRIM = ".,;:!?|\"'()[]{}<>*%-_"
 _LONG_RUN = re.compile(r"(\w)\1{3,}")
@@ -178,7 +178,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     if not good or not bad:
         share = (bad + 0.5) / (good + bad + 1)
         return Model(bias=math.log(share / (1 - share)))
-    seen = sample.mapInArrow(_feature_rows("text"), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least_support)
+    seen = sample.mapInArrow(tidy(_feature_rows("text")), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least_support)
     # toxic features: much commoner in toxic rows, by more than chance leaves among so many (likelihood ratio)
     base = bad / (good + bad)
     k, n_k = F.col("k"), F.col("n") - F.col("k")
@@ -199,7 +199,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
                     model.lexicon_of |= dict.fromkeys(part, len(model.lexicons))
                     model.lexicons.append(part)
     shared = spark.sparkContext.broadcast(model)
-    patterns = sample.mapInArrow(_vote_rows(shared, "text"), "votes string").groupBy("votes").count().collect()
+    patterns = sample.mapInArrow(tidy(_vote_rows(shared, "text")), "votes string").groupBy("votes").count().collect()
     votes = np.array([[int(x) for x in r["votes"].split(",")] for r in patterns])
     post, _ = label_model(votes, np.array([r["count"] for r in patterns], float))
     posterior = spark.sparkContext.broadcast({r["votes"]: float(p) for r, p in zip(patterns, post, strict=True)})
@@ -208,7 +208,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     index = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
     width = len(names) + votes.shape[1] - 1
     vector = udf(lambda at, values: Vectors.sparse(width, at, values), VectorUDT())
-    training = sample.mapInArrow(_training_rows(shared, posterior, index, "text"), "label double, weight double, at array<int>, values array<double>")
+    training = sample.mapInArrow(tidy(_training_rows(shared, posterior, index, "text")), "label double, weight double, at array<int>, values array<double>")
     training = stored(training.select("label", "weight", vector("at", "values").alias("features")), "training")
     fitted = LogisticRegression(weightCol="weight", regParam=3e-5, maxIter=100, standardization=False).fit(training)
     c = fitted.coefficients.toArray()
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     """Rows (row, score): all columns of ``docs`` in a struct, and 0 to 1, the higher the likelier toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scores(shared), StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(_scores(shared)), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
