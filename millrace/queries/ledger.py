@@ -1 +1,127 @@
-"""Pending."""
+"""Upserts, pruning and state transitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ledger as L
+from ..sources.shapes import at, calendar, table
+from .base import query
+
+_DOCS = "SELECT doc_id AS id, md5(text) AS hash, n_chars AS size, CASE WHEN doc_id % 2 = 0 THEN doc_id * 10 END AS vec FROM documents WHERE doc_id % 5 <> 0"
+_BATCH = "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'new' END AS hash, n_chars + 1 AS size, CASE WHEN doc_id % 7 = 0 THEN -doc_id END AS vec FROM documents WHERE doc_id % 4 = 0"
+
+
+def _upsert_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), "n_chars")
+    old = t.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), F.col("n_chars").alias("size"), F.expr("CASE WHEN doc_id % 2 = 0 THEN doc_id * 10 END").alias("vec"))
+    new = t.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.expr("CASE WHEN doc_id % 3 = 0 THEN h ELSE 'new' END").alias("hash"), (F.col("n_chars") + 1).alias("size"), F.expr("CASE WHEN doc_id % 7 = 0 THEN -doc_id END").alias("vec"))
+    return old, new
+
+
+@query(f"WITH t AS ({_DOCS}), s AS ({_BATCH}) SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NULL THEN t.hash ELSE s.hash END AS hash, CASE WHEN s.id IS NULL THEN t.size ELSE s.size END AS size, CASE WHEN s.id IS NULL THEN t.vec WHEN s.hash IS NOT DISTINCT FROM t.hash THEN coalesce(s.vec, t.vec) ELSE s.vec END AS vec FROM t FULL JOIN s ON s.id = t.id")
+def m1_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return L.upsert(*_upsert_input(spark, d), ["id"], "hash", "vec")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def m3_delete_by_refs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN (SELECT conv_id, count(*) // 2 AS keep FROM conversations GROUP BY conv_id) k USING (conv_id) WHERE c.turn < k.keep")
+def m4_delete_extra_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    keep = c.groupBy("conv_id").agg(F.floor(F.count("*") / 2).alias("keep"))
+    return c.join(keep, "conv_id").where("turn < keep").drop("keep")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY event_type")
+def m5_prune(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where(F.col("ts") >= at("2024-01-16")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN NULL ELSE props END AS result FROM events WHERE user_id < 30")
+def m8_null_old_results(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("user_id < 30").select("event_id", F.when(F.col("ts") >= at("2024-01-10"), F.col("props")).alias("result"))
+
+
+@query("""WITH t AS (SELECT user_id AS id, max(event_type) AS label, max(epoch_us(ts)) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id), s AS (SELECT user_id AS id, max(event_type) FILTER (event_type > 'p') AS label, max(epoch_us(ts)) AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND user_id % 2 = 0 GROUP BY user_id)
+SELECT coalesce(t.id, s.id) AS id, coalesce(s.label, t.label) AS label, greatest(t.seen, s.seen) AS seen FROM t FULL JOIN s ON s.id = t.id""")
+def m9_mru_upsert(spark: SparkSession, d: str) -> DataFrame:
+    e = calendar(spark, d).select(F.col("calendar_id").alias("id"), F.col("title").alias("label"), F.col("starts_us").alias("seen"))
+    old = e.where("seen < 1705276800000000").groupBy("id").agg(F.max("label").alias("label"), F.max("seen").alias("seen"))
+    new = e.where("seen >= 1705190400000000 AND id % 2 = 0").groupBy("id").agg(F.max(F.when(F.col("label") > "p", F.col("label"))).alias("label"), F.max("seen").alias("seen"))
+    return L.merge_latest(old, new, ["id"], "seen")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 4 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'X' END END AS dest, CASE WHEN o_orderkey % 5 = 0 THEN 'P' ELSE o_orderstatus END AS expected FROM orders),
+r AS (SELECT *, CASE WHEN dest IS NULL THEN 'kept' WHEN (status, dest) IN (('O', 'P'), ('O', 'F'), ('P', 'F'), ('P', 'X')) AND expected = status THEN 'moved' WHEN expected <> status THEN 'stale' ELSE 'refused' END AS result FROM m)
+SELECT id, CASE WHEN result = 'moved' THEN dest ELSE status END AS status, result FROM r""")
+def m10_transitions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    moves = o.where("id % 4 <> 0").select("id", F.expr("CASE WHEN id % 5 = 0 THEN 'P' ELSE status END").alias("expected"), F.expr("CASE id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'X' END").alias("to"))
+    allowed = spark.createDataFrame([("O", "P"), ("O", "F"), ("P", "F"), ("P", "X")], "status string, to string")
+    return L.transition(o, moves, allowed)
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'P')")
+def m11_in_flight_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return o.where("o_orderstatus = 'O'").join(o.where("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC) > 1 THEN 'superseded' ELSE o_orderstatus END AS status FROM orders")
+def m12_supersede(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status")
+    return L.supersede(o, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "P").select("o_orderkey", "status")
+
+
+@query("WITH e AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01') SELECT l_linestatus, count(*) AS cancelled FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM e) GROUP BY l_linestatus")
+def m13_expire_and_cascade(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "orders").where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < at("1996-01-01"))).select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linestatus").join(gone, "l_orderkey", "left_semi").groupBy("l_linestatus").agg(F.count("*").alias("cancelled"))
+
+
+@query("SELECT conv_id, array_to_string(list_append(list(role ORDER BY turn), 'done'), '>') AS history FROM conversations GROUP BY conv_id")
+def m15_array_append(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("h"))
+    return h.select("conv_id", F.array_join(F.concat("h", F.array(F.lit("done"))), ">").alias("history"))
+
+
+@query("SELECT o_custkey, greatest(max(epoch_us(o_orderdate)) FILTER (o_orderstatus <> 'P'), max(epoch_us(o_orderdate)) FILTER (o_orderstatus = 'P')) AS last_us FROM orders GROUP BY o_custkey")
+def m16_monotone_max(spark: SparkSession, d: str) -> DataFrame:
+    t = F.unix_micros("o_orderdate")
+    p = F.col("o_orderstatus") == "P"
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.greatest(F.max(F.when(~p, t)), F.max(F.when(p, t))).alias("last_us"))
+
+
+@query("SELECT event_id, CASE WHEN k >= 95 THEN 'timed_out' WHEN title = 'error' AND k % 2 = 0 THEN 'cancel' WHEN title = 'purchase' THEN 'resume' ELSE 'leave' END AS action FROM calendar WHERE k > 30")
+def m17_classify(spark: SparkSession, d: str) -> DataFrame:
+    c = calendar(spark, d).where("k > 30")
+    return c.select("event_id", F.when(F.col("k") >= 95, "timed_out").when((F.col("title") == "error") & (F.col("k") % 2 == 0), "cancel").when(F.col("title") == "purchase", "resume").otherwise("leave").alias("action"))
+
+
+@query("SELECT c.event_id, CASE WHEN p.attempts IS NULL THEN 'held' WHEN c.k >= p.attempts THEN 'abandoned' WHEN c.k * 600 < p.pause THEN 'not_yet' ELSE 'replay' END AS action FROM calendar c LEFT JOIN (VALUES ('click', 90, 6000), ('view', 50, 60000), ('error', 99, 0)) p(title, attempts, pause) ON p.title = c.title WHERE c.calendar_id < 40")
+def m18_sweep_policy(spark: SparkSession, d: str) -> DataFrame:
+    policy = spark.createDataFrame([("click", 90, 6000), ("view", 50, 60000), ("error", 99, 0)], "title string, attempts int, pause int")
+    c = calendar(spark, d).where("calendar_id < 40").select("event_id", "title", "k").join(policy, "title", "left")
+    return c.select("event_id", F.when(F.col("attempts").isNull(), "held").when(F.col("k") >= F.col("attempts"), "abandoned").when(F.col("k") * 600 < F.col("pause"), "not_yet").otherwise("replay").alias("action"))
+
+
+@query("SELECT user_id, event_type, count(*) AS attempts, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events WHERE event_type = 'error' GROUP BY ALL")
+def m19_dead_letter_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("attempts"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS done, l_returnflag = 'R' AS bad, l_partkey, l_suppkey FROM lineitem),
+p AS (SELECT *, bool_or(bad) OVER w AS blocked, bool_or(NOT done) OVER w AS open FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN blocked THEN 'blocked' WHEN open THEN 'waiting' ELSE 'clear' END AS state FROM p""")
+def m20_sequenced_actions(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.bool_or(F.col("l_returnflag") == "R").over(w).alias("blocked"), F.bool_or(F.col("l_linestatus") != "F").over(w).alias("open"))
+    return s.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("blocked"), "blocked").when(F.col("open"), "waiting").otherwise("clear").alias("state"))
