@@ -1,4 +1,4 @@
 """Registered queries, by the part of the algebra that they exercise."""
 
-from . import aggregates, filters, joins, ledger, plans, retrieval, scalars, windows  # noqa: F401
+from . import aggregates, entities, filters, joins, ledger, plans, retrieval, scalars, windows  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
