@@ -208,7 +208,7 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Graph]:
     return held["nodes"], held["raw"], graph
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, most_width: int = 512, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, most_width: int = 128, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Rows (query, node) of float32 cosines that may reach ``least``, with the beams widened as described above.
 
     What would need a beam wider than ``most_width`` is compared with the whole shard instead.
@@ -259,7 +259,7 @@ def _search_block(least: float, width: int, recall: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, recall: float = 0.995, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, recall: float = 0.995, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (doc, n_links, component), one for each row of ``vectors``; links are cosines of at least ``least``.
 
     ``width`` is the beam to begin with, ``recall`` what each block's audit must find. A shard has about
@@ -275,11 +275,13 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, re
     shards, blocks = max(least_shards, -(-n // shard_rows)), max(1, -(-n // block_rows))
     own = nodes.select("node", "vector", F.size("vector").alias("size"))
     dealt = own.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "node"), F.lit(shards)).cast("int"))
-    index = stored(dealt.groupBy("size", "shard").applyInArrow(_build_shard, "size int, shard int, blob binary"), "graphs")
+    # as many partitions as groups, which are few rows but much work: small ones must not be put together
+    index = stored(dealt.repartition(2 * shards, "size", "shard").groupBy("size", "shard").applyInArrow(_build_shard, "size int, shard int, blob binary"), "graphs")
     asked = own.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["size", "shard", "block"]
-    found = spread.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_search_block(least, width, recall), "a bigint, b bigint")
+    parts = 2 * shards * blocks
+    found = spread.repartition(parts, *keys).groupBy(keys).cogroup(asked.repartition(parts, *keys).groupBy(keys)).applyInArrow(_search_block(least, width, recall), "a bigint, b bigint")
     found = stored(found, "found")
     links = stored(found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     copies = nodes.groupBy("node").agg(F.sum("copies").alias("copies"))
