@@ -9,8 +9,8 @@ centre drawn for each bucket, so that a link between two members that the first
 found too. With 40 bands of 6 rows a pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text with fewer words than a
-shingle is one shingle; a null id keeps its row, is linked with nothing and has a null component; rows that
-share an id are one document; an empty table gives an empty result. Other columns are not read.
+shingle is one shingle; a null id keeps its row, is linked with nothing and has a null component; each row
+has the component of its own text, and repeated rows are alike; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -167,6 +167,5 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
         reached = components(links)
         reached = reached.select("node", "component")
     of_set = nodes.join(reached, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    # a document with several rows and texts joins the components of all of them
     out = marks.join(stored(of_set, "classes"), ["s1", "s2"], "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
