@@ -31,19 +31,20 @@ from .common import stored, texts, tidy
 
 _TRIM = ".,;:!?|\"'()[]{}<>*%-_"
 _LONG_RUN = re.compile(r"(\w)\1{3,}")
+BEGINNINGS = (4, 5, 6, 7, 8)
 PATTERNS = ("shouted", "exclaimed", "stretched", "digits", "lines")
 
 
 def features(text: str) -> set[str]:
-    """Words (w), and beginnings of four and five letters of longer words (p, q)."""
+    """Words (w), and beginnings of longer words, of each length in ``BEGINNINGS``."""
     out = set()
     for word in set(text.lower().split()):
         if word := word.strip(_TRIM):
             out.add("w" + word)
-            if len(word) > 4:
-                out.add("p" + word[:4])
-                if len(word) > 5:
-                    out.add("q" + word[:5])
+            for k in BEGINNINGS:
+                if len(word) <= k:
+                    break
+                out.add(f"{k}{word[:k]}")
     return out
 
 
@@ -79,6 +80,21 @@ class Model:
     vote_weights: list[float] = field(default_factory=list)
     bias: float = -3.0
 
+    def known(self, text: str) -> set[str]:
+        """The text's features that the lexicons or the classifier know; most words need one look-up."""
+        if not hasattr(self, "heads"):
+            self.terms = self.lexicon_of.keys() | self.weights.keys()
+            self.heads = {x[1 : BEGINNINGS[0] + 1] for x in self.terms if x[0] != "w"}
+            self.whole = {x[1:] for x in self.terms if x[0] == "w"}
+        out = set()
+        for word in set(text.lower().split()):
+            word = word.strip(_TRIM)
+            if word in self.whole:
+                out.add("w" + word)
+            if word[: BEGINNINGS[0]] in self.heads:
+                out.update(x for k in BEGINNINGS if len(word) > k and (x := f"{k}{word[:k]}") in self.terms)
+        return out
+
     def votes(self, text: str, found: set[str]) -> list[int]:
         """Lexicons vote toxic on a hit; where none of them hits, the last voter votes clean."""
         hit = [0] * len(self.lexicons)
@@ -87,7 +103,7 @@ class Model:
         return [*hit, *pattern_votes(text), 0 if any(hit) else -1]
 
     def score(self, text: str) -> float:
-        found = features(text)
+        found = self.known(text)
         z = self.bias + sum([self.weights[x] for x in found & self.weights.keys()])
         z += sum(w * v for w, v in zip(self.vote_weights, self.votes(text, found), strict=False))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
@@ -145,7 +161,7 @@ def _feature_rows(text_col: str):
 def _vote_rows(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.value.votes(x, features(x)) + [2 * y - 1] for x, y in zip(texts(batch, text_col), batch.column("label").to_pylist(), strict=True)]
+            rows = [model.value.votes(x, model.value.known(x)) + [2 * y - 1] for x, y in zip(texts(batch, text_col), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"votes": pa.array([",".join(map(str, r)) for r in rows], pa.string())})
 
     return run
@@ -157,7 +173,7 @@ def _training_rows(model, posterior, index, text_col: str):
         for batch in batches:
             out: dict[str, list] = {"label": [], "weight": [], "at": [], "values": []}
             for x, y in zip(texts(batch, text_col), batch.column("label").to_pylist(), strict=True):
-                found = features(x)
+                found = model.value.known(x)
                 votes = model.value.votes(x, found)
                 p = posterior.value[",".join(map(str, [*votes, 2 * y - 1]))]
                 own = [(place[f], 1.0) for f in found & place.keys()] + [(size + k, float(v)) for k, v in enumerate(votes) if v]
@@ -173,7 +189,7 @@ def _training_rows(model, posterior, index, text_col: str):
     return run
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_000, least_support: int = 5, least_odds: float = 2.0, least_ratio: float = 22.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_000, least_support: int = 5, least_odds: float = 2.0, least_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from rows (id, text, label 0/1), at most about ``max_rows`` of them by a hash of the id."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
@@ -191,6 +207,8 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
         return Model(bias=math.log(share / (1 - share)))
     seen = sample.mapInArrow(tidy(_feature_rows("text")), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least_support)
     # toxic features: much commoner in toxic rows, by more than chance leaves among so many (likelihood ratio)
+    seen = stored(seen, "features")
+    least_ratio = 2 * math.log(max(seen.count(), 2)) if least_ratio is None else least_ratio
     base = bad / (good + bad)
     k, n_k = F.col("k"), F.col("n") - F.col("k")
     odds = F.log((k + 0.5) / (bad + 1)) - F.log((n_k + 0.5) / (good + 1))
@@ -201,7 +219,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     # lexicons: toxic features by kind and by strength, each strength dealt to two voters
     strong.sort(key=lambda r: (-r["odds"], r["feature"]))
     model = Model()
-    for kind in "wpq":
+    for kind in ("w", *map(str, BEGINNINGS)):
         own = [r["feature"] for r in strong if r["feature"][0] == kind]
         third = -(-len(own) // 3) or 1
         for begin in range(0, len(own), third):
