@@ -125,3 +125,26 @@ def arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     t = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
     return vector_arm(e, query_vector(spark, d)), lexical_arm(t, ["the", "of"])
+
+
+def vouched(hits: DataFrame, selected: bool) -> DataFrame:
+    """A filter on people that chose the rows is evidence of its own."""
+    return hits.withColumn("evidence", F.array_union("evidence", F.array(F.lit("FILTER_MATCH")))) if selected else hits
+
+
+def rescued(df: DataFrame, strict: Column, loose: Column) -> DataFrame:
+    """Rows that pass both conditions; where there are none at all, those that pass ``strict``, marked as rescued."""
+    both = df.where(strict & loose).withColumn("rescued", F.lit(False))
+    none = both.limit(1).agg((F.count("*") == 0).alias("none")).where("none")
+    return both.unionByName(df.where(strict).join(none, F.lit(True), "left_semi").withColumn("rescued", F.lit(True)))
+
+
+def decisions(df: DataFrame, by: str, key: str = "id") -> DataFrame:
+    """Verdicts that weigh exact evidence: what leader and runner-up share is ambiguous, what only the leader has decides."""
+    w = Window.partitionBy(by).orderBy(F.round("cn", PLACES).desc(), F.round("cn_raw", PLACES).desc(), key)
+    lead = df.withColumn("r", F.row_number().over(w)).withColumn("cn2", F.lead("cn").over(w)).withColumn("ev2", F.lead("evidence").over(w)).where("r = 1")
+    shared = F.size(F.array_intersect("evidence", F.coalesce("ev2", F.array()))) > 0
+    alone = (F.size("evidence") > 0) & (F.size(F.coalesce("ev2", F.array())) == 0)
+    close = F.coalesce(F.round(F.col("cn") - F.col("cn2"), PLACES) < MARGIN, F.lit(False))
+    verdict = F.when((F.col("cn") < FLOOR_READ) & (F.size("evidence") == 0), "absent").when(shared, "ambiguous").when(alone, "confident").when(close, "ambiguous").otherwise("confident")
+    return lead.select(by, F.col(key).alias("leader"), verdict.alias("verdict"))

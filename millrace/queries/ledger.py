@@ -125,3 +125,21 @@ def m20_sequenced_actions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
     s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.bool_or(F.col("l_returnflag") == "R").over(w).alias("blocked"), F.bool_or(F.col("l_linestatus") != "F").over(w).alias("open"))
     return s.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("blocked"), "blocked").when(F.col("open"), "waiting").otherwise("clear").alias("state"))
+
+
+@query("SELECT d.doc_id, CASE WHEN e.vec_id IS NOT NULL THEN 'm' || e.label ELSE 'none' END AS model FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND e.label < 5")
+def m7_set_vectors_with_their_model(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").where("label < 5").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("m"), "label").alias("model"))
+    return table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left").select("doc_id", F.coalesce("model", F.lit("none")).alias("model"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderkey % 2 = 0 THEN 'P' ELSE o_orderstatus END AS status FROM orders")
+def m14_terminal_status_never_moves(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderkey") % 2 == 0, "P").otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+@query("SELECT c_nationkey AS tenant, count(*) AS gone, sum(CASE WHEN c_nationkey IN (3, 7) THEN 0 ELSE 1 END) AS stays FROM customer GROUP BY c_nationkey")
+def m6_purge_with_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count("*").alias("gone"))
+    return n.withColumn("stays", F.when(F.col("tenant").isin(3, 7), 0).otherwise(F.col("gone")))

@@ -171,3 +171,23 @@ def a19_pk_ndcg(spark: SparkSession, d: str) -> DataFrame:
     # one query vector a label: a stated query set, compared with all rows
     pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("qid")).select("query", F.col("vec_id").alias("doc"), (F.col("label") == F.col("query")).cast("int").alias("grade"), S.cosine(F.col("embedding"), F.col("q")).alias("score"))
     return M.retrieval_quality(pairs)
+
+
+@query(f"""WITH {_POOLS}, e AS (SELECT *, CASE WHEN id % 50 = 0 THEN ['EXACT_ID'] WHEN id % 35 = 0 THEN ['EXACT_SENDER'] ELSE [] END AS ev FROM x),
+w AS (SELECT *, row_number() OVER o AS r, lead(cn) OVER o AS cn2, coalesce(lead(ev) OVER o, []) AS ev2 FROM e WINDOW o AS (PARTITION BY label ORDER BY round(cn, 9) DESC, round(cn_raw, 9) DESC, id))
+SELECT label, id AS leader, CASE WHEN cn < 0.55 AND len(ev) = 0 THEN 'absent' WHEN list_has_any(ev, ev2) THEN 'ambiguous' WHEN len(ev) > 0 AND len(ev2) = 0 THEN 'confident' WHEN round(cn - cn2, 9) < 0.15 THEN 'ambiguous' ELSE 'confident' END AS verdict FROM w WHERE r = 1""")
+def r15_decisions(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    ev = F.when(F.col("id") % 50 == 0, F.array(F.lit("EXACT_ID"))).when(F.col("id") % 35 == 0, F.array(F.lit("EXACT_SENDER"))).otherwise(none)
+    return S.decisions(_pools(spark, d).withColumn("evidence", ev), "label")
+
+
+@query("SELECT doc_id AS id, array_to_string(CASE WHEN doc_id IN (5, 9) THEN ['EXACT_ID', 'FILTER_MATCH'] ELSE ['FILTER_MATCH'] END, ',') AS evidence FROM documents WHERE doc_id < 20 AND NOT contains(' ' || lower(substr(text, 1, 40)) || ' ', ' the ')")
+def f27_filter_vouching(spark: SparkSession, d: str) -> DataFrame:
+    hits = S.vouched(_known(spark, d).where("id < 20"), True).where(~F.array_contains("evidence", "ALIAS_TOKEN_IN_SUBJECT"))
+    return hits.select("id", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("SELECT event_id, true AS rescued FROM calendar WHERE calendar_id = 8")
+def f28_filter_rescue(spark: SparkSession, d: str) -> DataFrame:
+    return S.rescued(calendar(spark, d), F.col("calendar_id") == 8, F.col("title") == "refund").select("event_id", "rescued")
