@@ -5,8 +5,11 @@ bins chosen by a fixed sequence of probes (optimal densification). ``bands`` run
 keys. Within a bucket only edges from one centre to the others are candidates, so a bucket of n documents costs
 n - 1 pairs. Documents with the same shingle set are one node from the start. Candidates are confirmed on the
 full shingle sets. Further rounds look only at buckets whose members are not yet in one component, with another
-centre drawn for each bucket, so that a link between two members that the first centre does not resemble is
-found too. With 40 bands of 6 rows a pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
+centre drawn for each bucket; they settle large groups cheaply. Members of buckets that are open after that are
+compared by prefixes: with shingles in one order for all, rare ones first, two sets at the threshold share one
+of their first n - ceil(percent * n / 100) + 1 shingles, and so many must follow it in both, so that every
+remaining link is among the candidates. Pairs within one component are never made. With 40 bands of 6 rows a
+pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; a null id keeps its row, is linked with nothing and has a null component; each row
@@ -27,7 +30,7 @@ from . import bytesops as B
 from .common import slices, stored, tidy
 from .components import components
 
-_ATTEMPTS = 256
+_ATTEMPTS, _SLOTS = 256, 1 << 18
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -120,11 +123,65 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "na": pa.array(np.diff(xo), pa.int64()), "nb": pa.array(np.diff(yo), pa.int64()), "common": pa.array(common, pa.int64())})
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(46)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall in each slot: tells common shingles from rare ones in bounded space."""
+    held = np.zeros(_SLOTS, np.int64)
+    for batch in batches:
+        held += np.bincount(_slot(np.asarray(batch.column("shingles").flatten())), minlength=_SLOTS)
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(at.astype(np.int32)), "k": pa.array(held[at])})
+
+
+def _prefixes(tally: np.ndarray, percent: int):
+    """The first shingles of each set, rare slots first, with their places: a set that resembles it has one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("shingles")
+            o, v = np.asarray(x.offsets), np.asarray(x.values)
+            size = np.diff(o)
+            first = size - -(-size.astype(np.int64) * percent // 100) + 1
+            parts = [np.zeros(0, np.int64)]
+            for a, b, k in zip(o[:-1], o[1:], first, strict=True):
+                own = v[a:b]
+                parts.append(own[np.lexsort((own, tally[_slot(own)]))[:k]])
+            k = np.fromiter(map(len, parts[1:]), np.int64, len(size))
+            row = np.repeat(np.arange(len(size)), k)
+            place = np.arange(len(row)) - (np.cumsum(k) - k)[row]
+            taken = batch.select(["node", "component"]).take(pa.array(row))
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(parts)), "node": taken.column("node"), "component": taken.column("component"), "n": pa.array(size[row].astype(np.int64)), "place": pa.array(place)})
+
+    return run
+
+
+def _by_prefixes(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that hold all links between them."""
+    tally = np.zeros(_SLOTS, np.int32)
+    for r in sets.mapInArrow(tidy(_tally), "slot int, k bigint").groupBy("slot").agg(F.sum("k").alias("k")).toArrow().to_batches():
+        tally[np.asarray(r.column("slot"))] = np.minimum(np.asarray(r.column("k")), np.iinfo(np.int32).max)
+    grams = open_nodes.join(sets, "node").select("node", "component", "shingles").mapInArrow(tidy(_prefixes(tally, percent)), "shingle bigint, node bigint, component bigint, n bigint, place bigint")
+    grams = stored(grams, "prefixes")
+    met = stored(grams.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "met")
+    grams = stored(grams.join(met, "shingle").distinct(), "prefixes")
+    # components meet first, so that members of the same one are never paired
+    sides = stored(grams.select("shingle", "component").distinct(), "sides")
+    meeting = sides.withColumnRenamed("component", "x").join(sides.withColumnRenamed("component", "y"), "shingle").where("x < y")
+    of = lambda side, c: grams.select("shingle", F.col("component").alias(c), F.col("node").alias(side), F.col("n").alias(f"n{side}"), (F.col("n") - F.col("place")).alias(f"left_{side}"))
+    pairs = meeting.join(of("a", "x"), ["shingle", "x"]).join(of("b", "y"), ["shingle", "y"])
+    pairs = pairs.where(f"least(left_a, left_b) * {100 + percent} >= {percent} * (na + nb)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, n_shingles, component): one for each row of ``docs``, component the smallest id reachable by links.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of shingles of
-    ``words_each`` lower-cased words. ``rounds`` is the number of star centres tried in unsettled buckets.
+    ``words_each`` lower-cased words. ``rounds`` is the number of star centres tried in
+    unsettled buckets before what is left is compared by prefixes.
     """
     narrow = docs.select(id_col, text_col)
     marks = stored(narrow.mapInArrow(tidy(_features(words_each, bands, rows, id_col, text_col)), "doc bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "minhash")
@@ -140,15 +197,24 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
     texts = narrow.withColumnRenamed(id_col, "node").join(chosen, "node").select("node", text_col)
     sets = stored(texts.mapInArrow(tidy(_sets(words_each, text_col)), "node bigint, shingles array<bigint>"), "shingles")
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys")), "b")
+        found = compared.mapInArrow(tidy(_overlap), "a bigint, b bigint, na bigint, nb bigint, common bigint").where(f"100 * common >= {int(percent)} * (na + nb - common)").select("a", "b")
+        return stored(found, "links")
+
+    def unsettled(least: int) -> DataFrame:
+        """Rows of buckets of ``least`` members or more that lie in different components."""
+        lively = members.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_keys = lively.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("of")).where(f"x < y AND of >= {least}").select("key")
+        return stored(lively.join(open_keys, "key"), "open")
+
     links = tried = reached = None
     for k in range(rounds):
         if reached is None:
             lively = members.withColumn("component", F.col("node"))
             first = F.min(F.struct("node", "n", "component"))
         else:
-            lively = members.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_keys = lively.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-            lively = stored(lively.join(open_keys, "key"), "open")
+            lively = unsettled(2)
             first = F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node"))
         centres = stored(lively.groupBy("key").agg(first.alias("c")), "centres")
         near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
@@ -158,14 +224,17 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys")), "b")
-        found = compared.mapInArrow(tidy(_overlap), "a bigint, b bigint, na bigint, nb bigint, common bigint").where(f"100 * common >= {int(percent)} * (na + nb - common)").select("a", "b")
-        found = stored(found, "links")
+        found = confirmed(pairs)
         links = found if links is None else links.unionAll(found)
-        if k and found.isEmpty():
-            break
-        reached = components(links)
-        reached = reached.select("node", "component")
+        if not k or not found.isEmpty():
+            reached = components(links).select("node", "component")
+    # the first round has tried the only pair of a bucket of two
+    left = stored(unsettled(3).select("node", "component").distinct(), "open")
+    if not left.isEmpty():
+        pairs = stored(_by_prefixes(left, sets, int(percent)).join(tried, ["a", "b"], "left_anti"), "candidates")
+        found = confirmed(pairs)
+        if not found.isEmpty():
+            reached = components(links.unionAll(found)).select("node", "component")
     of_set = nodes.join(reached, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = marks.join(stored(of_set, "classes"), ["s1", "s2"], "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))

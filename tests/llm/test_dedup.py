@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -78,6 +79,20 @@ def test_links_between_members_of_a_chain_are_found(spark):
     assert {r.component for r in got} == {0}
 
 
+def test_links_within_large_mixed_buckets_are_found(spark):
+    rng = random.Random(5)
+    template, pool = [f"t{i}" for i in range(140)], [f"p{i}" for i in range(140)]
+    sets = [{*template, *rng.sample(pool, 60)} for _ in range(320)]  # at 0.6 to 0.78 with each other
+    for own in sets[:30]:
+        mine = sorted(own - {*template})
+        sets.append({*template, *mine[:42], *rng.sample(sorted({*pool} - own), 18)})  # at 0.83 with its origin
+    edges = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    rows = [(i, " ".join(sorted(s))) for i, s in enumerate(sets)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words_each=1).collect()
+    assert len(edges) >= 30
+    assert {r.doc: r.component for r in got} == roots(range(len(sets)), edges)
+
+
 def removed(texts, width=400):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[p : p + width] for d in data for p in range(len(d) - width + 1))
