@@ -139,7 +139,7 @@ def _parts(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("rk", "pos", "c1", "n", "first", "last", "inner", "o1", "o2")}
+            out: dict[str, list] = {k: [] for k in ("rk", "pos", "lo", "c1", "n", "first", "last", "inner", "o1", "o2")}
             for rk, pos, lo, hi, c1, n, core, data in zip(*(batch.column(c).to_pylist() for c in ("rk", "pos", "lo", "hi", "c1", "n", "core", "data")), strict=True):
                 for j in range((pos - hi) // _PART, (pos - lo) // _PART + 1):
                     first, last = max(lo, pos - j * _PART - _PART + 1), min(hi, pos - j * _PART)
@@ -147,9 +147,9 @@ def _parts(width: int):
                     begin, end = pos - j * _PART, pos - j * _PART - _PART + 1 + width
                     out["inner"].append(_two(data[begin - lo : end - lo] + core.to_bytes(8, "little", signed=True), 7 + j)[0])
                     o1, o2 = _two(data[first - lo : last + width - lo], 1)
-                    for k, v in (("rk", rk), ("pos", pos), ("c1", c1), ("n", n), ("first", first), ("last", last), ("o1", o1), ("o2", o2)):
+                    for k, v in (("rk", rk), ("pos", pos), ("lo", lo), ("c1", c1), ("n", n), ("first", first), ("last", last), ("o1", o1), ("o2", o2)):
                         out[k].append(v)
-            kinds = {"pos": pa.int32(), "first": pa.int32(), "last": pa.int32()}
+            kinds = {"pos": pa.int32(), "lo": pa.int32(), "first": pa.int32(), "last": pa.int32()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
@@ -219,13 +219,14 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
     by_doc = leads.groupBy("r.rk").agg(F.collect_list(F.struct("r.pos", "r.lo", "r.hi", "c1", "n", "core")).alias("wanted"))
     contexts = keyed.select("rk", "text").join(by_doc, "rk").mapInArrow(tidy(_contexts(width)), "rk bigint, pos int, lo int, hi int, c1 bigint, n bigint, core bigint, data binary")
     contexts = stored(contexts, "contexts")
-    parts = stored(contexts.mapInArrow(tidy(_parts(width)), "rk bigint, pos int, c1 bigint, n bigint, first int, last int, inner bigint, o1 bigint, o2 bigint"), "parts")
+    parts = stored(contexts.mapInArrow(tidy(_parts(width)), "rk bigint, pos int, lo int, c1 bigint, n bigint, first int, last int, inner bigint, o1 bigint, o2 bigint"), "parts")
     whole = stored(parts.groupBy("o1", "o2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("o1", "o2"), "wholes")
     whole_marks = parts.where("n = 1").join(whole, ["o1", "o2"]).select("rk", F.col("first").alias("lo"), F.col("last").alias("hi"))
     outer = F.struct("o1", "o2")
     unsure = stored(parts.groupBy("inner").agg(F.min(outer).alias("x"), F.max(outer).alias("y")).where("x < y").select("inner"), "unsure")
-    ranges = parts.join(unsure, "inner").groupBy("rk", "pos").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    strings = contexts.join(ranges, ["rk", "pos"]).mapInArrow(tidy(_strings(width)), "rk bigint, at int, c1 bigint, n bigint, w1 bigint, w2 bigint")
+    # a sample at the edge of a piece has two contexts, told apart by their first starts
+    ranges = parts.join(unsure, "inner").groupBy("rk", "pos", "lo").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    strings = contexts.join(ranges, ["rk", "pos", "lo"]).mapInArrow(tidy(_strings(width)), "rk bigint, at int, c1 bigint, n bigint, w1 bigint, w2 bigint")
     strings = stored(strings, "strings")
     again = stored(strings.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("w1", "w2"), "again")
     string_marks = strings.where("n = 1").join(again, ["w1", "w2"]).select("rk", F.col("at").alias("lo"), F.col("at").alias("hi"))

@@ -129,6 +129,18 @@ def test_repeats_with_edits_periods_and_edges(spark):
     assert [got[i] for i in range(len(texts))] == removed(texts)
 
 
+def test_repeats_around_the_pieces_of_long_texts(spark):
+    rng = np.random.default_rng(2)
+    a, b = ("".join(np.array(list("abcdefgh"))[rng.integers(0, 8, (1 << 22) + 3000)]) for _ in range(2))
+    at = (1 << 22) - 250
+    passage = b[at : at + 500]
+    texts = [a, b, "#" + passage + "#"]  # nothing else occurs twice
+    want = [(len(a), 0, 0, a.encode()), (len(b), 500, 1, (b[:at] + b[at + 500 :]).encode()), (502, 500, 1, b"##")]
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i][:3] for i in range(3)] == [w[:3] for w in want]
+    assert [got[i][3] == w[3] for i, w in enumerate(want)] == [True] * 3
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
