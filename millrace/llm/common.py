@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +22,11 @@ _SHIPPED: set[str] = set()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below an own temporary folder only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below an own folder if all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN_ROOT.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return f"{root.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"
@@ -46,7 +51,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     with _shuffles_go_when_written(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more: what was made from them has been written."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -72,11 +88,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str | pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together hold about ``most_bytes``: bounds what numpy needs at a time."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    texts = batch.column(column) if isinstance(column, str) else column
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begin, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most_bytes:
@@ -87,16 +104,49 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
         yield begin, len(sizes)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A batch function that gives freed memory back to the system when its task ends, as workers live on."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each hold about a megabyte."""
+    for batch in batches:
+        for a, b in slices(batch, column):
+            yield batch.slice(a, b - a)
+
+
+#: What this Python worker keeps from one task to the next of the same operator, by kind and key.
+_KEPT: dict[str, dict[str, Any]] = {}
+
+
+def kept(kind: str, key: str, make: Callable[[], Any]) -> Any:
+    """An object that later tasks of the same kind in this worker find again; tasks of another kind drop it."""
+    own = _KEPT.setdefault(kind, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _drop_others(kind: str) -> None:
+    if others := _KEPT.keys() - {kind}:
+        for other in others:
+            del _KEPT[other]
+        gc.collect()
+        _give_back()
+
+
+def tidy(run: Callable[[Iterator], Iterator], kind: str = "") -> Callable[[Iterator], Iterator]:
+    """A batch function for workers that live on: it begins by dropping what tasks of other kinds have kept, and
+    gives freed memory back to the system when its task ends."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        _drop_others(kind)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return wrapped
 

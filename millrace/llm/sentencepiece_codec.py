@@ -23,7 +23,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import kept, tidy
 
 SPACE = "▁"
 #: Entries of each of the two generations of a worker's memory.
@@ -194,18 +194,9 @@ def decode_bytes(run: bytes) -> str:
     return "".join(out)
 
 
-_MODELS: dict[str, MergeModel] = {}
-
-
-def _model(path: str) -> MergeModel:
-    if path not in _MODELS:
-        _MODELS[path] = MergeModel(path)
-    return _MODELS[path]
-
-
 def _encode(path: str, add_end: bool, audit_every: int, with_text: bool, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(path)
+        m = kept("sentencepiece", path, lambda: MergeModel(path))
         end = f" {m.end}" if add_end else ""
         for batch in batches:
             docs = batch.column(id_col).to_pylist()
@@ -262,4 +253,4 @@ def encode_decode(docs: DataFrame, model: str, *, add_end: bool = True, audit_ev
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
-    return docs.select(id_col, text_col).mapInArrow(tidy(_encode(model, add_end, audit_every, with_text, id_col, text_col)), schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(_encode(model, add_end, audit_every, with_text, id_col, text_col), "sentencepiece"), schema)

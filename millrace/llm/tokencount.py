@@ -7,7 +7,8 @@ every start state at once, which gives its state map, and the maps compose throu
 The second is a transducer over the bytes of a pre-token. Its transitions carry the number of tokens that a byte
 adds (or takes away): with the last token of each prefix known, the next prefix ends in the one token that may
 follow its predecessor. States are made when they are first reached and forgotten when there are too many, so
-that the machine stays bounded; counts of whole pre-tokens are remembered the same way.
+that the machine stays bounded; counts of whole pre-tokens are remembered the same way. A pre-token of more than
+400 bytes, a run of one kind of character, is counted prefix by prefix by the same rule without new states.
 
 The strings of the file's special tokens count as one token wherever they stand, as the library does by default.
 Defined cases: a null or empty text has no tokens; repeated rows give repeated results; other columns are not read.
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts, tidy
+from .common import kept, texts, tidy
 
 #: Entries of each of the two generations of remembered pre-tokens, and states of the transducer.
 GENERATION, STATES = 200_000, 400_000
@@ -267,18 +268,9 @@ class CountingTransducer:
         return total
 
 
-_MACHINES: dict[str, CountingTransducer] = {}
-
-
-def _machine(path: str) -> CountingTransducer:
-    if path not in _MACHINES:
-        _MACHINES[path] = CountingTransducer(path)
-    return _MACHINES[path]
-
-
 def _count(path: str, limit: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(path)
+        machine = kept("tokencount", path, lambda: CountingTransducer(path))
         for batch in batches:
             own, counts, group, held = texts(batch, text_col), [], [], 0
             for text in own:
@@ -296,4 +288,4 @@ def _count(path: str, limit: int, id_col: str, text_col: str):
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, n_bytes, n_tokens, over_limit) for every row; ``tokenizer`` is a file on every executor."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(tidy(_count(tokenizer, limit, id_col, text_col)), f"doc {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(_count(tokenizer, limit, id_col, text_col), "tokencount"), f"doc {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -1,14 +1,15 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of words and of word beginnings, induced from labelled rows and split by kind
-and strength, and patterns such as shouting. Each votes toxic, clean or abstains. A generative label model, fitted
-by expectation maximisation over the counts of vote patterns, estimates every voter's accuracy; the correlation of
-voters within a class discounts those that repeat each other. Its posteriors, not the labels themselves, are what
-a linear classifier over words, word beginnings and votes is trained on. The given label is one voter more.
+Many voters look at a text: a lexicon of common insults, lexicons of words and of word beginnings, induced from
+labelled rows and split by kind and strength, and patterns such as shouting. Each votes toxic, clean or abstains. A
+generative label model, fitted by expectation maximisation over the counts of vote patterns, estimates every voter's
+accuracy and which voters depend on each other within the classes. Its posteriors, not the labels themselves, are
+what a linear classifier over words, word beginnings and votes is trained on. The given label is one voter more,
+with an accuracy to estimate like all others.
 
 The lexicons and the classifier are fitted on a bounded sample of the labelled rows, ``max_rows`` by a hash of the
-id; features and vote patterns that reach the driver are bounded by ``max_features`` and ``max_rows``. Every
-document is scored over its whole text from the text alone.
+id, which bounds what reaches the driver: the sample's vote patterns, and those of its features whose likelihood
+ratio exceeds what chance leaves among so many. Every document is scored over its whole text from the text alone.
 
 Defined cases: a null or empty text has no features and gets a score from the votes alone; without labelled rows of
 both classes no voter speaks and every score is the prior; repeated rows score alike; other columns are not read.
@@ -27,11 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, texts, tidy
+from .common import pieces, slices, stored, texts, tidy
 
 _TRIM = ".,;:!?|\"'()[]{}<>*%-_"
 _LONG_RUN = re.compile(r"(\w)\1{3,}")
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Common insults in the languages served, a voter that owes nothing to the labels.
+INSULTS = (
+    "asshole", "bastard", "bitch", "cretin", "dickhead", "disgusting", "dumbass", "filth", "freak", "garbage", "hate", "idiot", "imbecile", "loser", "lowlife", "moron", "pathetic", "scum", "shithead", "stupid", "trash", "vermin", "worthless",
+    "abschaum", "arschloch", "blödmann", "depp", "dummkopf", "dreckskerl", "hurensohn", "trottel", "vollidiot",
+    "basura", "cabrón", "cretino", "escoria", "estúpido", "gilipollas", "idiota", "imbécil", "pendejo",
+    "abruti", "connard", "crétin", "débile", "enfoiré", "ordure", "salaud", "stupide",
+)
 PATTERNS = ("shouted", "exclaimed", "stretched", "digits", "lines")
 
 
@@ -109,48 +117,75 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def _tree(information: np.ndarray) -> np.ndarray:
+    """Parent of each voter in the tree of the greatest total information, -1 for the root, the last voter."""
+    m = len(information)
+    parent, best = np.full(m, m - 1), information[m - 1].copy()
+    inside = np.zeros(m, bool)
+    inside[m - 1], parent[m - 1] = True, -1
+    for _ in range(m - 1):
+        i = int(np.where(inside, -np.inf, best).argmax())
+        inside[i] = True
+        nearer = ~inside & (information[i] > best)
+        best[nearer], parent[nearer] = information[i][nearer], i
+    return parent
+
+
 def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of toxic for each row of ``votes`` (-1, 0, 1), and the estimates.
+    """Posterior of toxic for each row of ``votes`` (-1, 0, 1; the last is the given label), and the estimates.
 
-    Class-conditional vote frequencies are fitted by expectation maximisation. After each fit the correlations of
-    the votes within the classes give each voter the weight 1 / (sum of squared correlations with all voters), its
-    own included, so that k voters that say the same count as one.
+    A generative model with correlations: given the class, voters form a tree in which each vote depends on one
+    other voter's, the one that tells most about it within the classes. Expectation maximisation estimates the
+    tree, its tables and the class share together; the given label only says where it begins. A voter that
+    repeats another is certain once that one is known, and so adds no evidence.
     """
     n, m = votes.shape
-    weight = np.ones(m)
-    post = np.clip((votes[:, -1] + 1) / 2, 0.02, 0.98)  # begins with the given label
-    levels = [(votes == v).astype(float) for v in (-1, 0, 1)]
-    for _ in range(rounds):
-        logs = []
+    post = np.clip((votes[:, -1] + 1) / 2, 0.02, 0.98)
+    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float).reshape(n, 3 * m)
+    level, voter = votes.astype(int) + 1, np.arange(m)
+    parent = np.full(m, -1)
+    for k in range(rounds):
+        shares, pairs, information = [], [], np.zeros((m, m))
         for q in (1 - post, post):
             c = q * counts
-            table = np.stack([(x * c[:, None]).sum(0) + 0.5 for x in levels])
-            table /= table.sum(0)
-            logs.append(sum(x * np.log(t) for x, t in zip(levels, table, strict=True)))
+            joint = (hot.T @ (hot * c[:, None])).reshape(m, 3, m, 3) + 0.5 / 3
+            joint /= joint.sum((1, 3), keepdims=True)
+            alone = np.einsum("iaia->ia", joint)
+            alone = (alone + 1e-9) / (alone + 1e-9).sum(1, keepdims=True)
+            gain = joint * np.log(joint / (joint.sum(3)[:, :, :, None] * joint.sum(1)[:, None, :, :]))
+            information += c.sum() / counts.sum() * gain.sum((1, 3))
+            shares.append(np.stack([((votes == v) * c[:, None]).sum(0) + 0.5 for v in (-1, 0, 1)], axis=1))
+            pairs.append(joint)
+        if k < 20:  # then the tree stays, and the estimates settle
+            parent = _tree((information + information.T) / 2)
+        logs = []
+        for share, joint in zip(shares, pairs, strict=True):
+            own = np.log(share / share.sum(1, keepdims=True))[voter, level]
+            given = joint[voter, :, parent, :]
+            given = np.log(given / given.sum(1, keepdims=True))[voter, level, level[:, parent]]
+            logs.append(np.where(parent >= 0, given, own))
         prior = np.clip((post * counts).sum() / counts.sum(), 1e-4, 1 - 1e-4)
-        odds = np.log(prior / (1 - prior)) + ((logs[1] - logs[0]) * weight).sum(1)
+        odds = np.log(prior / (1 - prior)) + (logs[1] - logs[0]).sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-        centred = np.zeros((m, m))
-        for q in (1 - new, new):
-            c = q * counts
-            mean = (votes * c[:, None]).sum(0) / max(c.sum(), 1e-9)
-            d = votes - mean
-            centred += (d * c[:, None]).T @ d
-        spread = np.sqrt(np.diag(centred)) + 1e-9
-        correlation = centred / np.outer(spread, spread)
-        weight = 1 / np.maximum((correlation**2).sum(1), 1)
-        weight[-1] = 1  # a given label is evidence of its own
-        if np.abs(new - post).max() < 1e-6:
-            break
+        moved = np.abs(new - post).max()
         post = new
+        if k >= 20 and moved < 1e-6:
+            break
+    evidence = (np.abs(logs[1] - logs[0]) * counts[:, None]).sum(0) / counts.sum()
+    centred = np.zeros((m, m))
+    for q in (1 - post, post):
+        c = q * counts
+        d = votes - (votes * c[:, None]).sum(0) / max(c.sum(), 1e-9)
+        centred += (d * c[:, None]).T @ d
+    spread = np.sqrt(np.diag(centred)) + 1e-9
     right = [((votes == s) * (q * counts)[:, None]).sum(0) for s, q in ((1, post), (-1, 1 - post))]
     spoken = ((votes != 0) * counts[:, None]).sum(0)
-    return post, {"accuracy": (right[0] + right[1]) / np.maximum(spoken, 1e-9), "correlation": correlation, "weight": weight}
+    return post, {"accuracy": (right[0] + right[1]) / np.maximum(spoken, 1e-9), "correlation": centred / np.outer(spread, spread), "parent": parent, "evidence": evidence}
 
 
 def _feature_rows(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             labels = batch.column("label").to_pylist()
             found = [sorted(features(x)) for x in texts(batch, text_col)]
             yield pa.RecordBatch.from_pydict({"feature": pa.array([x for own in found for x in own], pa.string()), "label": pa.array([y for y, own in zip(labels, found, strict=True) for _ in own], pa.int32())})
@@ -160,7 +195,7 @@ def _feature_rows(text_col: str):
 
 def _vote_rows(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             rows = [model.value.votes(x, model.value.known(x)) + [2 * y - 1] for x, y in zip(texts(batch, text_col), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"votes": pa.array([",".join(map(str, r)) for r in rows], pa.string())})
 
@@ -170,7 +205,7 @@ def _vote_rows(model, text_col: str):
 def _training_rows(model, posterior, index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, size = index.value, len(index.value)
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             out: dict[str, list] = {"label": [], "weight": [], "at": [], "values": []}
             for x, y in zip(texts(batch, text_col), batch.column("label").to_pylist(), strict=True):
                 found = model.value.known(x)
@@ -189,7 +224,7 @@ def _training_rows(model, posterior, index, text_col: str):
     return run
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_000, least_support: int = 5, least_odds: float = 2.0, least_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(labelled: DataFrame, *, max_rows: int = 20_000, least_odds: float = 2.0, least_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from rows (id, text, label 0/1), at most about ``max_rows`` of them by a hash of the id."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
@@ -205,7 +240,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     if not good or not bad:
         share = (bad + 0.5) / (good + bad + 1)
         return Model(bias=math.log(share / (1 - share)))
-    seen = sample.mapInArrow(tidy(_feature_rows("text")), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least_support)
+    seen = sample.mapInArrow(tidy(_feature_rows("text")), "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     # toxic features: much commoner in toxic rows, by more than chance leaves among so many (likelihood ratio)
     seen = stored(seen, "features")
     least_ratio = 2 * math.log(max(seen.count(), 2)) if least_ratio is None else least_ratio
@@ -214,13 +249,14 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     odds = F.log((k + 0.5) / (bad + 1)) - F.log((n_k + 0.5) / (good + 1))
     ratio = 2 * (k * F.log(F.greatest(k, F.lit(1)) / (F.col("n") * base)) + n_k * F.log(F.greatest(n_k, F.lit(1)) / (F.col("n") * (1 - base))))
     strong = seen.select("feature", odds.alias("odds"), ratio.alias("ratio")).where(f"odds > {least_odds} AND ratio > {least_ratio}")
-    strong = strong.orderBy(F.desc("ratio"), "feature").limit(max_features).collect()
+    strong = strong.collect()
 
     # lexicons: toxic features by kind and by strength, each strength dealt to two voters
     strong.sort(key=lambda r: (-r["odds"], r["feature"]))
-    model = Model()
+    common = {"w" + x for x in INSULTS}
+    model = Model(lexicons=[common], lexicon_of=dict.fromkeys(common, 0))
     for kind in ("w", *map(str, BEGINNINGS)):
-        own = [r["feature"] for r in strong if r["feature"][0] == kind]
+        own = [r["feature"] for r in strong if r["feature"][0] == kind and r["feature"] not in common]
         third = -(-len(own) // 3) or 1
         for begin in range(0, len(own), third):
             for parity in (0, 1):
@@ -247,11 +283,17 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, max_features: int = 20_0
     return model
 
 
-def _scores(model):
+def _scores(model, place: int):
+    """``place`` is where the text stands in the struct ``row``: it travels once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([m.score(x) for x in texts(batch, "text")], pa.float64())], names=["row", "score"])
+            rows = batch.column("row")
+            own = rows.field(place)
+            for a, b in slices(batch, own):
+                scores = [m.score(x or "") for x in own.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return run
 
@@ -259,8 +301,8 @@ def _scores(model):
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """Rows (row, score): all columns of ``docs`` in a struct, and 0 to 1, the higher the likelier toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_scores(shared)), StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(tidy(_scores(shared, docs.columns.index(text_col))), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

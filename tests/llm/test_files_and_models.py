@@ -106,8 +106,20 @@ def test_label_model_discounts_voters_that_repeat_each_other():
     votes = np.stack([one, one, one, vote(0.9), vote(0.85), vote(0.95)], axis=1)
     post, found = label_model(votes, np.ones(4000))
     assert ((post > 0.5) == truth).mean() > 0.93
-    assert found["weight"][0] < 0.5 < found["weight"][3] and found["correlation"][0, 1] > 0.99
-    assert abs(found["accuracy"][3] - 0.9) < 0.05
+    assert found["correlation"][0, 1] > 0.99 and abs(found["accuracy"][3] - 0.9) < 0.05
+    copies = sorted(found["evidence"][:3])
+    assert copies[1] < 0.02 < copies[2] < found["evidence"][3]  # two of three that say the same add nothing
+    again, _ = label_model(votes[:, [0, 3, 4, 5]], np.ones(4000))
+    assert np.abs(again - post).max() < 0.05
+
+
+def test_label_model_estimates_the_given_label_too():
+    rng = np.random.default_rng(1)
+    truth = rng.random(6000) < 0.3
+    vote = lambda right: np.where(rng.random(6000) < right, truth, ~truth) * 2 - 1
+    votes = np.stack([*(vote(0.9) for _ in range(6)), vote(0.7)], axis=1)  # the last, the given label, is often wrong
+    post, found = label_model(votes, np.ones(6000))
+    assert ((post > 0.5) == truth).mean() > 0.97 and abs(found["accuracy"][-1] - 0.7) < 0.04
 
 
 def test_toxicity_learns_words_and_beginnings(spark, odd, none):
