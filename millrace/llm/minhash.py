@@ -6,10 +6,10 @@ keys. Within a bucket only edges from one centre to the others are candidates, s
 n - 1 pairs. Documents with the same shingle set are one node from the start. Candidates are confirmed on the
 full shingle sets. Further rounds look only at buckets whose members are not yet in one component, with another
 centre drawn for each bucket; they settle large groups cheaply. Members of buckets that are open after that are
-compared by prefixes: with shingles in one order for all, rare ones first, two sets at the threshold share one
-of their first n - ceil(percent * n / 100) + 1 shingles, and so many must follow it in both, so that every
-remaining link is among the candidates. Pairs within one component are never made. With 40 bands of 6 rows a
-pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
+compared by prefixes within each bucket: with shingles in one order for all, rare ones first, two sets at the
+threshold share one of their first n - ceil(percent * n / 100) + 1 shingles, and so many must follow it in both, so
+that every remaining link is among the candidates. Pairs within one component are never made. With 40 bands of 6
+rows a pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; a null id keeps its row, is linked with nothing and has a null component; each row
@@ -158,21 +158,31 @@ def _prefixes(tally: np.ndarray, percent: int):
     return run
 
 
-def _by_prefixes(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that hold all links between them."""
+def _by_prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that hold all links between them within the buckets.
+
+    ``open_rows`` has (key, node, component). Components meet at a shingle of a bucket first, with what is known of
+    all their members there, so that members of the same component are never paired.
+    """
     tally = np.zeros(_SLOTS, np.int32)
     for r in sets.mapInArrow(tidy(_tally), "slot int, k bigint").groupBy("slot").agg(F.sum("k").alias("k")).toArrow().to_batches():
         tally[np.asarray(r.column("slot"))] = np.minimum(np.asarray(r.column("k")), np.iinfo(np.int32).max)
-    grams = open_nodes.join(sets, "node").select("node", "component", "shingles").mapInArrow(tidy(_prefixes(tally, percent)), "shingle bigint, node bigint, component bigint, n bigint, place bigint")
+    nodes = open_rows.groupBy("node", "component").agg(F.collect_set("key").alias("keys"))  # as many as bands at most
+    grams = nodes.join(sets, "node").select("node", "component", "shingles").mapInArrow(tidy(_prefixes(tally, percent)), "shingle bigint, node bigint, component bigint, n bigint, place bigint")
     grams = stored(grams, "prefixes")
     met = stored(grams.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "met")
-    grams = stored(grams.join(met, "shingle").distinct(), "prefixes")
-    # components meet first, so that members of the same one are never paired
-    sides = stored(grams.select("shingle", "component").distinct(), "sides")
-    meeting = sides.withColumnRenamed("component", "x").join(sides.withColumnRenamed("component", "y"), "shingle").where("x < y")
-    of = lambda side, c: grams.select("shingle", F.col("component").alias(c), F.col("node").alias(side), F.col("n").alias(f"n{side}"), (F.col("n") - F.col("place")).alias(f"left_{side}"))
-    pairs = meeting.join(of("a", "x"), ["shingle", "x"]).join(of("b", "y"), ["shingle", "y"])
-    pairs = pairs.where(f"least(left_a, left_b) * {100 + percent} >= {percent} * (na + nb)")
+    grams = grams.join(met, "shingle").join(nodes.select("node", "keys"), "node")
+    grams = grams.select("node", "component", "n", (F.col("n") - F.col("place")).alias("left"), F.explode("keys").alias("key"), "shingle")
+    grams = stored(grams.select("node", "component", "n", "left", F.xxhash64("key", "shingle").alias("at")), "prefixes")
+    sides = grams.groupBy("at", "component").agg(F.min("n").alias("least"), F.max("left").alias("left"))
+    met = stored(sides.groupBy("at").agg(F.count("*").alias("k")).where("k > 1").select("at"), "met")
+    sides = stored(sides.join(met, "at"), "sides")
+    side = lambda c: sides.select("at", F.col("component").alias(c), F.col("least").alias(f"n{c}"), F.col("left").alias(f"left_{c}"))
+    enough = "least(left_{0}, left_{1}) * {2} >= {3} * (n{0} + n{1})"
+    meeting = side("x").join(side("y"), "at").where("x < y AND " + enough.format("x", "y", 100 + percent, percent)).select("at", "x", "y")
+    of = lambda s, c: grams.select("at", F.col("component").alias(c), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("left").alias(f"left_{s}"))
+    pairs = meeting.join(of("a", "x"), ["at", "x"]).join(of("b", "y"), ["at", "y"])
+    pairs = pairs.where(enough.format("a", "b", 100 + percent, percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -229,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
         if not k or not found.isEmpty():
             reached = components(links).select("node", "component")
     # the first round has tried the only pair of a bucket of two
-    left = stored(unsettled(3).select("node", "component").distinct(), "open")
+    left = unsettled(3).select("key", "node", "component")
     if not left.isEmpty():
         pairs = stored(_by_prefixes(left, sets, int(percent)).join(tried, ["a", "b"], "left_anti"), "candidates")
         found = confirmed(pairs)

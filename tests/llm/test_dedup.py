@@ -75,7 +75,22 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, none, k):
 def test_links_between_members_of_a_chain_are_found(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[10 * k : 10 * k + 200]) for k in range(12)]  # each like its neighbour, not like the first
-    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words_each=2, rounds=6).collect()
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words_each=2).collect()
+    assert {r.component for r in got} == {0}
+
+
+def test_links_within_one_crowded_bucket_are_found(spark):
+    run, texts = " ".join(f"t{i}" for i in range(101)), []
+    for i in range(300):  # two words that each pair shares make the difference between 0.794 and 0.823
+        texts.append(f"{run} p{i // 2} q{i // 2} " + " ".join(f"o{i}x{k}" for k in range(11)))
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words_each=2).collect()
+    assert {r.doc: r.component for r in got} == {i: i - i % 2 for i in range(300)}
+
+
+def test_links_along_a_ring_are_found(spark):
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join((words + words)[10 * k : 10 * k + 200]) for k in range(60)]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words_each=2).collect()
     assert {r.component for r in got} == {0}
 
 
