@@ -2,13 +2,15 @@
 
 A payload is stored as a binary PGM image, 24 samples of 8 bits a row. The stored bytes are cut where a rolling
 gear hash (the last 32 bytes decide) has its low bits all zero, between a least and a greatest chunk size. Chunks
-travel compressed to one row for each digest and rest in a table bucketed by digest; each document keeps the
+travel compressed to one row for each digest and rest in files bucketed by digest; each document keeps the
 ordered list of its digests. Reading joins the lists with the chunks, of which only the lists move, brings each
-document's chunks together in order, joins them and checks the whole against its digest.
+document's chunks together in order, joins them and checks the whole against its digest. Chunks that hold a
+thousandth of all list entries or more, of which there are a thousand at most, are broadcast to the lists instead,
+so that a chunk that very many documents share falls to no single task.
 
 Defined cases: a null or empty text is a payload of padding alone; equal texts give equal values; rows that repeat
-an id and text are rebuilt once and returned as often as they occur; an empty table gives an empty result. Other
-columns are not read.
+an id and text are rebuilt once and returned as often as they occur, those with a null id too; an empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _shuffles_go_when_written, scratch, texts, tidy
+from .common import _shuffles_go_when_written, scratch, stored, texts, tidy
 
 _WIDTH, _UNIT = 24, 576
 _GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -146,18 +148,14 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.extend([row] * copies)
 
     schema = None
-    key, parts, last, copies, out = None, [], -1, 0, []
+    key, parts, copies, out = None, [], 0, []
     for batch in batches:
         schema = pa.schema([("doc", batch.schema.field("doc").type), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-        for doc, whole, place, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "whole", "place", "data")), strict=True):
+        for doc, whole, times, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "whole", "times", "data")), strict=True):
             if (doc, whole) != key:
                 finish()
-                key, parts, last, copies = (doc, whole), [], -1, 0
-            if place == 0:
-                copies += 1
-            if place != last:
-                parts.append(bz2.decompress(data))
-                last = place
+                key, parts, copies = (doc, whole), [], times
+            parts.append(bz2.decompress(data))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
             out = []
@@ -166,21 +164,38 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_and_read(docs: DataFrame, *, least: int = 1024, bits: int = 12, most: int = 32768, hot_entries: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as chunked media and read it back: rows (doc, n_bytes, payload_..., media_..., feature).
 
-    Chunks have ``least`` to ``most`` bytes and about 2 ** ``bits`` more than the least on average.
+    Chunks have ``least`` to ``most`` bytes and about 2 ** ``bits`` more than the least on average. Chunks with at
+    least ``hot_entries`` list entries and a thousandth of all are broadcast: 1,000 times ``most`` bytes at the most.
     """
     spark, shape = docs.sparkSession, (least, bits, most)
     narrow = docs.select(id_col, text_col)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    stored_chunks = _bucketed(narrow.mapInArrow(tidy(_chunks(text_col, shape)), "digest binary, data binary"))
+    lists = narrow.mapInArrow(tidy(_lists(id_col, text_col, shape)), f"doc {kind}, whole binary, place int, digest binary")
+    lists = stored(lists.groupBy("doc", "whole", "place", "digest").agg(F.count("*").alias("times")), "lists")
+    share = lists.groupBy("digest").agg(F.count("*").alias("n"))
+    hot = [r["digest"] for r in share.where(F.col("n") >= F.lit(max(hot_entries, lists.count() // 1000))).select("digest").collect()]  # 1,000 at most
+    in_order = ["doc", "whole", "place", "times", "data"]
+    parts = lists.where(~F.col("digest").isin(hot)).join(stored_chunks.hint("merge"), "digest").select(in_order)
+    if hot:
+        few = stored_chunks.where(F.col("digest").isin(hot))
+        parts = parts.unionByName(lists.where(F.col("digest").isin(hot)).join(F.broadcast(few), "digest").select(in_order))
+    ordered = parts.repartition("doc", "whole").sortWithinPartitions("doc", "whole", "place")
+    return ordered.select("doc", "whole", "times", "data").mapInArrow(tidy(_rebuild), f"doc {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+
+
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """One row for each digest, in files bucketed and sorted by digest; the catalogue keeps no entry of them."""
+    spark = chunks.sparkSession
     name, path = f"millrace_chunks_{uuid.uuid4().hex}", scratch(spark, "chunks")
-    chunks = narrow.mapInArrow(tidy(_chunks(text_col, shape)), "digest binary, data binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _shuffles_go_when_written(spark):
         distinct = chunks.groupBy("digest").agg(F.first("data").alias("data"))
         distinct.write.option("compression", "none").option("path", path).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
-    kind = docs.schema[id_col].dataType.simpleString()
-    lists = narrow.mapInArrow(tidy(_lists(id_col, text_col, shape)), f"doc {kind}, whole binary, place int, digest binary")
-    parts = lists.join(spark.table(name).hint("merge"), "digest")
-    ordered = parts.repartition("doc").sortWithinPartitions("doc", "whole", "place")
-    return ordered.select("doc", "whole", "place", "data").mapInArrow(tidy(_rebuild), f"doc {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved now, as the entry goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out

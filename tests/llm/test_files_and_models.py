@@ -52,14 +52,16 @@ def test_chunks_rebuild_every_payload():
 
 
 def test_media_of_odd_rows(odd, odd_rows, none):
-    got = sorted((r.doc is None, r.doc or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in store_and_read(odd).collect())
     want = []
     for i, t, *_ in odd_rows:
         b = (t or "").encode()
         p = b + b"\xff" * (576 if not b else -len(b) % 576)
-        want.append((i is None, i or 0, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), hashlib.sha256(image(t or "")).hexdigest()))
-    assert got == sorted(want)
+        want.append((i is None, i or 0, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image(t or "")), hashlib.sha256(image(t or "")).hexdigest(), ",".join(map(str, [*(sum(x >> 5 == k for x in p) for k in range(8)), sum(p), sum(y > x for x, y in zip(p, p[1:], strict=False))]))))
+    for hot in (1, 1000):  # with and without chunks that are broadcast
+        got = sorted((r.doc is None, r.doc or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in store_and_read(odd, hot_entries=hot).collect())
+        assert got == sorted(want)
     assert store_and_read(none).count() == 0
+    assert not [t for t in odd.sparkSession.catalog.listTables() if t.name.startswith("millrace_")]
 
 
 def test_shares_stop_at_the_cap_and_pass_the_rest_on():
