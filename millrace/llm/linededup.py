@@ -7,14 +7,14 @@ document sets too. Each task sends its filters as compressed slices; slices merg
 are not all in *twice* occurs in one document only: it never leaves its task again. Only the suspected repeats
 shuffle, as 128-bit digests, for the exact count and the first document.
 
-The filters' size is a parameter, not a function of the data: 2 x 16 MB by default, which is all that the driver
-and each executor hold. Beyond a few hundred million lines the filter fills up and more lines are suspected;
-the result stays exact.
-
-Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points always stay;
-documents with the same id are one document; a null id sorts after all others; repeated rows give repeated
-results; an empty table gives an empty one. Other columns pass
-through unread, whatever their names.
+A filter has at least six bits for each line of the table, up to ``most_bits`` (256 MB), which is all that the driver
+and each executor hold. With three hashes it is a third full then. Beyond some 350 million lines it fills up, and
+from three times as many on most lines are suspected and shuffle as digests; the result stays exact.
+
+Defined cases: ids are integers; a null or empty text is one empty line; keys shorter than ``min_chars`` code points
+always stay; documents with the same id are one document; a null id, as which the largest long counts too, sorts
+after all others; repeated rows give repeated results; an empty table gives an empty one. Other columns pass through
+unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .common import stored, texts, tidy
 
 _STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LAST = (1 << 63) - 1
-_SLICE_BITS = 1 << 21
+_SLICE_BITS, _BITS_A_LINE = 1 << 21, 6
 _KEYS = "array<struct<k1:bigint,k2:bigint>>"
 
 
@@ -101,16 +101,17 @@ def _suspects(min_chars: int, bits: int, hashes: int, twice, id_col: str, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            found, docs = bytearray(), []
-            for doc, text in zip(batch.column(id_col).to_pylist(), texts(batch, text_col), strict=True):
+            found, docs, rks = bytearray(), [], []
+            for doc, rk, text in zip(batch.column(id_col).to_pylist(), batch.column("rk").to_pylist(), texts(batch, text_col), strict=True):
                 own = {d for line in text.encode().split(b"\n") if (d := _digest(line, min_chars))}
                 found += b"".join(own)
                 docs += [_LAST if doc is None else doc] * len(own)
+                rks += [rk] * len(own)
             rows = np.frombuffer(bytes(found), np.uint64).reshape(-1, 2)
             at = _positions(rows, bits, hashes)
             hit = (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).all(axis=0)
             signed = rows.view(np.int64)[hit]
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(np.array(docs, np.int64)[hit]), "k1": pa.array(np.ascontiguousarray(signed[:, 0])), "k2": pa.array(np.ascontiguousarray(signed[:, 1]))})
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(np.array(docs, np.int64)[hit]), "rk": pa.array(np.array(rks, np.int64)[hit]), "k1": pa.array(np.ascontiguousarray(signed[:, 0])), "k2": pa.array(np.ascontiguousarray(signed[:, 1]))})
 
     return run
 
@@ -133,27 +134,33 @@ def _apply(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27, hashes: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int | None = None, most_bits: int = 1 << 31, hashes: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (row, kept, n_lines, n_dropped): ``row`` holds all other columns of ``docs``, ``kept`` the text that stays.
 
     Lines whose key has ``min_chars`` code points and stands in at least two documents stay only in the one with
-    the smallest id. ``bits`` and ``hashes`` shape the filters and change no result.
+    the smallest id. ``bits``, by default from the number of lines up to ``most_bits``, and ``hashes`` shape the
+    filters and change no result.
     """
     spark = docs.sparkSession
     narrow = docs.select(id_col, text_col)
+    if bits is None:
+        lines = narrow.agg(F.sum(F.coalesce(F.regexp_count(text_col, F.lit("\n")), F.lit(0)) + 1)).first()[0] or 0
+        bits = min(most_bits, max(_SLICE_BITS, 1 << (_BITS_A_LINE * lines - 1).bit_length()))
     layout = "slice int, salt int, once binary, twice binary"
     parts = narrow.mapInArrow(tidy(_bloom_slices(min_chars, bits, hashes, id_col, text_col)), layout)
     merged = parts.repartition("slice", "salt").mapInArrow(tidy(_merge), layout).withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(tidy(_merge), layout)
     bitmap = bytearray(-(-bits // 8))
-    for r in merged.select("slice", "twice").collect():  # 64 slices of 256 KB, whatever the input
+    for r in merged.select("slice", "twice").collect():  # slices of 256 KB, ``bits`` in all
         begin = r["slice"] * _SLICE_BITS // 8
         bitmap[begin : begin + _SLICE_BITS // 8] = zlib.decompress(bytes(r["twice"]))[: len(bitmap) - begin]
     twice = spark.sparkContext.broadcast(bytes(bitmap))
-    suspects = stored(narrow.mapInArrow(tidy(_suspects(min_chars, bits, hashes, twice, id_col, text_col)), "doc bigint, k1 bigint, k2 bigint"), "suspects")
+    # rows are told apart by id and text, so that documents without an id have lists of their own
+    rk = F.xxhash64(id_col, text_col).alias("rk")
+    suspects = stored(narrow.select(id_col, text_col, rk).mapInArrow(tidy(_suspects(min_chars, bits, hashes, twice, id_col, text_col)), "doc bigint, rk bigint, k1 bigint, k2 bigint"), "suspects")
     first = stored(suspects.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "repeats")
-    drops = suspects.join(first, ["k1", "k2"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
+    drops = suspects.join(first, ["k1", "k2"]).where("doc > first").groupBy("doc", "rk").agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
     others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc"))
-    marked = rows.join(drops.withColumnRenamed("_drops", "drops"), "doc", "left")
+    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc"), rk)
+    marked = rows.join(stored(drops, "drops"), ["doc", "rk"], "left")
     schema = StructType([rows.schema["row"], *StructType.fromDDL("kept string, n_lines bigint, n_dropped bigint").fields])
     return marked.select("row", "text", "drops").mapInArrow(tidy(_apply(min_chars)), schema)

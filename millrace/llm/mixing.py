@@ -4,8 +4,9 @@ Documents are aggregated by membership pattern: the sorted set of sources that h
 routes token capacity to the sources' quotas: each pattern offers its tokens once for nothing and again at a cost
 that grows with every repetition, each source takes its quota, and successive cheapest paths give a flow of least
 cost. Only patterns and sources reach the driver, never documents. What a pattern owes is whole passes over its
-documents plus a rest, and the rest is filled with documents in the order of a seeded hash: a histogram over hash
-buckets finds the bucket where the rest ends, and only that bucket's documents are ordered.
+documents plus a rest, and the rest is filled with documents in the order of a seeded hash: histograms over two hex
+digits of the hash after the other narrow down where the rest ends, and only the documents whose first eight digits
+agree with that place are ordered.
 
 Defined cases: null or blank texts have size 0 and take no words; a null source is a source of its own and sorts
 last; a document without any source is not taken; repeated rows are separate documents of equal rank; an empty
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_HEX_DIGITS = 4  # of the seeded hash: 65,536 buckets
+_STEPS, _DIGITS = 4, 2  # histograms of the seeded hash, of 256 buckets each
 
 
 def words(text: Column) -> Column:
@@ -94,13 +95,13 @@ def mix(docs: DataFrame, sources: Column, size: Column, *, most_repeats: int = 3
 
     ``sources`` is an array column of a row's sources. Sources ordered by code point, null last, weigh ``weights``
     in turn and share the total size; no share exceeds ``most_repeats`` times the source's size. More than
-    ``most_patterns`` different memberships are refused, since they are solved on the driver.
+    ``most_patterns`` different memberships are refused, since they are solved on the driver and broadcast.
     """
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(F.transform(sources, lambda x: F.struct(x.isNull().alias("none"), x.alias("name")))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc"), members.alias("members"), size.alias("size"), order.alias("place"))
-    rows = rows.withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("bucket", F.substring("place", 1, _HEX_DIGITS))
+    rows = rows.withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"}))
     rows = stored(rows, "sized")
     sums = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(most_patterns + 1).collect()
     if len(sums) > most_patterns:
@@ -121,11 +122,14 @@ def mix(docs: DataFrame, sources: Column, size: Column, *, most_repeats: int = 3
     plan = [(r["pattern"], owed[p] // r["size"] if r["size"] else 0, owed[p] % r["size"] if r["size"] else 0, source_size[held[0]] if held else None, float(targets[held[0]]) if held else None) for p, (r, held) in enumerate(zip(sums, own, strict=True))]
     plan = spark.createDataFrame(plan, "pattern string, passes bigint, rest bigint, source_size bigint, target double")
 
-    by_bucket = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("held"))
-    running = Window.partitionBy("pattern").orderBy("bucket")  # at most 65,536 rows a pattern
-    ends = by_bucket.withColumn("upto", F.sum("held").over(running)).join(plan, "pattern").where("upto > rest AND upto - held <= rest")
-    ends = stored(ends.select("pattern", F.col("bucket").alias("last"), (F.col("upto") - F.col("held")).alias("before")), "cut")
-    planned = rows.join(plan.join(ends, "pattern", "left"), "pattern")
+    cut = plan.select("pattern", "rest", F.lit(0).cast("bigint").alias("before"), F.lit("").alias("last"))
+    for k in range(1, _STEPS + 1):  # a pattern has 256 buckets in each step
+        inside = rows.join(F.broadcast(cut), "pattern").where(F.col("place").startswith(F.col("last")))
+        held = inside.groupBy("pattern", "rest", "before", F.substring("place", 1, k * _DIGITS).alias("bucket")).agg(F.sum("size").alias("held"))
+        running = Window.partitionBy("pattern").orderBy("bucket")
+        ends = held.withColumn("upto", F.col("before") + F.sum("held").over(running)).where("upto > rest AND upto - held <= rest")
+        cut = stored(ends.select("pattern", "rest", (F.col("upto") - F.col("held")).alias("before"), F.col("bucket").alias("last")), "cut")
+    planned = rows.withColumn("bucket", F.substring("place", 1, _STEPS * _DIGITS)).join(F.broadcast(plan.join(cut.drop("rest"), "pattern", "left")), "pattern")
     inside = planned.where("bucket = last")
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     inside = inside.withColumn("picked", (2 * upto - F.col("size") <= 2 * F.col("rest")).cast("bigint"))
