@@ -53,6 +53,14 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_sums``, of 64-bit values instead of bytes."""
+    powers, _ = _tables(len(values) + 1)
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers[: len(values)], out=out[1:])
+    return out
+
+
 def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, inverses = _tables(len(sums))
     return mix((sums[end] - sums[begin]) * inverses[begin] + (end - begin).astype(U))

@@ -20,7 +20,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import slices, stored, tidy
+from .common import drop, slices, stored, tidy
 
 _CORE, _PART, _PIECE = 32, 32, 1 << 22
+_WORD_CORE = 12
 _SUFFIX = "rk bigint, pos int, lo int, hi int, core bigint, c1 bigint, c2 bigint"
 _CONTEXT = ["core", "c1", "c2"]
 
@@ -41,16 +42,19 @@ def _two(data: bytes, seed: int = 0) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(data, seed), np.int64).tolist())
 
 
-def samples(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """For each sample: text, position, first and last start of the strings sampled at it (all in ``data``), core."""
+def samples(data: np.ndarray, offsets: np.ndarray, width: int, core: int = _CORE, sums: Callable[[np.ndarray], np.ndarray] = B.prefix_sums) -> tuple[np.ndarray, ...]:
+    """For each sample: text, position, first and last start of the strings sampled at it (all in ``data``), core.
+
+    ``data`` are bytes, or with ``sums`` to match other values, such as the hashes of words.
+    """
     found = []
     for begin in range(0, max(len(data) - width + 1, 0), _PIECE):
         part = data[begin : begin + _PIECE + width - 1]
         with np.errstate(over="ignore"):
-            h = B.window_hash(B.prefix_sums(part), _CORE)
+            h = B.window_hash(sums(part), core)
         mask = np.uint64((1 << 23) - 1)
         least = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
-        span, reach = width - _CORE + 1, 1
+        span, reach = width - core + 1, 1
         while reach * 2 <= span:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
@@ -109,7 +113,9 @@ class Levels:
         self.forks.append(stored(forks.where("new AND x < y").select("core"), "forks"))
         rank = 0
         while rank in self.tables:
-            array, rank = self._merged(array, self.tables.pop(rank)), rank + 1
+            parts = array, self.tables.pop(rank)
+            array, rank = self._merged(*parts), rank + 1
+            drop(*parts)
         self.tables[rank] = array
 
     @staticmethod
@@ -175,10 +181,67 @@ def _strings(width: int):
     return run
 
 
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts one after another, and where each text's begin."""
+    data, offsets = B.joined(column)
+    begin, end, first = B.words(data, offsets)
+    return B.span_hash(B.prefix_sums(data), begin, end), first
+
+
+def _word_samples(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch, "text"):
+                with np.errstate(over="ignore"):
+                    own, first = _word_hashes(batch.column("text").slice(a, b - a))
+                    text, _, lo, hi, core = samples(own, first, words, _WORD_CORE, B.value_sums)
+                    context = B.span_hash(B.value_sums(own), lo, hi + words) if len(lo) else np.zeros(0, np.uint64)
+                base = first[text]
+                yield pa.RecordBatch.from_pydict({
+                    "rk": batch.column("rk").slice(a, b - a).take(pa.array(text)), "core": pa.array(core), "c": pa.array(context.view(np.int64)), "lo": pa.array((lo - base).astype(np.int32)), "hi": pa.array((hi - base).astype(np.int32)),
+                })
+
+    return run
+
+
+def _word_strings(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (rk, wanted) in enumerate(zip(batch.column("rk").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                with np.errstate(over="ignore"):
+                    own, _ = _word_hashes(batch.column("text").slice(i, 1))
+                    h = B.window_hash(B.value_sums(own), words).view(np.int64)
+                found = np.unique(np.concatenate([h[w["lo"] : w["hi"] + 1] for w in wanted]))
+                yield pa.RecordBatch.from_pydict({"rk": pa.array([rk] * len(found), pa.int64()), "w": pa.array(found)})
+
+    return run
+
+
+def repeated_passages(keyed: DataFrame, words: int = 51) -> DataFrame:
+    """Keys (rk) of the texts with a run of ``words`` words that another text has too; rows are (rk, text).
+
+    Works as the byte arrays do, over words: equal contexts are shared runs, and only texts that share a core
+    and no context are looked at again, string by string, with the other contexts of that core.
+    """
+    across = lambda df, *by: df.groupBy(*by).agg(F.min("rk").alias("x"), F.max("rk").alias("y")).where("x < y").select(*by)
+    every = stored(keyed.mapInArrow(tidy(_word_samples(words)), "rk bigint, core bigint, c bigint, lo int, hi int"), "passages")
+    shared = stored(every.join(stored(across(every, "core"), "cores"), "core"), "passages")
+    drop(every)
+    sure = stored(shared.join(across(shared, "core", "c"), ["core", "c"]).select("rk").distinct(), "sure")
+    unsure = shared.join(sure, "rk", "left_anti").select("core").distinct()
+    leads = shared.join(unsure, "core").groupBy("core", "c").agg(F.min(F.struct("rk", "lo", "hi")).alias("r"))
+    wanted = leads.groupBy("r.rk").agg(F.collect_list(F.struct("r.lo", "r.hi")).alias("wanted"))
+    strings = stored(keyed.dropDuplicates(["rk"]).join(wanted, "rk").mapInArrow(tidy(_word_strings(words)), "rk bigint, w bigint"), "passages")
+    out = stored(sure.unionAll(strings.join(across(strings, "w"), "w").select("rk")).distinct(), "repeated")
+    drop(shared, sure, strings)
+    return out
+
+
 def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
+            passage = batch.column("passage")
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data = (text or "").encode()
                 parts, at, n = [], 0, 0
@@ -193,15 +256,17 @@ def _remove(width: int):
                 sizes.append(len(data))
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(n)
-            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "repeats_passage": passage})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, n_bytes, n_removed, n_spans, kept): every byte of a ``width``-byte string that occurs twice goes.
+def remove_repeats(docs: DataFrame, *, width: int = 400, words: int = 51, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc, n_bytes, n_removed, n_spans, kept, repeats_passage), one for each row of ``docs``.
 
-    ``batches`` is how many parts of the table are indexed one after another.
+    Every byte of a ``width``-byte string that occurs twice goes. ``repeats_passage`` is 1 where the text has a run
+    of ``words`` words that another text has too, which may be shorter than ``width`` bytes. ``batches`` is how many
+    parts of the table are indexed one after another.
     """
     if width < 2 * _CORE:
         raise ValueError(f"width must be {2 * _CORE} at least")
@@ -209,6 +274,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
     keyed = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.withColumn("rk", F.xxhash64("doc", "text"))
     suffixes = stored(keyed.select("rk", "text").mapInArrow(tidy(_suffixes(width)), _SUFFIX), "samples")
+    passages = repeated_passages(keyed.select("rk", "text"), words)
     family = Levels()
     for k in range(batches):
         family.insert(suffixes.where(F.pmod("rk", F.lit(batches)) == k))
@@ -232,6 +298,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, batches: int = 4, id_co
     string_marks = strings.where("n = 1").join(again, ["w1", "w2"]).select("rk", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
     marks = suffixes.join(matches, ["c1", "c2"]).select("rk", "lo", "hi").unionAll(whole_marks).unionAll(string_marks)
-    marks = stored(marks.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "marks")
+    marks = marks.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    marks = stored(marks.join(passages.withColumn("passage", F.lit(1)), "rk", "full"), "marks")
+    drop(suffixes, matches, forks, contexts, parts, whole, unsure, strings, again, passages, *family.tables.values(), *family.matches, *family.forks)
     out = keyed.join(marks, "rk", "left")
-    return out.select("doc", "text", "ranges").mapInArrow(tidy(_remove(width)), f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return out.select("doc", "text", "ranges", F.coalesce("passage", F.lit(0)).alias("passage")).mapInArrow(tidy(_remove(width)), f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, repeats_passage int")

@@ -144,6 +144,19 @@ def test_repeats_with_edits_periods_and_edges(spark):
     assert [got[i] for i in range(len(texts))] == removed(texts)
 
 
+def test_passages_that_other_texts_repeat(spark):
+    rng = random.Random(9)
+    make = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n)]
+    base = make(900)
+    texts = [base, make(50) + base[100:151] + make(40), make(60) + base[300:350] + make(9), base[500:551], base[500:550], make(70), base[700:800] + ["#"] + base[801:900], [*make(3), *base[850:]]]
+    texts += [[*t[:25], "#", *t[26:]] for t in texts[:2]] + [texts[5] + texts[5], make(30)]
+    texts = [" ".join(t) for t in texts] + ["same " * 60, "same " * 51, "same " * 50, "", None]
+    grams = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in ((t or "").split() for t in texts)]
+    want = [int(any(g & h for j, h in enumerate(grams) if j != i)) for i, g in enumerate(grams)]
+    got = {r.doc: r.repeats_passage for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 0 < sum(want) < len(want)
+
+
 def test_repeats_around_the_pieces_of_long_texts(spark):
     rng = np.random.default_rng(2)
     a, b = ("".join(np.array(list("abcdefgh"))[rng.integers(0, 8, (1 << 22) + 3000)]) for _ in range(2))
