@@ -227,9 +227,10 @@ def repeated_passages(keyed: DataFrame, words: int = 51) -> DataFrame:
     every = stored(keyed.mapInArrow(tidy(_word_samples(words)), "rk bigint, core bigint, c bigint, lo int, hi int"), "passages")
     shared = stored(every.join(stored(across(every, "core"), "cores"), "core"), "passages")
     drop(every)
-    sure = stored(shared.join(across(shared, "core", "c"), ["core", "c"]).select("rk").distinct(), "sure")
-    unsure = shared.join(sure, "rk", "left_anti").select("core").distinct()
-    leads = shared.join(unsure, "core").groupBy("core", "c").agg(F.min(F.struct("rk", "lo", "hi")).alias("r"))
+    # sides of joins are written first, so that a core that very many texts share can be split
+    sure = stored(shared.join(stored(across(shared, "core", "c"), "sure"), ["core", "c"]).select("rk").distinct(), "sure")
+    unsure = stored(shared.join(sure, "rk", "left_anti").select("core").distinct(), "unsure")
+    leads = stored(shared.groupBy("core", "c").agg(F.min(F.struct("rk", "lo", "hi")).alias("r")), "leads").join(unsure, "core")
     wanted = leads.groupBy("r.rk").agg(F.collect_list(F.struct("r.lo", "r.hi")).alias("wanted"))
     strings = stored(keyed.dropDuplicates(["rk"]).join(wanted, "rk").mapInArrow(tidy(_word_strings(words)), "rk bigint, w bigint"), "passages")
     out = stored(sure.unionAll(strings.join(across(strings, "w"), "w").select("rk")).distinct(), "repeated")
