@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,33 +24,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of letters a to z."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-
-
 def top(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.round(score, PLACES).desc_nulls_last(), key).limit(n)
 
 
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """``cosine`` of a column with a fixed vector, term by term, so that it stays in generated code."""
+    x = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
+    total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
+    norm = F.sqrt(total([v * v for v in x]) * F.lit(reduce(lambda s, q: s + q * q, query, 0.0)))
+    return F.when((norm > 0) & (F.size(vector) == len(query)), total([v * F.lit(q) for v, q in zip(x, query, strict=True)]) / norm)
+
+
 def vector_arm(df: DataFrame, query: list[float], n: int = CANDIDATES, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Rows (key, cosine): the exact best ``n``; nothing but the key and the score is kept until then."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top(df.where(F.col(vector).isNotNull()).select(key, cosine(F.col(vector), q).alias("cosine")), "cosine", key, n)
+    q = [float(x) for x in query]
+    return top(df.where(F.col(vector).isNotNull()).select(key, cosine_to(F.col(vector), q).alias("cosine")), "cosine", key, n)
 
 
-def lexical_score(words: Column, terms: list[str]) -> Column:
-    """Sum of term frequencies over 1 + ln(length); null unless every term occurs."""
-    counts = [F.size(words) - F.size(F.array_remove(words, t)) for t in terms]
-    every = counts[0] > 0
-    total = counts[0]
-    for c in counts[1:]:
-        every, total = every & (c > 0), total + c
-    return F.when(every, total / (1 + F.log(F.size(words))))
+def lexical_score(text: Column, terms: list[str]) -> Column:
+    """Sum of term frequencies over 1 + ln(length), of lower-case words of letters a to z; null unless every term occurs."""
+    low = F.lower(text)
+    counts = [F.regexp_count(low, F.lit(f"(?<![a-z]){t}(?![a-z])")) for t in terms]
+    every = reduce(lambda a, b: a & b, [low.contains(t) for t in terms]) & reduce(lambda a, b: a & b, [c > 0 for c in counts])
+    return F.when(every, reduce(lambda a, b: a + b, counts) / (1 + F.log(F.regexp_count(low, F.lit("[a-z]+")).cast("double"))))
 
 
 def lexical_arm(df: DataFrame, terms: list[str], n: int = CANDIDATES, key: str = "id", text: str = "text") -> DataFrame:
-    scored = df.select(key, lexical_score(tokens(F.col(text)), terms).alias("score")).where("score IS NOT NULL")
+    scored = df.select(key, lexical_score(F.col(text), terms).alias("score")).where("score IS NOT NULL")
     return top(scored, "score", key, n)
 
 
@@ -77,6 +80,21 @@ def confidence(score: str, *pool: str) -> Column:
     return F.when((n < 3) | (sd < 1e-9), clamp01(F.col(score))).otherwise(clamp01(0.5 + (F.col(score) - mean) / sd / SPREAD))
 
 
+def with_confidence(df: DataFrame, score: str, pool: str, name: str) -> DataFrame:
+    """``confidence`` as a column, for pools of any size: their moments are aggregated and joined back."""
+    m = df.groupBy(F.col(pool).alias("_pool")).agg(F.count(score).alias("_n"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_sd"))
+    cn = F.when((F.col("_n") < 3) | (F.col("_sd") < 1e-9), clamp01(F.col(score))).otherwise(clamp01(0.5 + (F.col(score) - F.col("_mean")) / F.col("_sd") / SPREAD))
+    return df.join(m, F.col(pool).eqNullSafe(F.col("_pool"))).withColumn(name, cn).drop("_pool", "_n", "_mean", "_sd")
+
+
+def best_two(df: DataFrame, by: str, key: str, *columns: str) -> DataFrame:
+    """For each group its best row's ``columns`` as structs x and y (null without a second), from partial limits."""
+    w = Window.partitionBy(by).orderBy(F.round("cn", PLACES).desc(), F.round("cn_raw", PLACES).desc(), key)
+    two = df.withColumn("r", F.row_number().over(w)).where("r <= 2")
+    row = F.struct(key, *columns)
+    return two.groupBy(by).agg(F.max(F.when(F.col("r") == 1, row)).alias("x"), F.max(F.when(F.col("r") == 2, row)).alias("y"))
+
+
 def decay(age_days: Column, tau_days: float = MAIL_DAYS) -> Column:
     return F.exp(-F.greatest(age_days, F.lit(0.0)) / tau_days)
 
@@ -92,9 +110,10 @@ def fuse(vec: DataFrame, lex: DataFrame, known: DataFrame, key: str = "id") -> D
     A document that the vector arm missed has the arm's least cosine, one that the lexical arm missed 0. Exact
     evidence makes the confidence 1. Ordered by evidence, decayed confidence, decayed fusion, key.
     """
-    v, x = ranked(vec, "cosine", key), ranked(lex, "score", key)
-    scores = v.select(key, "cosine").join(x.select(key, "score"), key, "full").join(rrf(v, x, key=key), key)
-    whole = Window.partitionBy()
+    v, x = ranked(vec, "cosine", key).withColumnRenamed("rank", "rv"), ranked(lex, "score", key).withColumnRenamed("rank", "rx")
+    part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
+    scores = v.join(x, key, "full").withColumn("rrf", part("rv") + part("rx")).drop("rv", "rx")
+    whole = Window.partitionBy()  # two arms' candidates
     scores = scores.withColumn("cosine", F.coalesce("cosine", F.min("cosine").over(whole))).withColumn("score", F.coalesce("score", F.lit(0.0)))
     scores = scores.withColumn("cn_raw", F.greatest(confidence("cosine"), confidence("score")))
     hits = known.join(F.broadcast(scores), key)  # at most two arms' candidates
@@ -107,11 +126,10 @@ def fuse(vec: DataFrame, lex: DataFrame, known: DataFrame, key: str = "id") -> D
 
 def verdicts(df: DataFrame, by: str, key: str = "id") -> DataFrame:
     """For each group absent, ambiguous or confident, from its two best confidences; a tie at 1 goes by the raw ones."""
-    w = Window.partitionBy(by).orderBy(F.round("cn", PLACES).desc(), F.round("cn_raw", PLACES).desc(), key)
-    lead = df.withColumn("r", F.row_number().over(w)).withColumn("cn2", F.lead("cn").over(w)).withColumn("raw2", F.lead("cn_raw").over(w)).where("r = 1")
-    gap = F.when((F.col("cn") >= 1) & (F.col("cn2") >= 1), F.col("cn_raw") - F.col("raw2")).otherwise(F.col("cn") - F.col("cn2"))
-    verdict = F.when(F.col("cn") < FLOOR_READ, "absent").when(F.round(gap, PLACES) < MARGIN, "ambiguous").otherwise("confident")
-    return lead.select(by, F.col(key).alias("leader"), F.round("cn", 6).alias("cn"), F.round(gap, 6).alias("gap"), verdict.alias("verdict"))
+    two = best_two(df, by, key, "cn", "cn_raw")
+    gap = F.when((F.col("x.cn") >= 1) & (F.col("y.cn") >= 1), F.col("x.cn_raw") - F.col("y.cn_raw")).otherwise(F.col("x.cn") - F.col("y.cn"))
+    verdict = F.when(F.col("x.cn") < FLOOR_READ, "absent").when(F.round(gap, PLACES) < MARGIN, "ambiguous").otherwise("confident")
+    return two.select(by, F.col(f"x.{key}").alias("leader"), F.round("x.cn", 6).alias("cn"), F.round(gap, 6).alias("gap"), verdict.alias("verdict"))
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
@@ -141,10 +159,10 @@ def rescued(df: DataFrame, strict: Column, loose: Column) -> DataFrame:
 
 def decisions(df: DataFrame, by: str, key: str = "id") -> DataFrame:
     """Verdicts that weigh exact evidence: what leader and runner-up share is ambiguous, what only the leader has decides."""
-    w = Window.partitionBy(by).orderBy(F.round("cn", PLACES).desc(), F.round("cn_raw", PLACES).desc(), key)
-    lead = df.withColumn("r", F.row_number().over(w)).withColumn("cn2", F.lead("cn").over(w)).withColumn("ev2", F.lead("evidence").over(w)).where("r = 1")
-    shared = F.size(F.array_intersect("evidence", F.coalesce("ev2", F.array()))) > 0
-    alone = (F.size("evidence") > 0) & (F.size(F.coalesce("ev2", F.array())) == 0)
-    close = F.coalesce(F.round(F.col("cn") - F.col("cn2"), PLACES) < MARGIN, F.lit(False))
-    verdict = F.when((F.col("cn") < FLOOR_READ) & (F.size("evidence") == 0), "absent").when(shared, "ambiguous").when(alone, "confident").when(close, "ambiguous").otherwise("confident")
-    return lead.select(by, F.col(key).alias("leader"), verdict.alias("verdict"))
+    two = best_two(df, by, key, "cn", "evidence")
+    other = F.coalesce("y.evidence", F.array().cast("array<string>"))
+    own = F.col("x.evidence")
+    close = F.coalesce(F.round(F.col("x.cn") - F.col("y.cn"), PLACES) < MARGIN, F.lit(False))
+    verdict = F.when((F.col("x.cn") < FLOOR_READ) & (F.size(own) == 0), "absent").when(F.size(F.array_intersect(own, other)) > 0, "ambiguous")
+    verdict = verdict.when((F.size(own) > 0) & (F.size(other) == 0), "confident").when(close, "ambiguous").otherwise("confident")
+    return two.select(by, F.col(f"x.{key}").alias("leader"), verdict.alias("verdict"))

@@ -35,9 +35,9 @@ def e1_resolve_person(spark: SparkSession, d: str) -> DataFrame:
     return R.people(_seen(spark, d), "building no12").select("address", "n", "cn")
 
 
-@query("""SELECT user_id AS conversation, event_id AS ref, round(1 / (1 + (1706659200000000 - epoch_us(ts)) / 60000000.0 / 30) - 0.02 * (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1), 6) AS score FROM events WHERE event_type = 'view' AND user_id < 30""")
+@query("""SELECT user_id AS conversation, event_id AS ref, round(1 / (1 + (1706659200000000 - epoch_us(ts)) / 60000000.0 / 30) - 0.02 * (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1), 6) AS score FROM events WHERE event_type = 'view'""")
 def e2_resolve_reference(spark: SparkSession, d: str) -> DataFrame:
-    e = calendar(spark, d).where("calendar_id < 30").select(F.col("calendar_id").alias("conversation"), F.col("event_id").alias("ref"), F.col("title").alias("kind"), F.col("starts_us").alias("seen_us"))
+    e = calendar(spark, d).select(F.col("calendar_id").alias("conversation"), F.col("event_id").alias("ref"), F.col("title").alias("kind"), F.col("starts_us").alias("seen_us"))
     return R.references(e, 1_706_659_200_000_000, "view").select("conversation", "ref", "score")
 
 
@@ -60,17 +60,17 @@ def e5_loose_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
     """One invented booking letter an order, so that every rule has something to find."""
-    o = table(spark, d, "orders").where("o_orderkey < 500")
+    o = table(spark, d, "orders")
     text = F.concat(F.lit("Your booking QX"), F.lpad(F.pmod("o_orderkey", F.lit(9999)).cast("string"), 4, "0"), F.lit(" flies on TK 0"), F.pmod("o_orderkey", F.lit(900)).cast("string"), F.lit(" IST-JFK at 9 AM. Order no. A-"), "o_orderkey", F.lit(" total EUR "), F.format_number("o_totalprice", 2), F.lit("."))
     return o.select("o_orderkey", text.alias("t"))
 
 
-@query("SELECT o_orderkey, 'QX' || lpad((o_orderkey % 9999)::VARCHAR, 4, '0') AS booking, CASE WHEN o_orderkey % 900 = 0 THEN '' ELSE 'TK' || (o_orderkey % 900) END AS flights FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, 'QX' || lpad((o_orderkey % 9999)::VARCHAR, 4, '0') AS booking, CASE WHEN o_orderkey % 900 = 0 THEN '' ELSE 'TK' || (o_orderkey % 900) END AS flights FROM orders")
 def x1_booking_and_flights(spark: SparkSession, d: str) -> DataFrame:
     return X.cue_rules(_letters(spark, d), "o_orderkey", "t").select("o_orderkey", "booking", F.array_join("flights", ",").alias("flights"))
 
 
-@query("SELECT o_orderkey, 'EUR' AS currency, round(o_totalprice, 2) AS value, 'A-' || o_orderkey AS number, 'IST' AS origin, 'JFK' AS destination FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, 'EUR' AS currency, round(o_totalprice, 2) AS value, 'A-' || o_orderkey AS number, 'IST' AS origin, 'JFK' AS destination FROM orders")
 def x5_amount_order_route(spark: SparkSession, d: str) -> DataFrame:
     t = _letters(spark, d).select("o_orderkey", F.get(X.amounts(F.col("t")), F.lit(0)).alias("a"), X.order_number(F.col("t")).alias("number"), X.route(F.col("t")).alias("r"))
     return t.select("o_orderkey", "a.currency", "a.value", "number", "r.origin", "r.destination")

@@ -113,13 +113,12 @@ def j17_domain_suffix(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.join(groups, "suffix").select("page_id", "brand")
 
 
-@query("WITH t(token) AS (VALUES ('united states'), ('china'), ('india'), ('the and')) SELECT doc_id, token FROM documents JOIN t ON contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || token || ' ') WHERE lang = 'en'")
+@query("WITH t(token) AS (VALUES ('united states'), ('china'), ('india'), ('the and'), ('and the of'), ('a')), n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM documents) SELECT doc_id, token FROM n JOIN t ON contains(n, ' ' || token || ' ')")
 def j18_tokens_in_text(spark: SparkSession, d: str) -> DataFrame:
-    tokens = spark.createDataFrame([("united states",), ("china",), ("india",), ("the and",)], "token string").withColumn("words", F.size(F.split("token", " ")))
-    text = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    words = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.split(text, " ").alias("w"))
-    grams = [words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("token")) for n in (1, 2)]  # noqa: B023
-    return grams[0].unionAll(grams[1]).join(tokens.select("token"), "token").select("doc_id", "token").distinct()
+    tokens = ["united states", "china", "india", "the and", "and the of", "a"]  # a lexicon, a parameter of known size
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), F.lit(" "))
+    held = F.array_compact(F.array(*[F.when(F.col("t").contains(f" {x} "), F.lit(x)) for x in tokens]))
+    return table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", F.explode(held).alias("token"))
 
 
 @query("SELECT message_id FROM messages WHERE thread_id IN (SELECT thread_id FROM messages WHERE from_email = 'system@example.com') AND position = 1")

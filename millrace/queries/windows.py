@@ -23,10 +23,10 @@ def w2_arm_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank")).where("rank <= 5")
 
 
-@query("SELECT label, round(min(m), 6) AS floor, count(*) AS n FROM (SELECT label, min(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS m FROM embeddings) GROUP BY label")
+@query("SELECT label, round(min(m), 6) AS floor, count(*) AS n FROM (SELECT label, embedding[1]::DOUBLE AS m FROM embeddings) GROUP BY label")
 def w5_pool_minimum(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return e.withColumn("m", F.min("x").over(Window.partitionBy("label"))).groupBy("label").agg(F.round(F.min("m"), 6).alias("floor"), F.count("*").alias("n"))
+    return e.groupBy("label").agg(F.round(F.min("x"), 6).alias("floor"), F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
@@ -72,9 +72,9 @@ def w16_after_anchor(spark: SparkSession, d: str) -> DataFrame:
     return c.where("after = 1").select("conv_id", "turn")
 
 
-@query("SELECT user_id, event_id, day IS DISTINCT FROM lag(day) OVER (PARTITION BY user_id ORDER BY t, event_id) AS header FROM (SELECT user_id, event_id, epoch_us(ts) AS t, epoch_us(ts) // 86400000000 AS day FROM events WHERE user_id < 20)")
+@query("SELECT user_id, event_id, day IS DISTINCT FROM lag(day) OVER (PARTITION BY user_id ORDER BY t, event_id) AS header FROM (SELECT user_id, event_id, epoch_us(ts) AS t, epoch_us(ts) // 86400000000 AS day FROM events)")
 def w17_day_headers(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 20").select("user_id", "event_id", micros("ts").alias("t"))
+    e = table(spark, d, "events").select("user_id", "event_id", micros("ts").alias("t"))
     e = e.withColumn("day", F.floor(F.col("t") / 86_400_000_000))
     before = F.lag("day").over(Window.partitionBy("user_id").orderBy("t", "event_id"))
     return e.select("user_id", "event_id", (~F.col("day").eqNullSafe(before)).alias("header"))
@@ -170,9 +170,9 @@ def st9_failure_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("user_id", "first", "failures", pause.alias("pause"))
 
 
-@query("SELECT user_id, epoch_us(ts) // 900000000 * 900000000 AS slot, count(*) AS n FROM events WHERE user_id < 10 GROUP BY ALL")
+@query("SELECT user_id, epoch_us(ts) // 900000000 * 900000000 AS slot, count(*) AS n FROM events GROUP BY ALL")
 def st5_tumbling_schedule(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 10")
+    e = table(spark, d, "events")
     return e.groupBy("user_id", F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", micros("w.start").alias("slot"), "n")
 
 
