@@ -34,6 +34,7 @@ def registry(spark: SparkSession, d: str) -> dict[str, Op]:
         fields = ("refs", key, *read(spark, d).columns)
         args = {"limit": int, "ids": (list, Refs), **{f: object for f in (*spec.filters, *spec.flags)}}
         out[f"{name}.search"] = Op(f"{name}.search", args, fields, search(name))
+    out["drive.largest"] = Op("drive.largest", {"limit": int}, ("file_id", "name", "size_bytes"), lambda limit=20: files(spark, d).orderBy(F.desc("size_bytes"), "file_id").limit(limit))
     out["calendar.find_conflicts"] = Op("calendar.find_conflicts", {"title": str, "against": str}, ("one", "other", "minutes"), lambda title, against: _conflicts(spark, d, title, against), ("title", "against"))
     out["mail.draft"] = Op("mail.draft", {"to": str, "body": str}, ("to", "body", "status"), lambda to, body: spark.createDataFrame([(to, body, "draft")], "to string, body string, status string"), ("to",), is_write=True)
     return out

@@ -32,6 +32,13 @@ def _timed(op: str, style: str = "list", **more: Any) -> Callable[[re.Match, Clo
     return make
 
 
+def _recent(time: str | None, clock: Clock) -> dict[str, Any] | None:
+    if time is None:
+        return _read("drive.search", {"limit": 20})
+    w = _window(time, clock)
+    return None if w is None else _read("drive.search", {**w, "limit": 20})
+
+
 #: In this order; a shape must take in the whole message.
 SHAPES: list[tuple[str, re.Pattern, Callable[[re.Match, Clock], dict[str, Any] | None]]] = [
     ("calendar_count", re.compile(rf"how many (?:events|meetings) (?:do i have )?{_TIME}", re.I), _timed("calendar.search", "count", not_cancelled=True)),
@@ -43,7 +50,8 @@ SHAPES: list[tuple[str, re.Pattern, Callable[[re.Match, Clock], dict[str, Any] |
     ("email_thread", re.compile(r"show thread (?P<id>\d+)", re.I), lambda m, c: _read("mail.search", {"thread_id": int(m["id"])})),
     ("drive_named", re.compile(r"(?:find|open) (?:the )?file (?:named |called )?(?P<name>[\w.-]+)", re.I), lambda m, c: _read("drive.search", {"name_contains": m["name"]})),
     ("drive_folder", re.compile(r"files in (?P<folder>/[\w/.-]+)", re.I), lambda m, c: _read("drive.search", {"folder_prefix": m["folder"]})),
-    ("drive_recent", re.compile(r"(?:my )?(?:recent|latest|largest) files", re.I), lambda m, c: _read("drive.search", {"limit": 20})),
+    ("drive_recent", re.compile(r"(?:my )?(?:recent|latest|newest) files(?: (?:from |of )?(?P<time>[\w :-]+))?", re.I), lambda m, c: _recent(m["time"], c)),
+    ("drive_largest", re.compile(r"(?:my )?(?:largest|biggest) files", re.I), lambda m, c: _read("drive.largest", {"limit": 20})),
 ]
 
 

@@ -175,3 +175,77 @@ def f44_gate(spark: SparkSession, d: str) -> DataFrame:
     df = calendar(spark, d)
     gate = P.EVENT.scan(df, status="cancelled").limit(11).agg((F.count("*") > 10).alias("open")).where("open")
     return P.where(df, [("title", "eq", "signup")]).join(gate, F.lit(True), "left_semi").select("event_id")
+
+
+@query("SELECT message_id FROM messages WHERE tenant = 3 AND connector = 'mail' AND from_email = 'user@example.com'")
+def s1_tenant_scan(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.of(messages(spark, d), 3, "mail", from_email="user@example.com").select("message_id")
+
+
+@query("SELECT message_id FROM messages WHERE list_has_any(list_transform(labels, lambda x: lower(x)), ['starred', 'later'])")
+def f9_labels(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.scan(messages(spark, d), labels=["STARRED", "later"]).select("message_id")
+
+
+@query("SELECT message_id FROM messages WHERE has_attachments AND NOT list_contains(labels, 'UNREAD')")
+def f10_attachments_and_read(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.scan(messages(spark, d), has_attachments="yes", is_unread=False).select("message_id")
+
+
+@query("SELECT event_id FROM calendar WHERE recurring_event_id IN ('r10') OR (organizer_email = 'u7@example.com' AND all_day)")
+def f12_organizer_series_all_day(spark: SparkSession, d: str) -> DataFrame:
+    c = calendar(spark, d)
+    one = P.EVENT.predicate({"recurring_event_id": "r10"})
+    return c.where(one | P.EVENT.predicate({"organizer_email": "U7@example.com", "all_day": True})).select("event_id")
+
+
+@query("SELECT event_id FROM calendar WHERE list_has_any(list_transform(attendee_emails, lambda x: lower(x)), ['u9@example.com', 'u11@example.com'])")
+def f13_attendees(spark: SparkSession, d: str) -> DataFrame:
+    return P.EVENT.scan(calendar(spark, d), attendee_emails=["u9@example.com", "U11@example.com"]).select("event_id")
+
+
+@query(f"SELECT file_id FROM files WHERE is_shared AND mime_type IN ('text/fr', 'text/es') AND modified_us >= {1_704_067_200_000_000 + 5 * DAY} AND modified_us < {1_704_067_200_000_000 + 20 * DAY}")
+def f16_shared_files_of_a_window(spark: SparkSession, d: str) -> DataFrame:
+    begin = 1_704_067_200_000_000
+    return P.FILE.scan(files(spark, d), is_shared=True, mime_types=["text/fr", "text/es"], since=begin + 5 * DAY, until=begin + 20 * DAY).select("file_id")
+
+
+@query(f"SELECT event_id FROM calendar WHERE starts_us >= {JAN10} AND starts_us < {JAN10 + DAY} AND event_id % 2 >= 0 AND all_day = false AND calendar_id IN (1, 2, 3, 4, 5)")
+def f18_filters_of_a_plan(spark: SparkSession, d: str) -> DataFrame:
+    c = calendar(spark, d).where(F.col("calendar_id").isin(1, 2, 3, 4, 5))
+    return P.EVENT.of_plan(c, {"window": {"start": "2024-01-10T00:00:00Z", "end": "2024-01-11"}, "bool:all_day": "no", "connectors[]": "calendar", "status": None}).select("event_id")
+
+
+@query("SELECT event_id FROM calendar WHERE organizer_email = 'u12@example.com' OR list_has_any(list_transform(attendee_emails, lambda x: lower(x)), ['u12@example.com'])")
+def f19_participants(spark: SparkSession, d: str) -> DataFrame:
+    return P.EVENT.scan(calendar(spark, d), participants=[" U12@example.com"]).select("event_id")
+
+
+@query("SELECT vec_id FROM (SELECT vec_id, 0.5 + embedding[1]::DOUBLE AS cn FROM embeddings) WHERE cn >= 0.55")
+def f21_least_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return P.FILE.scan(table(spark, d, "embeddings").select("vec_id", (0.5 + F.col("embedding")[0].cast("double")).alias("cn")), min_cn=0.55).select("vec_id")
+
+
+@query("SELECT message_id FROM messages WHERE list_contains(labels, 'UNREAD') AND thread_id % 2 = 0")
+def f22_unread(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.of_plan(messages(spark, d).where("thread_id % 2 = 0"), {"bool:is_unread": "true"}).select("message_id")
+
+
+@query("SELECT message_id FROM messages WHERE NOT regexp_matches(body, 'https?://[^\\s<>\"'')\\]]')")
+def f23_has_link(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.scan(messages(spark, d), has_link=False).select("message_id")
+
+
+@query("SELECT file_id, 'budget plan' AS rest FROM files WHERE mime_type = 'text/plain' OR mime_type = 'text/de'")
+def f26_kind_words(spark: SparkSession, d: str) -> DataFrame:
+    rest, kinds = P.kind_words("budget plan texts", {**P.FILE_KINDS, "text": "text/de"})
+    return P.FILE.scan(files(spark, d), mime_types=kinds).select("file_id", F.lit(rest).alias("rest"))
+
+
+@query(f"SELECT 'drive' AS shape, count(*) AS n FROM files WHERE modified_us >= {JAN10 - 90 * DAY} AND modified_us < {JAN10} UNION ALL SELECT 'calendar', count(*) FROM calendar WHERE starts_us >= {JAN10 + DAY} AND starts_us < {JAN10 + 2 * DAY}")
+def f29_window_rule(spark: SparkSession, d: str) -> DataFrame:
+    window, parts = (JAN10 + DAY, JAN10 + 2 * DAY), []  # now is JAN10: the window lies ahead
+    for shape, spec, df in (("drive", P.FILE, files(spark, d)), ("calendar", P.EVENT, calendar(spark, d))):
+        a, b = P.window_for(shape, window, JAN10)
+        parts.append(spec.scan(df, since=a, until=b).agg(F.lit(shape).alias("shape"), F.count("*").alias("n")).select("shape", "n"))
+    return parts[0].unionAll(parts[1])
