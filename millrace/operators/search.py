@@ -16,6 +16,10 @@ MAIL_DAYS, FILE_DAYS, BOOST, BOOST_DAYS = 30.0, 90.0, 0.6, 45.0
 PLACES = 9  # scores are compared to this many decimals, so that ties break by key on every engine
 
 
+class SearchError(ValueError):
+    """A search that cannot be answered as asked."""
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays in double precision; null for a zero vector."""
     x, y = a.cast("array<double>"), b.cast("array<double>")
@@ -104,18 +108,23 @@ def boost(days_ahead: Column) -> Column:
     return F.when(days_ahead >= 0, 1 + BOOST * F.exp(-days_ahead / BOOST_DAYS)).otherwise(decay(-days_ahead))
 
 
-def fuse(vec: DataFrame, lex: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
-    """Both arms in one ranking. ``known`` brings ``age_days`` and the array ``evidence`` for each key.
+def fuse(vec: DataFrame, lex: DataFrame, known: DataFrame, key: str = "id", mode: str = "hybrid") -> DataFrame:
+    """Both arms, or with ``mode`` vector or lexical one of them, in one ranking.
+
+    ``known`` brings ``age_days`` and the array ``evidence`` for each key, whichever arms are used.
 
     A document that the vector arm missed has the arm's least cosine, one that the lexical arm missed 0. Exact
     evidence makes the confidence 1. Ordered by evidence, decayed confidence, decayed fusion, key.
     """
+    if mode not in ("hybrid", "vector", "lexical"):
+        raise SearchError(f"no mode {mode!r}")
+    vec, lex = (vec if mode != "lexical" else vec.where("false")), (lex if mode != "vector" else lex.where("false"))
     v, x = ranked(vec, "cosine", key).withColumnRenamed("rank", "rv"), ranked(lex, "score", key).withColumnRenamed("rank", "rx")
     part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
     scores = v.join(x, key, "full").withColumn("rrf", part("rv") + part("rx")).drop("rv", "rx")
     whole = Window.partitionBy()  # two arms' candidates
     scores = scores.withColumn("cosine", F.coalesce("cosine", F.min("cosine").over(whole))).withColumn("score", F.coalesce("score", F.lit(0.0)))
-    scores = scores.withColumn("cn_raw", F.greatest(confidence("cosine"), confidence("score")))
+    scores = scores.withColumn("cn_raw", F.greatest(F.when(F.col("cosine").isNotNull(), confidence("cosine")), confidence("score")))
     hits = known.join(F.broadcast(scores), key)  # at most two arms' candidates
     exact = F.size("evidence") > 0
     hits = hits.withColumn("exact", exact).withColumn("cn", F.when(exact, 1.0).otherwise(F.col("cn_raw")))
