@@ -94,14 +94,15 @@ def emails(c: Column) -> Column:
 
 
 def urls(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0)))
+    """Web addresses up to a blank, without signs that close a sentence, a bracket, a quotation or a tag."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(r"https?://\S+"), F.lit(0)), lambda x: F.regexp_replace(F.regexp_extract(x, "[^<>\"]+", 0), r"[]).,;:!?']+$", ""))
+    return F.array_distinct(F.filter(found, lambda x: ~x.endswith("/") | (F.length(x) > 8)))
 
 
 def phones(c: Column) -> Column:
-    """Runs of 9 to 15 digits with punctuation between them."""
-    runs = F.regexp_extract_all(c, F.lit(r"\+?\d[\d ().-]{7,20}\d"), F.lit(0))
-    digits = lambda x: F.length(F.regexp_replace(x, r"\D", ""))
-    return F.array_distinct(F.filter(runs, lambda x: (digits(x) >= 9) & (digits(x) <= 15) & x.rlike(r"[ ().-]")))
+    """Three or more groups of digits with one sign between them, 9 to 15 digits in all."""
+    groups = F.regexp_extract_all(c, F.lit(r"(?:\+|\()?\d+(?:\)? |\)|[. -]\(?)\d+(?:[. -]\d+)+"), F.lit(0))
+    return F.array_distinct(F.filter(groups, lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(9, 15)))
 
 
 def pieces(text: str, size: int, overlap: int) -> list[str]:

@@ -76,6 +76,24 @@ def x5_amount_order_route(spark: SparkSession, d: str) -> DataFrame:
     return t.select("o_orderkey", "a.currency", "a.value", "number", "r.origin", "r.destination")
 
 
+def _tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Further invented letters: tickets, help desks, airports in brackets and dates in three forms."""
+    n = F.col("o_orderkey").cast("string")
+    long = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("235 "), F.lpad(n, 10, "0"))).otherwise(F.concat(F.lit("your e-ticket has no. "), F.lpad(n, 7, "0")))
+    desk = F.when(F.col("o_orderkey") % 3 == 0, F.lit("Questions? Write to Max@Desk.example.com")).otherwise(F.lit("a@b.example.com or Support@air.example.com"))
+    text = F.concat(long, F.lit(". Istanbul (IST) to New York (JFK) on 5 Ağustos 2024, back 09.10.2024 or 2024-02-31. "), desk, F.lit(". Case ZX-"), n)
+    return table(spark, d, "orders").select("o_orderkey", text.alias("t"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '235' || lpad(o_orderkey::VARCHAR, 10, '0') ELSE lpad(o_orderkey::VARCHAR, 7, '0') END AS ticket, CASE WHEN o_orderkey % 3 = 0 THEN 'max@desk.example.com' ELSE 'support@air.example.com' END AS support,
+'IST' AS origin, '2024-08-05,2024-10-09' AS dates, 'case:ZX-' || o_orderkey AS codes, 'order' AS missing, true AS distinctive FROM orders""")
+def x7_ticket_support_dates_codes(spark: SparkSession, d: str) -> DataFrame:
+    t = _tickets(spark, d)
+    c = F.col("t")
+    t = t.select("o_orderkey", X.extracted(c).alias("x"), F.array_join(X.dates(c), ",").alias("dates"), X.alias_codes(c, {"case": r"ZX-\d+", "visa": r"V\d{9}"}).alias("codes"), X.distinctive(c).alias("distinctive"))
+    return t.select("o_orderkey", "x.ticket", "x.support", "x.origin", "dates", F.array_join(F.transform("codes", lambda k: F.concat(k["alias"], F.lit(":"), k["code"])), ",").alias("codes"), F.array_join("x.missing", ",").alias("missing"), "distinctive")
+
+
 @query("SELECT event_id, title FROM calendar WHERE status IS DISTINCT FROM 'cancelled' AND starts_us >= 1705363200000000 AND starts_us < 1705449600000000 ORDER BY starts_us, event_id LIMIT 50")
 def g10_routed_question(spark: SparkSession, d: str) -> DataFrame:
     found = route("What's on my calendar tomorrow?", Clock(datetime(2024, 1, 15, 9, tzinfo=UTC)))

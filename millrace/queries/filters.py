@@ -231,7 +231,7 @@ def f22_unread(spark: SparkSession, d: str) -> DataFrame:
     return P.MESSAGE.of_plan(messages(spark, d).where("thread_id % 2 = 0"), {"bool:is_unread": "true"}).select("message_id")
 
 
-@query("SELECT message_id FROM messages WHERE NOT regexp_matches(body, 'https?://[^\\s<>\"'')\\]]')")
+@query(r"SELECT message_id FROM messages WHERE NOT regexp_matches(body, 'https?://[^<>\s\]).,;:!?''/\x22]')")
 def f23_has_link(spark: SparkSession, d: str) -> DataFrame:
     return P.MESSAGE.scan(messages(spark, d), has_link=False).select("message_id")
 

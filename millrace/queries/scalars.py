@@ -165,11 +165,11 @@ def x3_emails(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").contains("@")).select("doc_id", F.array_join(F.array_sort(T.emails(F.col("text"))), ",").alias("emails"))
 
 
-@query(r"SELECT page_id, len(list_distinct(regexp_extract_all(html || ' ' || url, 'https?://[^\s<>" + '"' + r"'')\]]+'))) AS n FROM pages")
+@query(r"""SELECT page_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(html || ' ' || url, 'https?://\S+'), lambda x: regexp_replace(regexp_extract(x, '[^<>"]+'), '[\]).,;:!?'']+$', '')), lambda x: NOT ends_with(x, '/') OR length(x) > 8))) AS n FROM pages""")
 def x4_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(T.urls(F.concat("html", F.lit(" "), "url"))).alias("n"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\+?\d[\d ().-]{7,20}\d'), lambda x: length(regexp_replace(x, '\D', '', 'g')) BETWEEN 9 AND 15 AND regexp_matches(x, '[ ().-]')))), ',') AS phones FROM documents WHERE regexp_matches(text, '\d{3}')")
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?:\+|\()?\d+(?:\)? |\)|[. -]\(?)\d+(?:[. -]\d+)+'), lambda x: length(regexp_replace(x, '\D', '', 'g')) BETWEEN 9 AND 15))), ',') AS phones FROM documents WHERE regexp_matches(text, '\d{3}')")
 def x9_phones(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").rlike(r"\d{3}")).select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))

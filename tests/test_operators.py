@@ -110,3 +110,19 @@ def test_router_takes_whole_messages_only():
     assert route("please show my calendar for next week?", clock)[0] == "calendar_window"
     assert route("Emails from Kim@Example.com", clock)[1].steps[0].args == {"from_email": "kim@example.com"}
     assert route("show my calendar for next week and cancel it", clock) is None
+
+
+def test_literals_by_kind():
+    got = X.literals('mail bob@example.com about "the plan" on 2024-03-02 at 10:30, file Budget.pdf, EUR 12.50, flight TK 12, ref AB12CD and 7 #urgent https://x.example/a?b.')
+    assert got == {"email": ["bob@example.com"], "quoted": ["the plan"], "date": ["2024-03-02"], "time": ["10:30"], "file": ["Budget.pdf"], "amount": ["EUR 12.50"], "flight": ["TK 12"], "reference": ["AB12CD"], "number": ["7"], "hashtag": ["#urgent"], "url": ["https://x.example/a?b"]}
+
+
+def test_phones_and_urls(spark):
+    rows = [("call +90 (212) 555 44 33 or 030-1234-5678, not 12.5 or 2024-03-02 11",), ("see <https://a.example/b> and (https://c.example). https://",)]
+    got = spark.createDataFrame(rows, "t string").select(T.phones(F.col("t")).alias("p"), T.urls(F.col("t")).alias("u")).collect()
+    assert "030-1234-5678" in got[0].p and got[1].u == ["https://a.example/b", "https://c.example"]
+
+
+def test_booking_code_is_the_nearest_to_its_word():
+    assert X.booking_code("CODE12 long before, and then a reservation: AB12CD") == "AB12CD"
+    assert X.booking_code("reservation ABCDEF 123456") is None and X.flights("") == []
