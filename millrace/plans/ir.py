@@ -7,9 +7,12 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.search import SearchError
+
 MAX_STEPS, WRITE_CONFIDENCE = 12, 0.75
 _REF = re.compile(r"\{\{\s*([a-z][\w]*)\.(\w+)((?:\[\*\]|\[\d+\]|\.\w+)*)(?:\s*\|\s*([\w+-]+)(?:\(([^)]*)\))?)?\s*\}\}")
 
@@ -204,6 +207,8 @@ def _filtered(value: Any, m: re.Match) -> Any:
         return value.date().isoformat()
     if name == "day_start":
         return value.replace(hour=0, minute=0, second=0, microsecond=0)
+    if name == "day_end":
+        return value.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1)
     if name == "join":
         return (arg or ", ").join(map(str, value))
     if name in ("first", "last"):
@@ -226,13 +231,36 @@ def open_gate(gate: Mapping[str, Any], done: Mapping[str, DataFrame]) -> bool:
     return {"equals": lambda x: x == value, "contains": lambda x: value in x, "before": lambda x: x < value, "after": lambda x: x > value, "within": lambda x: value[0] <= x < value[1]}[test](rows[0][0])
 
 
-def run(plan: Plan, ops: Mapping[str, Op]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Results by step, and each step's outcome: ok, skipped (gate or dependency) or failed; siblings go on."""
+class Pause(Exception):
+    """Raised by an operator that needs an answer first; the plan stops there and can be run again with it."""
+
+    def __init__(self, question: str, choices: tuple[str, ...] = ()) -> None:
+        super().__init__(question)
+        self.question, self.choices = question, choices
+
+
+MOST_ROUNDS = 2
+
+
+def replan(outcome: Mapping[str, str], rounds: int) -> str | None:
+    """Why a plan should be made anew: the first fault of its own making, unless that was tried often enough."""
+    reason = next((f"{x}: {o}" for x, o in outcome.items() if o.startswith("failed: plan")), None)
+    return reason if reason and rounds < MOST_ROUNDS else None
+
+
+def run(plan: Plan, ops: Mapping[str, Op], completed: Mapping[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Results by step, and each step's outcome: ok, skipped (gate or dependency), paused or failed; siblings go on.
+
+    A failure is the plan's (nothing to bind), a service's (the operator failed), or stands at a dependency.
+    ``completed`` brings results of an earlier run, whose steps are not run again.
+    """
     validate(plan, ops)
     by_id = {s.id: s for s in plan.steps}
-    done: dict[str, DataFrame] = {}
-    outcome: dict[str, str] = {}
+    done: dict[str, DataFrame] = dict(completed or {})
+    outcome: dict[str, str] = dict.fromkeys(done, "ok")
     for x in order(plan):
+        if x in done:
+            continue
         s = by_id[x]
         if any(outcome[y] != "ok" and not by_id[y].optional for y in s.depends_on):
             outcome[x] = "skipped: dependency"
@@ -243,5 +271,9 @@ def run(plan: Plan, ops: Mapping[str, Op]) -> tuple[dict[str, DataFrame], dict[s
                 done[x] = ops[s.op].lower(**bind(s.args, done))
                 outcome[x] = "ok"
             except PlanError as e:
-                outcome[x] = f"failed: {e}"
+                outcome[x] = f"failed: plan: {e}"
+            except Pause as e:
+                outcome[x] = f"paused: {e.question}"
+            except (PySparkException, SearchError) as e:
+                outcome[x] = f"failed: service {ops[s.op].service}: {type(e).__name__}"
     return done, outcome

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ledger import last_wins
 
@@ -23,29 +25,86 @@ def applied(target: DataFrame, kept: DataFrame, gone: DataFrame, key: list[str])
     return rest.unionByName(kept.select(target.columns))
 
 
-def versioned_sink(root: str, key: list[str], order: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that writes version n + 1 of the table from version n and batch n.
+def delta_sink(root: str, key: list[str], order: str, schema: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes what batch n changes, and nothing else, below ``delta``.
 
-    A batch that is run again rewrites its own version, so that the checkpoint moves only after what it stands for.
+    A batch that is run again rewrites its own delta, so that the checkpoint moves only after what it stands for.
     """
+    columns = StructType.fromDDL(schema).names
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(schema).parquet(f"{root}/v={number}") if number else spark.createDataFrame([], schema)
-        applied(before, *changes(batch, key, order), key).write.mode("overwrite").parquet(f"{root}/v={number + 1}")
+        kept, gone = changes(batch, key, order)
+        both = kept.select(*columns).withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        both.write.mode("overwrite").parquet(f"{root}/delta/_batch={number}")
 
     return apply
 
 
+def _read(spark: SparkSession, path: str, schema: str, part: str) -> DataFrame:
+    """The Parquet files of a folder with its partition column; none if there is no such folder yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{schema}, {part} bigint")
+    return spark.read.schema(f"{schema}, {part} bigint").parquet(path)
+
+
+def current(spark: SparkSession, root: str, key: list[str], schema: str) -> DataFrame:
+    """The table as it stands: the newest base with the last delta of each key after it."""
+    columns = StructType.fromDDL(schema).names
+    base = _read(spark, f"{root}/base", schema, "_upto")
+    upto = base.agg(F.max("_upto")).first()[0]
+    base = base.where(F.col("_upto") == F.lit(upto)) if upto is not None else base
+    deltas = _read(spark, f"{root}/delta", f"{schema}, _gone boolean", "_batch")
+    deltas = deltas if upto is None else deltas.where(F.col("_batch") > upto)
+    rows = base.select(*columns, F.lit(False).alias("_gone"), F.lit(-1).cast("bigint").alias("_batch")).unionByName(deltas)
+    return last_wins(rows, key, "_batch").where(~F.col("_gone")).select(*columns)
+
+
+def compact(spark: SparkSession, root: str, key: list[str], schema: str) -> int:
+    """A new base from base and deltas; readers take it when it is there, and what it replaces may then be deleted."""
+    upto = _read(spark, f"{root}/delta", f"{schema}, _gone boolean", "_batch").agg(F.max("_batch")).first()[0]
+    if upto is None:
+        return -1
+    current(spark, root, key, schema).write.mode("overwrite").parquet(f"{root}/base/_upto={upto}")
+    return upto
+
+
 def ingest(spark: SparkSession, feed: str, feed_schema: str, root: str, checkpoint: str, key: list[str], order: str, schema: str, files_a_batch: int = 1) -> int:
-    """Work through what a feed folder holds, page after page, and stop; returns the last version."""
+    """Work through what a feed folder holds, ``files_a_batch`` pages at a time, and stop; returns how many batches there were.
+
+    Bounded pages make a backfill that goes on where it stopped.
+    """
     stream = spark.readStream.schema(feed_schema).option("maxFilesPerTrigger", files_a_batch).json(feed)
-    q = stream.writeStream.foreachBatch(versioned_sink(root, key, order, schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(delta_sink(root, key, order, schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     done = q.lastProgress
     return 0 if done is None else int(done["batchId"]) + 1
 
 
+def resync(spark: SparkSession, snapshot: DataFrame, root: str, key: list[str], schema: str, time_col: str, since: Any) -> int:
+    """When a feed's cursor is gone: a bounded snapshot replaces all rows from ``since`` on; older ones stay.
+
+    The result is a new base, behind which a new checkpoint begins; returns the batch that it stands for.
+    """
+    older = current(spark, root, key, schema).where(F.col(time_col) < F.lit(since))
+    fresh = snapshot.where(F.col(time_col) >= F.lit(since)).select(*older.columns)
+    upto = max(compact(spark, root, key, schema), -1) + 1
+    older.join(fresh, key, "left_anti").unionByName(fresh).write.mode("overwrite").parquet(f"{root}/base/_upto={upto}")
+    return upto
+
+
 def ordered_log(events: DataFrame, lateness: str = "15 minutes") -> DataFrame:
     """An event log without its duplicates: (run_id, seq) once, within the watermark."""
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["run_id", "seq"])
+
+
+def replay(log: DataFrame, run_id: Any, after: int, most: int = 500) -> DataFrame:
+    """A run's events behind ``after``, in order, each once, at most as many as a client may ask for at a time."""
+    own = log.where((F.col("run_id") == run_id) & (F.col("seq") > after)).groupBy("run_id", "seq").agg(F.min_by(F.struct("type", "data"), "ts").alias("e"))
+    return own.select("run_id", "seq", "e.*").orderBy("seq").limit(most)
+
+
+def stuck(runs: DataFrame, now: Column, deadline_s: float, live: tuple[str, ...] = ("running", "waiting")) -> DataFrame:
+    """Runs that are live though they began longer ago than three deadlines, and two minutes at least."""
+    age = F.unix_micros(now) - F.unix_micros("started_at")
+    return runs.where(F.col("status").isin(*live) & (age > int(max(3 * deadline_s, 120) * 1_000_000)))

@@ -56,16 +56,24 @@ def _seconds(ts: pd.Series) -> list[float]:
     return (ts.astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[ts.dt.unit]).tolist()
 
 
-def bucket_stream(events: DataFrame, rate: float, capacity: float) -> DataFrame:
-    """(key, ts, units) to (key, ts, units, granted, wait_s), with the bucket as state; late rows come as they are."""
+def bucket_stream(events: DataFrame, rate: float, capacity: float, lateness: str = "1 hour") -> DataFrame:
+    """(key, ts, units) to (key, ts, units, granted, wait_s), with the bucket as state.
+
+    When the watermark has passed the time at which a bucket is full again, its state goes.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         held, out = bucket(tuple(state.get) if state.exists else None, list(zip(_seconds(rows["ts"]), rows["units"], strict=True)), rate, capacity)
         state.update(held)
+        full = held[1] + (capacity - held[0]) / rate
+        state.setTimeoutTimestamp(max(int(full * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(granted=[g for g, _ in out], wait_s=[w for _, w in out])[["key", "ts", "units", "granted", "wait_s"]]
 
-    return events.select("key", "ts", F.col("units").cast("double").alias("units")).groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, units double, granted boolean, wait_s double", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
+    return events.select("key", "ts", F.col("units").cast("double").alias("units")).withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, units double, granted boolean, wait_s double", "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_stream(events: DataFrame) -> DataFrame:
@@ -74,7 +82,10 @@ def breaker_stream(events: DataFrame) -> DataFrame:
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         held, out = breaker(tuple(state.get) if state.exists else None, list(zip(_seconds(rows["ts"]), rows["ok"], strict=True)))
-        state.update(held)
+        if held == (0, PAUSE, 0.0):  # as if it had never failed
+            state.remove()
+        else:
+            state.update(held)
         yield rows.assign(state=out)[["key", "ts", "ok", "state"]]
 
     return events.select("key", "ts", "ok").groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, ok boolean, state string", "failures int, pause double, until double", "append", GroupStateTimeout.NoTimeout)

@@ -3,7 +3,9 @@ import os
 
 import pandas as pd
 
-from millrace.streaming.ingest import applied, changes, ingest, ordered_log
+from pyspark.sql import functions as F
+
+from millrace.streaming.ingest import applied, changes, compact, current, ingest, ordered_log, replay, resync, stuck
 from millrace.streaming.limits import breaker, breaker_stream, bucket, bucket_stream, late_policy
 
 
@@ -34,8 +36,22 @@ def test_ingest_pages_of_a_feed(spark, tmp_path):
     root = str(tmp_path / "table")
     args = (spark, str(feed), "id int, v string, seq int, deleted boolean", root, str(tmp_path / "cp"), ["id"], "seq", "id int, v string, seq int")
     last = ingest(*args)
-    rows = sorted((r.id, r.v) for r in spark.read.parquet(f"{root}/v={last}").drop("v=").collect())
-    assert last == 3 and rows == [(1, "c"), (4, "d")]
+    table = lambda: sorted((r.id, r.v) for r in current(spark, root, ["id"], "id int, v string, seq int").collect())
+    assert last == 3 and table() == [(1, "c"), (4, "d")]
+    assert compact(spark, root, ["id"], "id int, v string, seq int") == 2 and table() == [(1, "c"), (4, "d")]
+    (feed / "3.json").write_text(json.dumps({"id": 4, "v": "d", "seq": 3, "deleted": True}))
+    os.utime(feed / "3.json", (1_700_000_009, 1_700_000_009))
+    assert ingest(*args) == 4 and table() == [(1, "c")]
+    fresh = spark.createDataFrame([(9, "n", 5), (8, "old", 0)], "id int, v string, seq int")
+    resync(spark, fresh, root, ["id"], "id int, v string, seq int", "seq", 2)
+    assert table() == [(1, "c"), (9, "n")]
+
+
+def test_replay_and_stuck_runs(spark):
+    log = spark.createDataFrame([("r", 1, "a", "x", 1), ("r", 3, "b", "y", 2), ("r", 2, "c", "z", 3), ("r", 3, "b", "y", 4), ("s", 9, "d", "", 5)], "run_id string, seq int, type string, data string, ts int")
+    assert [r.seq for r in replay(log, "r", 1).collect()] == [2, 3]
+    runs = spark.sql("SELECT * FROM VALUES (1, 'running', TIMESTAMP '2024-01-01 10:00:00'), (2, 'done', TIMESTAMP '2024-01-01 09:00:00'), (3, 'waiting', TIMESTAMP '2024-01-01 10:58:30') AS t(id, status, started_at)")
+    assert [r.id for r in stuck(runs, F.to_timestamp(F.lit("2024-01-01 11:00:00")), 60).collect()] == [1]
 
 
 def _run(spark, frame, tmp_path, build, name):
