@@ -46,6 +46,10 @@ class Spec:
     def scan(self, df: DataFrame, **given: Any) -> DataFrame:
         return df.where(self.predicate(given))
 
+    def page(self, df: DataFrame, limit: int, offset: int, **given: Any) -> DataFrame:
+        """The rows behind ``offset`` in the shape's order: the next page of the same question."""
+        return self.enumerate(df, offset + limit, **given).offset(offset)
+
     def of(self, df: DataFrame, tenant: Any, connector: str | None = None, **given: Any) -> DataFrame:
         """The rows of one tenant, and of one connector if named; a tenant must be given."""
         if tenant is None:
