@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .common import slices, stored, tidy
 from .components import components
 
-_ATTEMPTS, _SLOTS = 256, 1 << 18
+_ATTEMPTS, _SLOTS, _WORDS = 256, 1 << 18, 8
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -158,31 +158,33 @@ def _prefixes(tally: np.ndarray, percent: int):
     return run
 
 
+def _bits(key: str) -> list[Column]:
+    """The buckets of a group as ``_WORDS`` words of 64 bits, one bit a bucket: groups with no bit in common share none."""
+    place = F.pmod(F.col(key), F.lit(64 * _WORDS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod({key}, 64) AS INT))")
+    return [F.bit_or(F.when(F.floor(place / 64) == j, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{j}") for j in range(_WORDS)]
+
+
 def _by_prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that hold all links between them within the buckets.
 
-    ``open_rows`` has (key, node, component). Components meet at a shingle of a bucket first, with what is known of
-    all their members there, so that members of the same component are never paired.
+    ``open_rows`` has (key, node, component). Components meet at a shingle first, with what is known of all their
+    members there, so that members of the same component are never paired.
     """
     tally = np.zeros(_SLOTS, np.int32)
     for r in sets.mapInArrow(tidy(_tally), "slot int, k bigint").groupBy("slot").agg(F.sum("k").alias("k")).toArrow().to_batches():
         tally[np.asarray(r.column("slot"))] = np.minimum(np.asarray(r.column("k")), np.iinfo(np.int32).max)
-    nodes = open_rows.groupBy("node", "component").agg(F.collect_set("key").alias("keys"))  # as many as bands at most
+    nodes = stored(open_rows.groupBy("node", "component").agg(*_bits("key")), "open")
     grams = nodes.join(sets, "node").select("node", "component", "shingles").mapInArrow(tidy(_prefixes(tally, percent)), "shingle bigint, node bigint, component bigint, n bigint, place bigint")
     grams = stored(grams, "prefixes")
     met = stored(grams.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "met")
-    grams = grams.join(met, "shingle").join(nodes.select("node", "keys"), "node")
-    grams = grams.select("node", "component", "n", (F.col("n") - F.col("place")).alias("left"), F.explode("keys").alias("key"), "shingle")
-    grams = stored(grams.select("node", "component", "n", "left", F.xxhash64("key", "shingle").alias("at")), "prefixes")
-    sides = grams.groupBy("at", "component").agg(F.min("n").alias("least"), F.max("left").alias("left"))
-    met = stored(sides.groupBy("at").agg(F.count("*").alias("k")).where("k > 1").select("at"), "met")
-    sides = stored(sides.join(met, "at"), "sides")
-    side = lambda c: sides.select("at", F.col("component").alias(c), F.col("least").alias(f"n{c}"), F.col("left").alias(f"left_{c}"))
-    enough = "least(left_{0}, left_{1}) * {2} >= {3} * (n{0} + n{1})"
-    meeting = side("x").join(side("y"), "at").where("x < y AND " + enough.format("x", "y", 100 + percent, percent)).select("at", "x", "y")
-    of = lambda s, c: grams.select("at", F.col("component").alias(c), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("left").alias(f"left_{s}"))
-    pairs = meeting.join(of("a", "x"), ["at", "x"]).join(of("b", "y"), ["at", "y"])
-    pairs = pairs.where(enough.format("a", "b", 100 + percent, percent))
+    own = [f"b{j}" for j in range(_WORDS)]
+    grams = stored(grams.join(met, "shingle").join(nodes.select("node", *own), "node").withColumn("left", F.col("n") - F.col("place")).drop("place"), "prefixes")
+    sides = stored(grams.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"), *[F.bit_or(b).alias(b) for b in own]), "sides")
+    side = lambda df, c, *more: df.select("shingle", F.col("component").alias(c), *more, *[F.col(x).alias(f"{x}_{c}") for x in ("n", "left", *own)])
+    fit = f"least(left_x, left_y) * {100 + percent} >= {percent} * (n_x + n_y) AND (" + " | ".join(f"(b{j}_x & b{j}_y)" for j in range(_WORDS)) + ") <> 0"
+    meeting = side(sides, "x").join(side(sides, "y"), "shingle").where(f"x < y AND {fit}").select("shingle", "x", "y")
+    pairs = meeting.join(side(grams, "x", F.col("node").alias("a")), ["shingle", "x"]).join(side(grams, "y", F.col("node").alias("b")), ["shingle", "y"]).where(fit)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
