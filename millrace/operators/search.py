@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,30 +33,41 @@ def top(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.round(score, PLACES).desc_nulls_last(), key).limit(n)
 
 
-def cosine_to(vector: Column, query: list[float]) -> Column:
-    """``cosine`` of a column with a fixed vector, term by term, so that it stays in generated code."""
-    x = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
-    total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
-    norm = F.sqrt(total([v * v for v in x]) * F.lit(reduce(lambda s, q: s + q * q, query, 0.0)))
-    return F.when((norm > 0) & (F.size(vector) == len(query)), total([v * F.lit(q) for v, q in zip(x, query, strict=True)]) / norm)
+def cosine_to(vector: str, query: list[float]) -> Column:
+    """``cosine`` of the named column with a fixed vector, term by term, so that it stays in generated code.
+
+    One expression is parsed for all terms: putting hundreds of columns together takes longer than a small scan.
+    Null for a query with a component that is not finite.
+    """
+    if not all(math.isfinite(q) for q in query):
+        return F.lit(None).cast("double")
+    x = [f"CAST(get(`{vector}`, {i}) AS DOUBLE)" for i in range(len(query))]
+    dot = F.expr(" + ".join(["0D", *(f"{c} * ({q!r}D)" for c, q in zip(x, query, strict=True))]))
+    square = F.expr(" + ".join(["0D", *(f"{c} * {c}" for c in x)]))
+    norm = F.sqrt(square * F.lit(reduce(lambda s, q: s + q * q, query, 0.0)))
+    return F.when((norm > 0) & (F.size(vector) == len(query)), dot / norm)
 
 
 def vector_arm(df: DataFrame, query: list[float], n: int = CANDIDATES, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Rows (key, cosine): the exact best ``n``; nothing but the key and the score is kept until then."""
     q = [float(x) for x in query]
-    return top(df.where(F.col(vector).isNotNull()).select(key, cosine_to(F.col(vector), q).alias("cosine")), "cosine", key, n)
-
-
-def lexical_score(text: Column, terms: list[str]) -> Column:
-    """Sum of term frequencies over 1 + ln(length), of lower-case words of letters a to z; null unless every term occurs."""
-    low = F.lower(text)
-    counts = [F.regexp_count(low, F.lit(f"(?<![a-z]){t}(?![a-z])")) for t in terms]
-    every = reduce(lambda a, b: a & b, [low.contains(t) for t in terms]) & reduce(lambda a, b: a & b, [c > 0 for c in counts])
-    return F.when(every, reduce(lambda a, b: a + b, counts) / (1 + F.log(F.regexp_count(low, F.lit("[a-z]+")).cast("double"))))
+    return top(df.where(F.col(vector).isNotNull()).select(key, cosine_to(vector, q).alias("cosine")), "cosine", key, n)
 
 
 def lexical_arm(df: DataFrame, terms: list[str], n: int = CANDIDATES, key: str = "id", text: str = "text") -> DataFrame:
-    scored = df.select(key, lexical_score(F.col(text), terms).alias("score")).where("score IS NOT NULL")
+    """Rows (key, score): the best ``n`` that hold every term, words of the letters a to z of the lower-case text.
+
+    The score is the sum of the terms' frequencies over 1 + ln(length). Words are told apart once: two spaces stand
+    between any two and one at either end, so that words and terms are counted by the bytes that taking them out saves.
+    """
+    low = F.lower(F.col(text))
+    every = lambda c, form: reduce(lambda a, b: a & b, [F.contains(c, F.lit(form.format(t))) for t in terms])
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, "[^a-z]+", "  ")), F.lit(" "))
+    # a generated row is worked out once, a projected column wherever it is named
+    split = df.where(every(low, "{}")).select(key, F.explode(F.array(words)).alias("_words"))
+    saved = lambda part: F.octet_length("_words") - F.octet_length(F.replace(F.col("_words"), F.lit(part), F.lit("")))
+    counted = reduce(lambda a, b: a + b, [saved(f" {t} ") / (len(t) + 2) for t in terms])
+    scored = split.where(every(F.col("_words"), " {} ")).select(key, (counted / (1 + F.log(saved(" ") / 2))).alias("score"))
     return top(scored, "score", key, n)
 
 

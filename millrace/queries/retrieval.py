@@ -98,7 +98,7 @@ n AS (SELECT id, label, {cn_sql("cosine", "(PARTITION BY label)")} AS cn_raw FRO
 
 
 def _pools(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", S.cosine_to(F.col("embedding"), S.query_vector(spark, d)).alias("cosine"))
+    c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", S.cosine_to("embedding", S.query_vector(spark, d)).alias("cosine"))
     return S.with_confidence(c, "cosine", "label", "cn_raw").drop("cosine").withColumn("cn", F.when(F.col("id") % 50 == 0, 1.0).otherwise(F.col("cn_raw")))
 
 
