@@ -4,9 +4,12 @@ Equal vectors are one node from the start. Nodes are dealt to shards of bounded
 in one task: nodes enter by falling level, so that every layer is a prefix, in batches that search the graph as it
 stands and each other directly, and keep diverse neighbours. Every node is then a query to every shard, in blocks.
 A beam walks all queries of a block in step. A query whose beam holds nothing but links is searched again with
-twice the beam, or, where that would grow too wide, compared with the whole shard; so is the block until an audit, brute force for a hashed sample of its queries over the whole
-shard, finds the recall it asks for. Found pairs are verified as double-precision cosines, links are united from
-both sides, and components follow.
+twice the beam, or, where that would grow too wide, compared with the whole shard. So is the block until an audit
+finds the recall that it asks for: brute force over the whole shard for a hashed sample of the block's queries. The
+recall is the mean share of its links that a query finds, over the sampled queries that have links to others and
+found them by beam, so that neither a query's own node nor a large group that was compared whole hides the loss of
+small ones. Found pairs are verified as double-precision cosines, links are united from both sides, and components
+follow.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are linked with nothing;
 vectors of different lengths are not compared; rows with a null id are linked with nothing and have a null
@@ -208,17 +211,19 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Graph]:
     return held["nodes"], held["raw"], graph
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, most_width: int = 128, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def linked(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float, width: int, audit: np.ndarray, recall: float, most_width: int = 128, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Rows (query, node) of float32 cosines that may reach ``least``, with the beams widened as described above.
 
+    ``own`` is each query's node in this graph, -1 if it is of another shard; ``audit`` the queries to audit.
     What would need a beam wider than ``most_width`` is compared with the whole shard instead.
     """
     n, floor = len(graph.vectors), np.float32(least - 1e-5)
     truth = queries[audit] @ graph.vectors.T >= floor + np.float32(1e-5)  # surely links, whatever the rounding
+    truth[np.flatnonzero(own[audit] >= 0), own[audit][own[audit] >= 0]] = False
     place = np.full(len(queries), -1)
     place[audit] = np.arange(len(audit))
     while True:
-        out_q, out_n = [], []
+        out_q, out_n, whole = [], [], np.zeros(len(queries), bool)
         for lo in range(0, len(queries), together):
             todo, wide = np.arange(lo, min(lo + together, len(queries))), width
             while len(todo):
@@ -226,6 +231,7 @@ def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: n
                     rows, nodes = np.nonzero(queries[todo] @ graph.vectors.T >= floor)
                     out_q.append(todo[rows])
                     out_n.append(nodes)
+                    whole[todo] = True
                     break
                 ids, sims = graph.search(queries[todo], wide)
                 full = (sims >= floor).all(axis=1)  # nothing but links: there may be more
@@ -234,9 +240,11 @@ def linked(graph: Graph, queries: np.ndarray, least: float, width: int, audit: n
                 out_n.append(ids[rows, at])
                 todo, wide = todo[full], wide * 2
         found_q, found_n = np.concatenate(out_q), np.concatenate(out_n)
-        own, hits = place[found_q] >= 0, np.zeros(truth.shape, bool)
-        hits[place[found_q[own]], found_n[own]] = True
-        if width >= min(n, most_width) or (hits & truth).sum() >= recall * truth.sum():
+        audited, hits = place[found_q] >= 0, np.zeros(truth.shape, bool)
+        hits[place[found_q[audited]], found_n[audited]] = True
+        judged = truth.any(axis=1) & ~whole[audit]
+        share = (hits & truth)[judged].sum(axis=1) / truth[judged].sum(axis=1)
+        if width >= min(n, most_width) or not len(share) or share.mean() >= recall:
             return found_q, found_n
         width *= 2
 
@@ -249,7 +257,9 @@ def _search_block(least: float, width: int, recall: float):
         nodes, raw, graph = _opened(index.column("blob")[0].as_py())
         own, mine = np.asarray(queries.column("node"), np.int64), _matrix(queries.column("vector"), key[0].as_py())
         audit = np.flatnonzero((own * 2654435761 >> 7) % max(1, len(own) // 128) == 0)[:256]
-        q, n = linked(graph, unit(mine).astype(np.float32), least, width, audit, recall)
+        at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        here = np.where(nodes[at] == own, at, -1)
+        q, n = linked(graph, unit(mine).astype(np.float32), here, least, width, audit, recall)
         keep = own[q] != nodes[n]
         q, n = q[keep], n[keep]
         cosine = (unit(mine[q]) * unit(raw[n])).sum(axis=1) if len(q) else np.zeros(0)
@@ -259,11 +269,12 @@ def _search_block(least: float, width: int, recall: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, recall: float = 0.995, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, recall: float = 0.995, shard_rows: int = 50_000, least_shards: int = 4, block_rows: int = 8_192, most_parts: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (doc, n_links, component), one for each row of ``vectors``; links are cosines of at least ``least``.
 
     ``width`` is the beam to begin with, ``recall`` what each block's audit must find. A shard has about
-    ``shard_rows`` nodes, a block of queries about ``block_rows``.
+    ``shard_rows`` nodes, a block of queries about ``block_rows``; beyond ``most_parts`` partitions one takes several
+    blocks in turn.
     """
     numbers = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
@@ -280,7 +291,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, width: int = 48, re
     asked = own.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["size", "shard", "block"]
-    parts = 2 * shards * blocks
+    parts = min(2 * shards * blocks, most_parts)
     found = spread.repartition(parts, *keys).groupBy(keys).cogroup(asked.repartition(parts, *keys).groupBy(keys)).applyInArrow(_search_block(least, width, recall), "a bigint, b bigint")
     found = stored(found, "found")
     links = stored(found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")

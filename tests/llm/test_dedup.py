@@ -186,3 +186,20 @@ def test_vectors_against_all_pairs(spark):
     assert {r.doc: r.component for r in got if r.doc is not None} == want
     assert {r.doc: r.n_links for r in got if r.doc is not None} == {i: links[i] for i in want}
     assert near_vectors(frame.where("vec_id < 0")).count() == 0
+
+
+def test_small_groups_are_found_beside_a_large_one(spark):
+    """Graphs far larger than a beam; the large group, which is compared whole, must not speak for the pairs."""
+    rng = np.random.default_rng(8)
+    lone, pairs, core = rng.normal(size=(1200, 24)), rng.normal(size=(700, 24)), rng.normal(size=24)
+    rows = np.concatenate([lone, pairs, pairs + rng.normal(size=pairs.shape) * 0.2, core + rng.normal(size=(400, 24)) * 0.1])
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    close = np.triu(rows @ rows.T >= 0.95, 1)
+    want = Counter(np.concatenate(np.nonzero(close)).tolist())
+    frame = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>")
+    got = {r.doc: r for r in near_vectors(frame, shard_rows=1500, least_shards=2, block_rows=1500).collect()}
+    assert len(got) == len(rows) and all(got[i].n_links <= want[i] for i in got)
+    small = [i for i in range(1200, 2600) if want[i]]
+    assert len(small) > 1000
+    assert sum(got[i].n_links == want[i] for i in small) >= 0.99 * len(small)
+    assert all(got[i].n_links == want[i] for i in range(2600, 3000)) and len({got[i].component for i in range(2600, 3000)}) == 1
