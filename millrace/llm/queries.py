@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import damage_and_repair
 from .hnsw import near_vectors
 from .linededup import dedup_lines
 from .media import store_and_read
 from .minhash import near_duplicates
 from .mixing import mix, words
+from .packing import pack, token_pieces
 from .sentencepiece_codec import encode_decode
 from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
@@ -158,3 +160,16 @@ r(node, root) AS (SELECT node, node FROM c UNION SELECT g.b, r.root FROM r JOIN
 q AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT t.doc_id, t.n AS n_shingles, coalesce(q.root, t.doc_id) AS component_id, coalesce(q.root, t.doc_id) = t.doc_id AS kept
 FROM t LEFT JOIN c ON t.n > 0 AND t.sh = c.sh LEFT JOIN q ON c.node = q.node"""
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 1,024 tokens, packed into few sequences."""
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return pack(pieces, capacity=1024).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by rule and repaired with the cheapest edits."""
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
