@@ -16,6 +16,7 @@ from .media import store_and_read
 from .minhash import near_duplicates
 from .mixing import mix, words
 from .packing import pack, token_pieces
+from .periodic import looped, periodic_runs
 from .sentencepiece_codec import encode_decode
 from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
@@ -173,3 +174,9 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged by rule and repaired with the cheapest edits."""
     return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every document, some of whose words go in circles by rule."""
+    return periodic_runs(table(spark, sf_dir, "documents"), prepare=looped).withColumnRenamed("doc", "doc_id")
