@@ -2,16 +2,64 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words without a topic; accented letters and what they fold to.
+# Words without a topic.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "with")
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿışğ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyisg"
+
+
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII that fold to letters and digits a to z, 0 to 9: those that fold to one, and to several (or a blank).
+
+    Folding is compatibility decomposition without combining marks, then case folding; the dotless i counts as i.
+    """
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).replace("ı", "i").casefold()
+        plain = "".join(x if x.isascii() and x.isalnum() else " " for x in bare)
+        if not bare:
+            several[c] = ""  # a combining mark
+        elif plain.strip() and bare != c:
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
+ONE, SEVERAL = _folds()
+
+
+def _class(characters: dict[str, str]) -> str:
+    """The characters as ranges of a character class."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in out)
+
+
+def _fold_with(c: Column, one: dict[str, str], several: dict[str, str]) -> Column:
+    single = F.translate(c, "".join(one), "".join(one.values()))
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(x.rlike(f"^[{_class(several)}]$"), table[x]).otherwise(x)), "")
+    return F.lower(F.when(c.rlike(f"[{_class(several)}]"), spelled).otherwise(single))
+
+
+def folded(c: Column) -> Column:
+    """Lower case without accents, marks and ligatures, as far as that leaves letters and digits of ASCII.
+
+    Texts of ASCII or of Latin letters only have shorter ways.
+    """
+    latin = lambda d: {k: v for k, v in d.items() if k < "\u0250"}
+    few = F.when(~c.rlike("[^\\x00-\\u024F]"), _fold_with(c, latin(ONE), latin(SEVERAL)))
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(few.otherwise(_fold_with(c, ONE, SEVERAL)))
 
 
 def flat(c: Column) -> Column:
@@ -20,9 +68,14 @@ def flat(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Lower case, Latin accents folded, everything but letters and digits as one blank."""
-    folded = F.translate(F.lower(c), ACCENTED + "ß", FOLDED + "s")
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    """Folded, everything but letters and digits as one blank."""
+    return F.trim(F.regexp_replace(folded(c), "[^a-z0-9]+", " "))
+
+
+def normalised(text: str) -> str:
+    """``normalise`` of a constant."""
+    bare = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).replace("ı", "i").casefold()
+    return re.sub("[^a-z0-9]+", " ", bare).strip()
 
 
 def has_words(text: Column, words: Column) -> Column:
@@ -107,8 +160,6 @@ def phones(c: Column) -> Column:
 
 def pieces(text: str, size: int, overlap: int) -> list[str]:
     """Chunks of at most ``size`` characters along paragraphs, sentences and words, each with the end of the one before."""
-    import re
-
     units = [text]
     for pattern in (r"(?<=\n\n)", r"(?<=[.!?]) ", r"(?<= )"):
         units = [p for u in units for p in ([u] if len(u) <= size - overlap else re.split(pattern, u)) if p]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise
+from ..operators import evidence as E
 from ..operators import search as S
-from ..sources.shapes import calendar, messages, micros, table
+from ..sources.shapes import calendar, files, messages, micros, table
 from .base import query
 
 VEC_SQL = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
@@ -18,6 +20,15 @@ RANKS_SQL = """rv AS (SELECT *, row_number() OVER (ORDER BY round(cosine, 9) DES
 fused AS (SELECT id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT id, r FROM rv UNION ALL SELECT id, r FROM rl) GROUP BY id)"""
 
 
+#: Evidence of documents as files for the sample question; groups of aliases are the sources.
+KNOWN_SQL = """g AS (SELECT source AS grp, ['src' || regexp_replace(source, '[^0-9]', '', 'g'), 'doc ' || min(doc_id)] AS tokens, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+qs AS (SELECT 'doc 9 txt of ' || min_by(grp, (n, grp)) || ' or ' || max_by(grp, (n, grp)) || ' example com' AS q, min_by(grp, (n, grp)) AS few, max_by(grp, (n, grp)) AS many FROM g),
+al AS (SELECT DISTINCT unnest(tokens) AS token FROM g, qs WHERE len(list_filter(tokens, lambda x: contains(' ' || q || ' ', ' ' || x || ' '))) > 0),
+xl AS (SELECT max_by(doc_id, (length(text), -doc_id)) AS id FROM documents),
+kn AS (SELECT doc_id AS id, (doc_id % 90)::DOUBLE AS age_days, list_filter([CASE WHEN doc_id = xl.id THEN 'EXACT_ID' END, CASE WHEN source = few THEN 'EXACT_SENDER' END,
+  CASE WHEN doc_id = 9 THEN 'EXACT_FILENAME' END, CASE WHEN EXISTS (SELECT 1 FROM al WHERE contains(' doc ' || doc_id || ' txt ', ' ' || token || ' ')) THEN 'ALIAS_TOKEN_IN_SUBJECT' END], lambda x: x IS NOT NULL) AS evidence FROM documents, qs, xl)"""
+
+
 def cn_sql(c: str, over: str = "()") -> str:
     return f"CASE WHEN count({c}) OVER {over} < 3 OR stddev_pop({c}) OVER {over} < 1e-9 THEN greatest(0, least(1, {c})) ELSE greatest(0, least(1, 0.5 + ({c} - avg({c}) OVER {over}) / stddev_pop({c}) OVER {over} / 4)) END"
 
@@ -25,7 +36,7 @@ def cn_sql(c: str, over: str = "()") -> str:
 HYBRID_SQL = f"""{VEC_SQL}, {LEX_SQL}, {RANKS_SQL},
 sc AS (SELECT f.id, coalesce(v.cosine, min(v.cosine) OVER ()) AS cosine, coalesce(l.score, 0) AS score, f.rrf FROM fused f LEFT JOIN vec v USING (id) LEFT JOIN lex l USING (id)),
 cr AS (SELECT id, rrf, greatest({cn_sql("cosine")}, {cn_sql("score")}) AS cn_raw FROM sc),
-kn AS (SELECT doc_id AS id, (doc_id % 90)::DOUBLE AS age_days, list_filter([CASE WHEN doc_id IN (5, 9) THEN 'EXACT_ID' END, CASE WHEN contains(' ' || lower(substr(text, 1, 40)) || ' ', ' the ') THEN 'ALIAS_TOKEN_IN_SUBJECT' END], lambda x: x IS NOT NULL) AS evidence FROM documents),
+{KNOWN_SQL},
 hits AS (SELECT id, rrf, cn_raw, evidence, len(evidence) > 0 AS exact, CASE WHEN len(evidence) > 0 THEN 1.0 ELSE cn_raw END AS cn, cn_raw * exp(-greatest(age_days, 0) / 30) AS sort, rrf * exp(-greatest(age_days, 0) / 30) AS final FROM cr JOIN kn USING (id))"""
 
 
@@ -57,13 +68,27 @@ def r5_cn(spark: SparkSession, d: str) -> DataFrame:
     return S.arms(spark, d)[0].select("id", F.round(S.confidence("cosine"), 6).alias("cn"))
 
 
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    """A table of aliases from the documents: a group for each source, named by it or by its first document."""
+    own = table(spark, d, "documents").where("source IS NOT NULL").groupBy("source").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return own.select(F.col("source").alias("group"), F.array("source", F.concat(F.lit("doc_"), "first")).alias("tokens"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<string>").alias("codes"), "n")
+
+
+def _terms(spark: SparkSession, d: str) -> E.Terms:
+    """The sample question: a file, the address of the source with the fewest documents, the name of that with the most; and the id of the longest text."""
+    groups = aliases(spark, d)
+    few, many = groups.agg(F.min_by("group", F.struct("n", "group")), F.max_by("group", F.struct("n", "group"))).first()
+    longest = table(spark, d, "documents").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("id")).first().id
+    return E.terms_of(spark, f"doc_9.txt of {few}@example.com or {many} example com", groups, ids=(str(longest),))
+
+
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    head = F.concat(F.lit(" "), F.lower(F.substring("text", 1, 40)), F.lit(" "))
-    evidence = F.array_compact(F.array(F.when(F.col("doc_id").isin(5, 9), "EXACT_ID"), F.when(head.contains(" the "), "ALIAS_TOKEN_IN_SUBJECT")))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 90).cast("double").alias("age_days"), evidence.alias("evidence"))
+    f = files(spark, d)
+    evidence = E.flags(_terms(spark, d), ids=F.array(F.col("file_id").cast("string")), sender=F.col("owner_email"), title=F.col("name"), is_file=True)
+    return f.select(F.col("file_id").alias("id"), (F.col("file_id") % 90).cast("double").alias("age_days"), evidence.alias("evidence"))
 
 
-@query("SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN doc_id IN (5, 9) THEN 'EXACT_ID' END, CASE WHEN contains(' ' || lower(substr(text, 1, 40)) || ' ', ' the ') THEN 'ALIAS_TOKEN_IN_SUBJECT' END], lambda x: x IS NOT NULL), ',') AS evidence FROM documents")
+@query(f"WITH {KNOWN_SQL} SELECT id, array_to_string(evidence, ',') AS evidence FROM kn")
 def r7_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d).select("id", F.array_join("evidence", ",").alias("evidence"))
 
@@ -118,8 +143,6 @@ def r21_leader_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT 'mail' AS corpus, message_id AS ref, length(body)::DOUBLE AS score FROM messages UNION ALL SELECT 'calendar', event_id::VARCHAR, value FROM calendar UNION ALL SELECT 'drive', file_id::VARCHAR, size_bytes::DOUBLE FROM files),
 n AS (SELECT corpus, ref, """ + cn_sql("score", "(PARTITION BY corpus)") + """ AS cn FROM t) SELECT corpus, ref, round(cn, 6) AS cn FROM n ORDER BY round(cn, 9) DESC, corpus, ref LIMIT 5""")
 def t11_cross_corpus_top(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.shapes import files
-
     m = messages(spark, d).select(F.lit("mail").alias("corpus"), F.col("message_id").alias("ref"), F.length("body").cast("double").alias("score"))
     e = calendar(spark, d).select(F.lit("calendar").alias("corpus"), F.col("event_id").cast("string").alias("ref"), F.col("value").alias("score"))
     f = files(spark, d).select(F.lit("drive").alias("corpus"), F.col("file_id").cast("string").alias("ref"), F.col("size_bytes").cast("double").alias("score"))
@@ -133,12 +156,31 @@ def r23_freshness_reason(spark: SparkSession, d: str) -> DataFrame:
     return last.select("title", F.when(F.col("last").isNull(), "never_synced").when(F.lit(1_706_659_200_000_000) - F.col("last") > 2 * 900_000_000, "stale").otherwise("fresh").alias("freshness"))
 
 
-@query("""WITH g(token, grp) AS (VALUES ('nation', 'a'), ('nation 1', 'b'), ('7', 'c'), ('nation 12', 'd')) SELECT n_nationkey, grp FROM (SELECT n_nationkey, grp, row_number() OVER (PARTITION BY n_nationkey ORDER BY length(token) DESC, token) AS r FROM nation JOIN g ON contains(' ' || replace(lower(n_name), '_', ' ') || ' ', ' ' || token || ' ')) WHERE r = 1""")
+_NORM = "trim(regexp_replace(replace(lower(strip_accents(coalesce({}, ''))), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"
+#: The beginnings of documents, of one to three words, as aliases of the documents that begin so.
+_ALIASES = f"""w AS (SELECT doc_id, list_filter(string_split({_NORM.format("text")}, ' '), lambda x: x <> '') AS w FROM documents),
+al AS (SELECT DISTINCT doc_id % 1000 AS grp, array_to_string(w[1 : 1 + doc_id % 3], ' ') AS token FROM w), af AS (SELECT grp, token FROM al WHERE length(token) > 1),
+t AS (SELECT message_id, string_split({_NORM.format("body")}, ' ') AS w FROM messages),
+n AS (SELECT DISTINCT message_id, token FROM (SELECT message_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS token FROM t)),
+h AS (SELECT message_id, grp, token FROM n JOIN af USING (token))"""
+
+
+def _beginnings(spark: SparkSession, d: str) -> DataFrame:
+    words = F.filter(F.split(normalise(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
+    t = table(spark, d, "documents").select((F.col("doc_id") % 1000).alias("group"), F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 3).cast("int")), " ").alias("t"))
+    return t.select("group", F.array("t").alias("tokens"))
+
+
+@query(f"WITH {_ALIASES} SELECT message_id, grp, token FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY length(token) DESC, token, grp) AS r FROM h) WHERE r = 1")
 def r24_alias_longest(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.createDataFrame([("nation", "a"), ("nation 1", "b"), ("7", "c"), ("nation 12", "d")], "token string, grp string")
-    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit(" "), F.translate(F.lower("n_name"), "_", " "), F.lit(" ")).alias("t"))
-    hit = n.join(F.broadcast(g), F.expr("contains(t, concat(' ', token, ' '))"))  # a table of aliases has a known size
-    return hit.groupBy("n_nationkey").agg(F.max_by("grp", F.struct(F.length("token"), "token")).alias("grp"))
+    hits = E.longest_alias(messages(spark, d), "message_id", "body", _beginnings(spark, d))
+    return hits.select(F.col("key").alias("message_id"), F.col("group").alias("grp"), "token")
+
+
+@query(f"WITH {_ALIASES} SELECT message_id, count(*) AS hits, count(DISTINCT grp) AS groups FROM h GROUP BY message_id")
+def x12_aliases_in_messages(spark: SparkSession, d: str) -> DataFrame:
+    hits = E.alias_hits(messages(spark, d), "message_id", "body", _beginnings(spark, d))
+    return hits.groupBy(F.col("key").alias("message_id")).agg(F.count("*").alias("hits"), F.count_distinct("group").alias("groups"))
 
 
 @query("SELECT message_id AS ref, CASE WHEN length(body) > 80 THEN substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 79) || '…' ELSE trim(regexp_replace(body, '\\s+', ' ', 'g')) END AS excerpt, sent_us FROM messages WHERE position = 0")
@@ -181,7 +223,7 @@ def r15_decisions(spark: SparkSession, d: str) -> DataFrame:
     return S.decisions(_pools(spark, d).withColumn("evidence", ev), "label")
 
 
-@query("SELECT doc_id AS id, array_to_string(CASE WHEN doc_id IN (5, 9) THEN ['EXACT_ID', 'FILTER_MATCH'] ELSE ['FILTER_MATCH'] END, ',') AS evidence FROM documents WHERE NOT contains(' ' || lower(substr(text, 1, 40)) || ' ', ' the ')")
+@query(f"WITH {KNOWN_SQL} SELECT id, array_to_string(list_append(evidence, 'FILTER_MATCH'), ',') AS evidence FROM kn WHERE NOT list_contains(evidence, 'ALIAS_TOKEN_IN_SUBJECT')")
 def f27_filter_vouching(spark: SparkSession, d: str) -> DataFrame:
     hits = S.vouched(_known(spark, d), True).where(~F.array_contains("evidence", "ALIAS_TOKEN_IN_SUBJECT"))
     return hits.select("id", F.array_join("evidence", ",").alias("evidence"))

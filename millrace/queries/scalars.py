@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..sources.shapes import calendar, messages, micros, table
 from .base import query
 
-_FOLD = f"trim(regexp_replace(translate(lower({{}}), '{T.ACCENTED}ß', '{T.FOLDED}s'), '[^a-z0-9]+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(replace(lower(strip_accents({})), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents")
