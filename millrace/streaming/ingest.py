@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ledger import last_wins
+from .versions import Manifest, add_delta, manifest, read, replace_base, stream_id
 
 
 def changes(pages: DataFrame, key: list[str], order: str, deleted: str = "deleted") -> tuple[DataFrame, DataFrame]:
@@ -25,48 +26,31 @@ def applied(target: DataFrame, kept: DataFrame, gone: DataFrame, key: list[str])
     return rest.unionByName(kept.select(target.columns))
 
 
-def delta_sink(root: str, key: list[str], order: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that writes what batch n changes, and nothing else, below ``delta``.
+def delta_sink(root: str, key: list[str], order: str, schema: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that commits what a batch changes, and nothing else, as one version.
 
-    A batch that is run again rewrites its own delta, so that the checkpoint moves only after what it stands for.
+    A batch that is run again changes nothing: its stream and number are in the manifest.
     """
     columns = StructType.fromDDL(schema).names
 
     def apply(batch: DataFrame, number: int) -> None:
         kept, gone = changes(batch, key, order)
         both = kept.select(*columns).withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
-        both.write.mode("overwrite").parquet(f"{root}/delta/_batch={number}")
+        add_delta(batch.sparkSession, root, both, stream_id(batch.sparkSession, checkpoint), number)
 
     return apply
 
 
-def _read(spark: SparkSession, path: str, schema: str, part: str) -> DataFrame:
-    """The Parquet files of a folder with its partition column; none if there is no such folder yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], f"{schema}, {part} bigint")
-    return spark.read.schema(f"{schema}, {part} bigint").parquet(path)
-
-
 def current(spark: SparkSession, root: str, key: list[str], schema: str) -> DataFrame:
-    """The table as it stands: the newest base with the last delta of each key after it."""
-    columns = StructType.fromDDL(schema).names
-    base = _read(spark, f"{root}/base", schema, "_upto")
-    upto = base.agg(F.max("_upto")).first()[0]
-    base = base.where(F.col("_upto") == F.lit(upto)) if upto is not None else base
-    deltas = _read(spark, f"{root}/delta", f"{schema}, _gone boolean", "_batch")
-    deltas = deltas if upto is None else deltas.where(F.col("_batch") > upto)
-    rows = base.select(*columns, F.lit(False).alias("_gone"), F.lit(-1).cast("bigint").alias("_batch")).unionByName(deltas)
-    return last_wins(rows, key, "_batch").where(~F.col("_gone")).select(*columns)
+    """The table as it stands in the newest version; the frame stays with that version."""
+    return read(spark, root, key, schema)
 
 
 def compact(spark: SparkSession, root: str, key: list[str], schema: str) -> int:
-    """A new base from base and deltas; readers take it when it is there, and what it replaces may then be deleted."""
-    upto = _read(spark, f"{root}/delta", f"{schema}, _gone boolean", "_batch").agg(F.max("_batch")).first()[0]
-    if upto is None:
+    """A new base from base and deltas as one version, which is returned; -1 if there is nothing yet."""
+    if manifest(spark, root).version < 0:
         return -1
-    current(spark, root, key, schema).write.mode("overwrite").parquet(f"{root}/base/_upto={upto}")
-    return upto
+    return replace_base(spark, root, lambda at: read(spark, root, key, schema, at)).version
 
 
 def ingest(spark: SparkSession, feed: str, feed_schema: str, root: str, checkpoint: str, key: list[str], order: str, schema: str, files_a_batch: int = 1) -> int:
@@ -75,7 +59,7 @@ def ingest(spark: SparkSession, feed: str, feed_schema: str, root: str, checkpoi
     Bounded pages make a backfill that goes on where it stopped.
     """
     stream = spark.readStream.schema(feed_schema).option("maxFilesPerTrigger", files_a_batch).json(feed)
-    q = stream.writeStream.foreachBatch(delta_sink(root, key, order, schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(delta_sink(root, key, order, schema, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     done = q.lastProgress
     return 0 if done is None else int(done["batchId"]) + 1
@@ -84,13 +68,16 @@ def ingest(spark: SparkSession, feed: str, feed_schema: str, root: str, checkpoi
 def resync(spark: SparkSession, snapshot: DataFrame, root: str, key: list[str], schema: str, time_col: str, since: Any) -> int:
     """When a feed's cursor is gone: a bounded snapshot replaces all rows from ``since`` on; older ones stay.
 
-    The result is a new base, behind which a new checkpoint begins; returns the batch that it stands for.
+    The result is a new base in one version, which is returned. What any stream commits afterwards, with a new checkpoint
+    or an old one, stands behind it.
     """
-    older = current(spark, root, key, schema).where(F.col(time_col) < F.lit(since))
-    fresh = snapshot.where(F.col(time_col) >= F.lit(since)).select(*older.columns)
-    upto = max(compact(spark, root, key, schema), -1) + 1
-    older.join(fresh, key, "left_anti").unionByName(fresh).write.mode("overwrite").parquet(f"{root}/base/_upto={upto}")
-    return upto
+
+    def build(at: Manifest) -> DataFrame:
+        older = read(spark, root, key, schema, at).where(F.col(time_col) < F.lit(since))
+        fresh = snapshot.where(F.col(time_col) >= F.lit(since)).select(*older.columns)
+        return older.join(fresh, key, "left_anti").unionByName(fresh)
+
+    return replace_base(spark, root, build).version
 
 
 def ordered_log(events: DataFrame, lateness: str = "15 minutes") -> DataFrame:

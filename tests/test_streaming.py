@@ -1,10 +1,13 @@
 import json
 import os
+import shutil
 
 import pandas as pd
+import pytest
 
 from pyspark.sql import functions as F
 
+from millrace.streaming import versions
 from millrace.streaming.ingest import applied, changes, compact, current, ingest, ordered_log, replay, resync, stuck
 from millrace.streaming.limits import breaker, breaker_stream, bucket, bucket_stream, late_policy
 
@@ -38,13 +41,25 @@ def test_ingest_pages_of_a_feed(spark, tmp_path):
     last = ingest(*args)
     table = lambda: sorted((r.id, r.v) for r in current(spark, root, ["id"], "id int, v string, seq int").collect())
     assert last == 3 and table() == [(1, "c"), (4, "d")]
-    assert compact(spark, root, ["id"], "id int, v string, seq int") == 2 and table() == [(1, "c"), (4, "d")]
+    before = versions.manifest(spark, root)
+    assert before.version == 2 and len(before.deltas) == 3
+    assert compact(spark, root, ["id"], "id int, v string, seq int") == 3 and table() == [(1, "c"), (4, "d")]
+    assert versions.manifest(spark, root).deltas == ()
     (feed / "3.json").write_text(json.dumps({"id": 4, "v": "d", "seq": 3, "deleted": True}))
     os.utime(feed / "3.json", (1_700_000_009, 1_700_000_009))
     assert ingest(*args) == 4 and table() == [(1, "c")]
     fresh = spark.createDataFrame([(9, "n", 5), (8, "old", 0)], "id int, v string, seq int")
     resync(spark, fresh, root, ["id"], "id int, v string, seq int", "seq", 2)
     assert table() == [(1, "c"), (9, "n")]
+    # a new checkpoint numbers its batches from 0, and what it brings stands behind the snapshot
+    (tmp_path / "feed2").mkdir()
+    (tmp_path / "feed2" / "0.json").write_text(json.dumps({"id": 5, "v": "e", "seq": 6, "deleted": False}))
+    again = (args[0], str(tmp_path / "feed2"), *args[2:4], str(tmp_path / "cp2"), *args[5:])
+    assert ingest(*again) == 1 and table() == [(1, "c"), (5, "e"), (9, "n")]
+    # so does a checkpoint that begins anew in an old place
+    shutil.rmtree(tmp_path / "cp2")
+    (tmp_path / "feed2" / "0.json").write_text(json.dumps({"id": 6, "v": "f", "seq": 7, "deleted": False}))
+    assert ingest(*again) == 1 and table() == [(1, "c"), (5, "e"), (6, "f"), (9, "n")]
 
 
 def test_replay_and_stuck_runs(spark):
@@ -77,3 +92,65 @@ def test_duplicates_go_and_windows_count(spark, tmp_path):
     frame = spark.createDataFrame(pd.DataFrame({"run_id": [1] * 4, "seq": [1, 2, 2, 3], "ts": t}))
     assert len(_run(spark, frame, tmp_path, ordered_log, "log")) == 3
     assert late_policy(frame).collect()[0].n == 4
+
+
+DELTA = "id int, v string, _gone boolean"
+
+
+def test_versions_are_atomic_and_pinned(spark, tmp_path):
+    root = str(tmp_path / "t")
+    put = lambda rows, *who: versions.add_delta(spark, root, spark.createDataFrame(rows, DELTA), *who)
+    table = lambda at=None: sorted(map(tuple, versions.read(spark, root, ["id"], "id int, v string", at).collect()))
+    assert table() == [] and versions.manifest(spark, root).version == -1
+    put([(1, "a", False), (2, "b", False)], "s", 0)
+    put([(1, "c", False), (2, None, True)], "s", 1)
+    assert put([(7, "again", False)], "s", 1).version == 1 and table() == [(1, "c")]  # run again: nothing new
+    # a crash between the write and the commit leaves data that nobody reads
+    versions.write_data(spark.createDataFrame([(8, "lost", False)], DELTA), root)
+    assert table() == [(1, "c")]
+    # a reader that has begun sees its version through a compaction and further deltas
+    pinned = versions.manifest(spark, root)
+    reader = versions.read(spark, root, ["id"], "id int, v string", pinned)
+    versions.replace_base(spark, root, lambda at: versions.read(spark, root, ["id"], "id int, v string", at))
+    put([(3, "d", False)], "s", 2)
+    assert sorted(map(tuple, reader.collect())) == [(1, "c")] == table(pinned) and table() == [(1, "c"), (3, "d")]
+    assert versions.expire(spark, root, keep=1, least_age_s=1e6) == 0
+    assert versions.expire(spark, root, keep=1, least_age_s=0) == 3 and table() == [(1, "c"), (3, "d")]
+    assert versions.versions(spark, root) == [3]
+
+
+def test_writers_that_meet_build_on_each_other(spark, tmp_path):
+    root = str(tmp_path / "t")
+    put = lambda i: versions.add_delta(spark, root, spark.createDataFrame([(i, "x", False)], DELTA))
+    put(1)
+    seen = []
+
+    def slow(now):
+        seen.append(now.version)
+        if len(seen) == 1:
+            put(2)  # another writer is faster
+        return versions.replace(now, applied={"mark": 1})
+
+    assert versions.commit(spark, root, slow).version == 2 and seen == [0, 1]
+    ids = lambda: sorted(r.id for r in versions.read(spark, root, ["id"], "id int, v string").collect())
+    assert ids() == [1, 2]
+
+    def build(at):
+        if len(at.deltas) == 2:
+            put(3)  # a delta that comes while a base is built stays behind it
+        return versions.read(spark, root, ["id"], "id int, v string", at)
+
+    new = versions.replace_base(spark, root, build)
+    assert len(new.deltas) == 1 and ids() == [1, 2, 3]
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, root, lambda now: (put(4), now)[1], tries=2)
+
+
+def test_a_failed_base_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "t")
+    versions.add_delta(spark, root, spark.createDataFrame([(1, "x", False)], DELTA))
+    broken = F.raise_error(F.lit("lost"))
+    with pytest.raises(Exception, match="lost"):
+        versions.replace_base(spark, root, lambda at: versions.read(spark, root, ["id"], "id int, v string", at).withColumn("v", F.when(F.col("id") == 1, broken).otherwise("y")))
+    assert versions.manifest(spark, root).version == 0
+    assert [tuple(r) for r in versions.read(spark, root, ["id"], "id int, v string").collect()] == [(1, "x")]
