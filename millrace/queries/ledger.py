@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..sources.scratch import scratch
 from ..sources.shapes import at, calendar, table
-from .base import query
+from ..streaming import keyed
+from .base import ORACLES, query
 
 _DOCS = "SELECT doc_id AS id, md5(text) AS hash, n_chars AS size, CASE WHEN doc_id % 2 = 0 THEN doc_id * 10 END AS vec FROM documents WHERE doc_id % 5 <> 0"
 _BATCH = "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'new' END AS hash, n_chars + 1 AS size, CASE WHEN doc_id % 7 = 0 THEN -doc_id END AS vec FROM documents WHERE doc_id % 4 = 0"
@@ -50,10 +52,14 @@ def m8_null_old_results(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT user_id AS id, max(event_type) AS label, max(epoch_us(ts)) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id), s AS (SELECT user_id AS id, max(event_type) FILTER (event_type > 'p') AS label, max(epoch_us(ts)) AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND user_id % 2 = 0 GROUP BY user_id)
 SELECT coalesce(t.id, s.id) AS id, coalesce(s.label, t.label) AS label, greatest(t.seen, s.seen) AS seen FROM t FULL JOIN s ON s.id = t.id""")
 def m9_mru_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return L.merge_latest(*_mru_input(spark, d), ["id"], "seen")
+
+
+def _mru_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = calendar(spark, d).select(F.col("calendar_id").alias("id"), F.col("title").alias("label"), F.col("starts_us").alias("seen"))
     old = e.where("seen < 1705276800000000").groupBy("id").agg(F.max("label").alias("label"), F.max("seen").alias("seen"))
     new = e.where("seen >= 1705190400000000 AND id % 2 = 0").groupBy("id").agg(F.max(F.when(F.col("label") > "p", F.col("label"))).alias("label"), F.max("seen").alias("seen"))
-    return L.merge_latest(old, new, ["id"], "seen")
+    return old, new
 
 
 @query("""WITH m AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 4 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'X' END END AS dest, CASE WHEN o_orderkey % 5 = 0 THEN 'P' ELSE o_orderstatus END AS expected FROM orders),
@@ -143,3 +149,29 @@ def m14_terminal_status_never_moves(spark: SparkSession, d: str) -> DataFrame:
 def m6_purge_with_counts(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count("*").alias("gone"))
     return n.withColumn("stays", F.when(F.col("tenant").isin(3, 7), 0).otherwise(F.col("gone")))
+
+
+def _kept_vector() -> dict[str, Column]:
+    """With an unchanged hash a missing vector is kept, else it falls."""
+    same = F.when(F.col("hash").eqNullSafe(F.col("s_hash")), F.coalesce("s_vec", "vec")).otherwise(F.col("s_vec"))
+    return {"hash": F.col("s_hash"), "size": F.col("s_size"), "vec": same}
+
+
+@query(ORACLES["m1_upsert"])
+def m1_merge_by_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert into a table on disk: only buckets that the batch falls into are written anew."""
+    old, new = _upsert_input(spark, d)
+    root, schema = scratch(spark, "keyed"), "id bigint, hash string, size bigint, vec bigint"
+    keyed.create(old, root, ["id"])
+    keyed.merge(spark, root, new, ["id"], schema, _kept_vector)
+    return keyed.read(spark, root, schema)
+
+
+@query(ORACLES["m9_mru_upsert"])
+def m9_merge_by_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Newer labels of users merged into a table on disk; the time of last sight never goes back."""
+    old, new = _mru_input(spark, d)
+    root, schema = scratch(spark, "keyed"), "id bigint, label string, seen bigint"
+    keyed.create(old.select("id", "label", "seen"), root, ["id"], 16)
+    keyed.merge(spark, root, new.select("id", "label", "seen"), ["id"], schema, lambda: {"label": F.coalesce("s_label", "label"), "seen": F.greatest("s_seen", "seen")})
+    return keyed.read(spark, root, schema)

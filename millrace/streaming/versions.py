@@ -35,6 +35,10 @@ class Manifest:
     base: str | None = None
     deltas: tuple[str, ...] = ()
     applied: dict[str, int] = field(default_factory=dict)
+    buckets: dict[str, str] = field(default_factory=dict)  # of a table by key buckets: bucket to data folder
+
+    def folders(self) -> set[str]:
+        return {*self.deltas, *self.buckets.values(), *([self.base] if self.base else [])}
 
 
 def _path(spark: SparkSession, where: str) -> Any:
@@ -155,8 +159,7 @@ def expire(spark: SparkSession, root: str, keep: int = 10, least_age_s: float =
     fs, known = _fs(spark, root), versions(spark, root)
     named: set[str] = set()
     for v in known[-keep:]:
-        m = manifest(spark, root, v)
-        named |= {*m.deltas, *([m.base] if m.base else [])}
+        named |= manifest(spark, root, v).folders()
     for v in known[:-keep]:
         fs.delete(_path(spark, f"{root}/_log/{_name(v)}"), False)
     before, gone = (time.time() - least_age_s) * 1000, 0
