@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from ..sources.shapes import calendar, messages, micros, table
 from .base import query
@@ -173,3 +174,11 @@ def x4_urls(spark: SparkSession, d: str) -> DataFrame:
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?:\+|\()?\d+(?:\)? |\)|[. -]\(?)\d+(?:[. -]\d+)+'), lambda x: length(regexp_replace(x, '\D', '', 'g')) BETWEEN 9 AND 15))), ',') AS phones FROM documents WHERE regexp_matches(text, '\d{3}')")
 def x9_phones(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").rlike(r"\d{3}")).select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
+
+
+@query()
+def x14_claimed_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All that the rules find in documents and pages; no two spans of a text overlap."""
+    texts = [table(spark, d, t).select(F.lit(t).alias("source"), F.col(k).alias("id"), F.col(c).alias("text")) for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))]
+    both = texts[0].unionAll(texts[1]).select(F.struct("source", "id").alias("key"), "text")
+    return spans.claimed(both, "key", "text").select("key.source", "key.id", "spans")
