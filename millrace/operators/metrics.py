@@ -7,11 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import exact_percentiles
+
 
 def percentiles(df: DataFrame, by: str, value: str, *shares: float) -> DataFrame:
-    """Discrete percentiles, values that occur, with count and mean."""
-    parts = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(s * 100)}") for s in shares]
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), *parts)
+    """Discrete percentiles, values that occur, with count and mean; exact for groups of any size."""
+    name = lambda s: f"p{round(s * 100)}"
+    found = exact_percentiles(df, by, value, list(shares)).withColumnRenamed(by, "_by")
+    wide = found.groupBy("_by").agg(*[F.max(F.when(F.col("share") == s, F.col(value))).alias(name(s)) for s in shares])
+    own = df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    return own.join(wide, own[by].eqNullSafe(wide["_by"]), "left").select(own[by], "n", "mean", *[name(s) for s in shares])
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
+from ..operators.selection import running_totals
 from ..sources.shapes import at, calendar, messages, micros, table
 from .base import query
 
@@ -120,8 +121,8 @@ def t10_nulls_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) WHERE upto <= 20000")
 def t13_budgeted_packing(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("upto")).where("upto <= 20000").drop("upto")
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return running_totals(docs, "source", ["n_chars", "doc_id"], "n_chars").where("upto <= 20000").select("source", "doc_id")
 
 
 @query("SELECT service, count(*) AS n FROM (SELECT 'mail' AS service FROM conversations UNION ALL SELECT 'calendar' FROM events UNION ALL SELECT 'drive' FROM documents) GROUP BY service")
