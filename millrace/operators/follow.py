@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_words, normalise
-from ..sources.scratch import scratch
+from ..sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -21,12 +21,6 @@ class Edge:
     rows: DataFrame
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def expand(start: DataFrame, edges: list[Edge], hops: int) -> DataFrame:
     """Rows (kind, id, hop, path) of all nodes within ``hops`` of ``start`` (kind, id), each with the first of its shortest paths.
 
@@ -37,7 +31,7 @@ def expand(start: DataFrame, edges: list[Edge], hops: int) -> DataFrame:
     spark = start.sparkSession
     name = lambda kind, id_: F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), id_)
     first = start.select("kind", "id").where(F.col("id").isNotNull()).distinct().select("kind", "id", F.lit(0).alias("hop"), name(F.col("kind"), F.col("id")).alias("path"))
-    reached = [_stored(first, "frontier")]
+    reached = [stored(first, "frontier")]
     for hop in range(1, hops + 1):
         last, parts = reached[-1], []
         for e in edges:
@@ -47,7 +41,7 @@ def expand(start: DataFrame, edges: list[Edge], hops: int) -> DataFrame:
         found = reduce(DataFrame.unionAll, parts).groupBy("kind", "id").agg(F.min("path").alias("path"))
         seen = reduce(DataFrame.unionAll, [r.select("kind", "id") for r in reached])
         new = found.join(seen, ["kind", "id"], "left_anti").select("kind", "id", F.lit(hop).alias("hop"), "path")
-        reached.append(_stored(new, "frontier"))
+        reached.append(stored(new, "frontier"))
         if reached[-1].isEmpty():
             break
     return reduce(DataFrame.unionAll, reached)

@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..sources.scratch import scratch
-
-
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import stored
 
 
 def exact_percentiles(df: DataFrame, by: str, value: str, shares: list[float], *, accuracy: int = 1000, most: int = 100_000, passes: int = 12) -> DataFrame:
@@ -33,7 +27,7 @@ def exact_percentiles(df: DataFrame, by: str, value: str, shares: list[float], *
     state = rows.groupBy("g").agg(n.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).select("g", "n", "lo", "hi", wanted)
     rank = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n") - 1e-9)).cast("long")
     # rank counts from the values at lo on; ``left`` values lie from lo to hi
-    state = _stored(state.select("g", "share", rank.alias("rank"), "lo", "hi", F.col("n").alias("left")), "percentiles")
+    state = stored(state.select("g", "share", rank.alias("rank"), "lo", "hi", F.col("n").alias("left")), "percentiles")
     for _ in range(passes):
         live = state.where((F.col("left") > most) & (F.col("lo") < F.col("hi")))
         if live.isEmpty():
@@ -60,7 +54,7 @@ def exact_percentiles(df: DataFrame, by: str, value: str, shares: list[float], *
             F.when(r > F.col("upto_b"), F.col("left") - F.col("upto_b")).when(r <= F.col("under"), F.col("under")).when(r <= F.col("upto_a"), F.col("upto_a") - F.col("under")).otherwise(F.col("upto_b") - F.col("under")).alias("left"),
         )
         done = state.where((F.col("left") <= most) | (F.col("lo") == F.col("hi")))
-        state = _stored(done.unionAll(new), "percentiles")
+        state = stored(done.unionAll(new), "percentiles")
     settled = state.where(F.col("lo") == F.col("hi")).select("g", "share", F.col("lo").alias("v"))
     open_ = state.where(F.col("lo") < F.col("hi")).withColumnsRenamed({"g": "k"})
     inside = rows.join(open_, F.col("g").eqNullSafe(F.col("k")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
@@ -93,7 +87,7 @@ def running_totals(df: DataFrame, by: str, order: list[str], size: str, out: str
             yield pa.RecordBatch.from_arrays([*batch.columns, at, pa.array(sums, pa.int64())], [*batch.schema.names, "_part", "_local"])
 
     schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_local", LongType())])
-    local = _stored(rows.mapInArrow(run, schema), "totals")
+    local = stored(rows.mapInArrow(run, schema), "totals")
     parts = local.groupBy(F.col(by).alias("_g"), F.col("_part").alias("_p")).agg(F.sum("_size").alias("_all"))
     before = F.sum("_all").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("_g", "_p", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -151,3 +151,17 @@ def p1_count_answer(spark: SparkSession, d: str) -> DataFrame:
 def s19_metrics_text(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return n.select("event_type", F.format_string('millrace_events_total{type="%s"} %d', "event_type", "n").alias("line"))
+
+
+@query("""WITH p AS (SELECT o_orderstatus AS t, CASE WHEN o_totalprice < 100000 THEN 'F' WHEN o_totalprice < 200000 THEN 'O' WHEN o_orderkey % 7 = 0 THEN 'X' ELSE 'P' END AS g FROM orders),
+l AS (SELECT t AS label FROM p UNION SELECT g FROM p), c AS (SELECT label, count(*) FILTER (t = label AND g = label) AS tp, count(*) FILTER (t <> label AND g = label) AS fp, count(*) FILTER (t = label AND g <> label) AS fn FROM l, p GROUP BY label),
+u AS (SELECT 'micro' AS label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c),
+s AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM (SELECT * FROM c UNION ALL SELECT * FROM u)),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s)
+SELECT label, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f
+UNION ALL SELECT 'macro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(avg(p), 6), round(avg(r), 6), round(avg(f1), 6) FROM f WHERE label <> 'micro'""")
+def a18_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a guess at an order's status by its price, for each status, their mean and all together."""
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    guess = F.when(price < 100000, "F").when(price < 200000, "O").when(key % 7 == 0, "X").otherwise("P")
+    return M.class_scores(table(spark, d, "orders").select("o_orderstatus", guess.alias("guess")), "o_orderstatus", "guess")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import search as S
+from ..sources.scratch import stored
 from ..sources.shapes import at, calendar, table
 from .base import query
 from .retrieval import LEX_SQL, VEC_SQL
@@ -89,7 +90,7 @@ def j13_nearest(spark: SparkSession, d: str) -> DataFrame:
 SELECT c.conv_id, c.turn FROM conversations c JOIN anchor a ON a.conv_id = c.conv_id AND c.turn > a.t""")
 def j15_replies_after_anchor(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    anchor = c.where("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("t"))
+    anchor = stored(c.where("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("t")), "anchor")
     return c.join(anchor, "conv_id").where("turn > t").select("conv_id", "turn")
 
 
@@ -202,6 +203,7 @@ SELECT a.user_id, a.event_id AS anchor, count(b.event_id) AS followed FROM top a
 def j14_follow_up(spark: SparkSession, d: str) -> DataFrame:
     e = calendar(spark, d).select(F.col("calendar_id").alias("user_id"), "event_id", "title", "starts_us")
     first = e.where("title = 'signup'").groupBy("user_id").agg(F.min(F.struct("starts_us", "event_id")).alias("a")).select("user_id", F.col("a.event_id").alias("anchor"), F.col("a.starts_us").alias("t"))
+    first = stored(first, "first")
     after = e.join(first.select("user_id", "t"), "user_id").where((F.col("starts_us") > F.col("t")) & (F.col("starts_us") <= F.col("t") + I.DAY)).groupBy("user_id").agg(F.count("*").alias("followed"))
     return first.join(after, "user_id", "left").select("user_id", "anchor", F.coalesce("followed", F.lit(0)).alias("followed"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..sources.shapes import at, calendar, table
 from ..streaming import keyed
 from .base import ORACLES, query
@@ -35,7 +35,7 @@ def m3_delete_by_refs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN (SELECT conv_id, count(*) // 2 AS keep FROM conversations GROUP BY conv_id) k USING (conv_id) WHERE c.turn < k.keep")
 def m4_delete_extra_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn")
-    keep = c.groupBy("conv_id").agg(F.floor(F.count("*") / 2).alias("keep"))
+    keep = stored(c.groupBy("conv_id").agg(F.floor(F.count("*") / 2).alias("keep")), "keep")
     return c.join(keep, "conv_id").where("turn < keep").drop("keep")
 
 
