@@ -14,7 +14,7 @@ block and length are summed up over the blocks, and within a block rows are numb
 length that a third of all pieces have is ranked in as many tasks as it has blocks, and the ranks are the same when a
 task runs again.
 
-Ids come from the library: a pre-token is encoded when it is first met and remembered in two generations; documents
+Ids come from the library: a pre-token is encoded by its model when it is first met and remembered in two generations; documents
 whose id ``audit_every`` divides are encoded as a whole by the library too, and a difference fails the job.
 
 Defined cases: a null or empty text is its end id alone; repeated rows and repeated or null ids are packed row by row;
@@ -69,6 +69,8 @@ class Ids:
         special = {t.content: np.uint32(i).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as they are
+        self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.find_any, self.find_latin = pre_token_pattern().findall, pre_token_pattern(256).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -85,8 +87,12 @@ class Ids:
                     new.append(x)
                 else:
                     young[x] = known
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            young[x] = array("I", e.ids).tobytes()
+        tokens, shown, special = self.library.model.tokenize, self.shown, self.special
+        for x in new:
+            if x in special:
+                young[x] = special[x]
+            else:
+                young[x] = array("I", [t.id for t in tokens(x.encode().decode("latin-1").translate(shown))]).tobytes()
 
     def cut_apart(self, text: str) -> list[str]:
         """Pre-tokens and special strings, in order."""
