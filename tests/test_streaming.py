@@ -154,3 +154,47 @@ def test_a_failed_base_changes_nothing(spark, tmp_path):
         versions.replace_base(spark, root, lambda at: versions.read(spark, root, ["id"], "id int, v string", at).withColumn("v", F.when(F.col("id") == 1, broken).otherwise("y")))
     assert versions.manifest(spark, root).version == 0
     assert [tuple(r) for r in versions.read(spark, root, ["id"], "id int, v string").collect()] == [(1, "x")]
+
+
+def _pages(spark, tmp_path, name, pages, schema):
+    """A stream of files, one a batch, in order."""
+    src = tmp_path / name
+    src.mkdir()
+    for k, rows in enumerate(pages):
+        (src / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+
+
+def _at(minute):
+    return f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"
+
+
+def test_rolling_log_counts_in_order_drops_late_rows_and_forgets_idle_keys(spark, tmp_path):
+    from millrace.streaming.rolling import rolling_stream
+
+    pages = [[("a", 0), ("a", 20), ("b", 5)], [("a", 10), ("a", 59), ("a", 61)], [("b", 90)], [("c", 400), ("a", 12)], [("c", 401)], [("c", 900)]]
+    rows = [[{"key": k, "id": f"{k}{m}", "ts": _at(m)} for k, m in page] for page in pages]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = rolling_stream(_pages(spark, tmp_path, "log", rows, "key string, id string, ts timestamp"), 3)
+        q = out.writeStream.format("memory").queryName("rolling").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+        got = {r.id: (r.used, r.allowed) for r in spark.table("rolling").collect()}
+        # a12 comes when rows up to minute 51 have been counted, and is dropped; c900 still waits
+        assert got == {"a0": (1, True), "a10": (2, True), "a20": (3, True), "b5": (1, True), "a59": (4, False), "a61": (4, False), "b90": (1, True), "c400": (1, True), "c401": (2, True)}
+        state = spark.read.format("statestore").option("stateVarName", "counted").load(str(tmp_path / "cp"))
+        assert {r.key.key for r in state.select("key").collect()} <= {"c"}  # a and b have been idle for longer than the window
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_rows_behind_the_watermark_are_left_out_of_windows(spark, tmp_path):
+    pages = [[0, 1, 50], [100], [2, 99], [300]]
+    rows = [[{"ts": _at(m)} for m in page] for page in pages]
+    out = late_policy(_pages(spark, tmp_path, "late", rows, "ts timestamp"), "30 minutes", "15 minutes")
+    q = out.writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    base = 1_704_067_200_000_000
+    # minute 2 comes when the watermark is at 70: it is dropped; minute 99 is not late
+    assert {(r.slot - base) // 60_000_000: r.n for r in spark.table("late").collect()} == {0: 2, 45: 1, 90: 2}
