@@ -132,7 +132,7 @@ def number(c: Column) -> Column:
 
 def size_text(c: Column) -> Column:
     """Bytes in the largest unit that leaves a number of 1 or more, cut to one decimal."""
-    return F.when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024, F.format_string("%.1f KB", F.floor(c / 102.4) / 10)).otherwise(F.format_string("%.1f MB", F.floor(c / 104857.6) / 10))
+    return F.when(c < 1024, F.format_string("%d B", c)).when(c < 1 << 20, F.format_string("%.1f KB", F.floor(c / 102.4) / 10)).when(c < 1 << 30, F.format_string("%.1f MB", F.floor(c / 104857.6) / 10)).otherwise(F.format_string("%.1f GB", F.floor(c / 107374182.4) / 10))
 
 
 def fingerprint(c: Column, namespace: str) -> Column:

@@ -158,7 +158,7 @@ MESSAGE = Spec(
     "sent_at", ("connector", "message_id"),
     {
         "since": since("sent_at"), "until": until("sent_at"), "connectors": any_of("connector"), "from_email": lambda v: F.col("from_email") == str(v).lower(), "from_emails": lambda v: F.col("from_email").isin([str(x).lower() for x in listed(v)]),
-        "to_email": holds("to_emails"), "participant_emails": lambda v: F.arrays_overlap(F.concat("to_emails", F.array("from_email")), F.array(*[F.lit(str(x).lower()) for x in listed(v)])),
+        "to_email": holds("to_emails"), "cc_email": holds("cc_emails"), "participant_emails": people("from_email", "to_emails", "cc_emails"),
         "thread_id": equal("thread_id"), "message_ids": any_of("message_id"), "subject_contains": contains("subject"), "chunk_index": equal("chunk_index"),
         "labels": overlaps("labels"), "has_attachments": lambda v: F.col("has_attachments") == bool(truth(v)), "is_unread": labelled("UNREAD"), "participants": people("from_email", "to_emails"), "min_cn": least("cn"),
         "has_link": lambda v: (F.size(urls(F.col("body"))) > 0) == bool(truth(v)), "text_contains": contains("body"),
@@ -178,7 +178,7 @@ FILE = Spec(
     "modified_us", ("connector", "file_id"),
     {
         "since": since("modified_us"), "until": until("modified_us"), "connectors": any_of("connector"), "owner_email": lambda v: F.lower("owner_email") == str(v).lower(), "is_shared": lambda v: F.col("is_shared") == bool(truth(v)),
-        "participants": people("owner_email"), "min_cn": least("cn"), "text_contains": contains("content"),
+        "participant_emails": people("shared_with_emails"), "participants": people("owner_email"), "min_cn": least("cn"), "text_contains": contains("content"),
         "mime_type": equal("mime_type"), "mime_types": any_of("mime_type"), "file_ids": any_of("file_id"), "folder_prefix": prefix("folder_path"), "name_contains": contains("name"), "container_id": equal("folder_id"),
     },
 )

@@ -76,9 +76,11 @@ def ranked(arm: DataFrame, score: str, key: str = "id") -> DataFrame:
     return arm.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, PLACES).desc(), key)))
 
 
-def rrf(*arms: DataFrame, key: str = "id", k: int = RRF_K) -> DataFrame:
-    """Sum over the arms of 1 / (k + rank); an arm that misses a key adds nothing."""
-    parts = [a.select(key, (1.0 / (k + F.col("rank"))).alias("part")) for a in arms]
+def rrf(*arms: DataFrame, key: str = "id", k: int = RRF_K, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """Sum over the arms of weight / (k + rank), by default of equal weights of 1; an arm that misses a key adds nothing."""
+    if weights is not None and len(weights) != len(arms):
+        raise SearchError(f"{len(weights)} weights for {len(arms)} arms")
+    parts = [a.select(key, (w / (k + F.col("rank"))).alias("part")) for a, w in zip(arms, weights or (1.0,) * len(arms), strict=True)]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionAll(p)
@@ -96,6 +98,17 @@ def confidence(score: str, *pool: str) -> Column:
     return F.when((n < 3) | (sd < 1e-9), clamp01(F.col(score))).otherwise(clamp01(0.5 + (F.col(score) - mean) / sd / SPREAD))
 
 
+def linear_confidence(cosine_: Column) -> Column:
+    """Where there is no pool: 0 at a cosine of 0.2, 1 at 0.85, a straight line between."""
+    return clamp01((cosine_ - 0.2) / 0.65)
+
+
+def with_floor(pool: DataFrame, score: str, by: str, name: str) -> DataFrame:
+    """The score, or for rows that have none the least of their pool; pools are aggregated and joined back."""
+    least = pool.groupBy(F.col(by).alias("_pool")).agg(F.min(score).alias("_floor"))
+    return pool.join(least, F.col(by).eqNullSafe(F.col("_pool"))).withColumn(name, F.coalesce(score, "_floor")).drop("_pool", "_floor")
+
+
 def with_confidence(df: DataFrame, score: str, pool: str, name: str) -> DataFrame:
     """``confidence`` as a column, for pools of any size: their moments are aggregated and joined back."""
     m = df.groupBy(F.col(pool).alias("_pool")).agg(F.count(score).alias("_n"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_sd"))

@@ -75,7 +75,7 @@ def f6_recipient(spark: SparkSession, d: str) -> DataFrame:
     return P.MESSAGE.scan(messages(spark, d), to_email="assistant@example.com").select("message_id")
 
 
-@query("SELECT thread_id, count(*) AS n FROM messages WHERE list_has_any(list_append(to_emails, from_email), ['system@example.com', 'assistant@example.com']) GROUP BY thread_id")
+@query("SELECT thread_id, count(*) AS n FROM messages WHERE list_has_any(list_concat(list_append(to_emails, from_email), cc_emails), ['system@example.com', 'assistant@example.com']) GROUP BY thread_id")
 def f7_participants(spark: SparkSession, d: str) -> DataFrame:
     return P.MESSAGE.scan(messages(spark, d), participant_emails=["system@example.com", "assistant@example.com"]).groupBy("thread_id").agg(F.count("*").alias("n"))
 
@@ -249,3 +249,13 @@ def f29_window_rule(spark: SparkSession, d: str) -> DataFrame:
         a, b = P.window_for(shape, window, JAN10)
         parts.append(spec.scan(df, since=a, until=b).agg(F.lit(shape).alias("shape"), F.count("*").alias("n")).select("shape", "n"))
     return parts[0].unionAll(parts[1])
+
+
+@query("SELECT message_id FROM messages WHERE list_contains(cc_emails, 'system@example.com') AND NOT list_contains(to_emails, 'user@example.com')")
+def f6_cc(spark: SparkSession, d: str) -> DataFrame:
+    return P.MESSAGE.scan(messages(spark, d), cc_email="system@example.com").where(~F.array_contains("to_emails", "user@example.com")).select("message_id")
+
+
+@query("SELECT file_id FROM files WHERE list_has_any(shared_with_emails, ['de@example.com', 'fr@example.com'])")
+def f7_shared_with(spark: SparkSession, d: str) -> DataFrame:
+    return P.FILE.scan(files(spark, d), participant_emails=["DE@example.com", "fr@example.com"]).select("file_id")

@@ -63,6 +63,12 @@ def r4_rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return S.rrf(S.ranked(v, "cosine"), S.ranked(x, "score")).select("id", F.round("rrf", 9).alias("rrf"))
 
 
+@query(f"WITH {VEC_SQL}, {LEX_SQL}, {RANKS_SQL.replace('SELECT id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT id, r FROM rv UNION ALL SELECT id, r FROM rl)', 'SELECT id, sum(w / (60 + r)) AS rrf FROM (SELECT id, r, 0.7 AS w FROM rv UNION ALL SELECT id, r, 0.3 FROM rl)')} SELECT id, round(rrf, 9) AS rrf FROM fused")
+def w3_weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
+    v, x = S.arms(spark, d)
+    return S.rrf(S.ranked(v, "cosine"), S.ranked(x, "score"), weights=(0.7, 0.3)).select("id", F.round("rrf", 9).alias("rrf"))
+
+
 @query(f"WITH {VEC_SQL} SELECT id, round({cn_sql('cosine')}, 6) AS cn FROM vec")
 def r5_cn(spark: SparkSession, d: str) -> DataFrame:
     return S.arms(spark, d)[0].select("id", F.round(S.confidence("cosine"), 6).alias("cn"))

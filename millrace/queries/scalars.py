@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from ..operators import search as S
 from ..sources.shapes import calendar, messages, micros, table
 from .base import query
 
@@ -90,9 +91,11 @@ def c17_clean_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", T.number(comma).alias("comma"), T.number(dot).alias("dot"))
 
 
-@query("SELECT file_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f KB', floor(size_bytes / 102.4) / 10) END AS size FROM files")
+@query("""WITH s AS (SELECT file_id, size_bytes * (1024 ** (file_id % 4))::BIGINT AS n FROM files)
+SELECT file_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 102.4) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 104857.6) / 10) ELSE printf('%.1f GB', floor(n / 107374182.4) / 10) END AS size FROM s""")
 def c20_size_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), T.size_text(F.col("n_chars")).alias("size"))
+    n = F.col("n_chars") * F.pow(F.lit(1024), F.col("doc_id") % 4).cast("long")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), T.size_text(n).alias("size"))
 
 
 @query("SELECT event_id, epoch_us(date_trunc('month', ts)) AS month, epoch_us(date_trunc('week', ts)) AS week, epoch_us(date_trunc('quarter', ts)) AS quarter, epoch_us(date_trunc('day', ts)) + 86400000000 AS day_end FROM events")
@@ -119,11 +122,10 @@ def c28_lag_in_words(spark: SparkSession, d: str) -> DataFrame:
     return calendar(spark, d).select("event_id", F.when(s < 60, "just now").when(s < 3600, part(60, "min")).when(s < 86_400, part(3600, "h")).otherwise(part(86_400, "d")).alias("lag"))
 
 
-@query("SELECT vec_id, round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) - 0.2) / 0.65, 6) AS cn FROM embeddings")
+@query("WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(greatest(0, least(1, (list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) - 0.2) / 0.65)), 6) AS cn FROM embeddings, q")
 def c33_linear_confidence(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.search import cosine
-
-    return table(spark, d, "embeddings").select("vec_id", F.round((cosine(F.col("embedding"), F.col("embedding")) - 0.2) / 0.65, 6).alias("cn"))
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(S.linear_confidence(S.cosine_to("embedding", S.query_vector(spark, d))), 6).alias("cn"))
 
 
 @query("SELECT conv_id, list(role ORDER BY turn)[1] AS first, list(role ORDER BY turn)[-1] AS last, array_to_string(list_filter(list(role ORDER BY turn), lambda x: x <> 'user'), ', ') AS excluded, count(*) AS n FROM conversations GROUP BY conv_id")

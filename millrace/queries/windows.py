@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
+from ..operators import search as S
 from ..operators.selection import running_totals
 from ..sources.scratch import stored
 from ..sources.shapes import at, calendar, messages, micros, table
@@ -25,10 +26,15 @@ def w2_arm_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("rank")).where("rank <= 5")
 
 
-@query("SELECT label, round(min(m), 6) AS floor, count(*) AS n FROM (SELECT label, embedding[1]::DOUBLE AS m FROM embeddings) GROUP BY label")
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS cosine FROM embeddings, q),
+a AS (SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY round(cosine, 9) DESC, vec_id) <= 10 THEN cosine END AS cosine FROM c) SELECT vec_id, round(coalesce(cosine, min(cosine) OVER (PARTITION BY label)), 6) AS floored FROM a""")
 def w5_pool_minimum(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return e.groupBy("label").agg(F.round(F.min("x"), 6).alias("floor"), F.count("*").alias("n"))
+    """Each label's ten best by cosine keep it; the others, which an arm of ten has missed, have the arm's least."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", S.cosine_to("embedding", S.query_vector(spark, d)).alias("cosine"))
+    w = Window.partitionBy("label").orderBy(F.round("cosine", 9).desc(), "vec_id")
+    arm = e.withColumn("r", F.row_number().over(w)).where("r <= 10").select("vec_id", "label", "cosine")
+    pool = e.select("vec_id", "label").join(arm.select("vec_id", "cosine"), "vec_id", "left")
+    return S.with_floor(pool, "cosine", "label", "floored").select("vec_id", F.round("floored", 6).alias("floored"))
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")

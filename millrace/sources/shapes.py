@@ -34,6 +34,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("role", F.lit("@example.com")).alias("from_email"), F.when(F.col("role") == "user", F.array(F.lit("assistant@example.com"))).otherwise(F.array(F.lit("user@example.com"))).alias("to_emails"),
         F.substring("text", 1, 40).alias("subject"), F.col("text").alias("body"), sent.alias("sent_at"), F.pmod("conv_id", F.lit(TENANTS)).alias("tenant"),
         F.array_compact(F.array(F.lit("INBOX"), F.when(F.col("turn") % 2 == 0, "UNREAD"), F.when(F.col("conv_id") % 5 == 0, "Starred"))).alias("labels"), (F.length("text") % 4 == 0).alias("has_attachments"),
+        F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("system@example.com"))).otherwise(F.array().cast("array<string>")).alias("cc_emails"),
     )
 
 
@@ -55,4 +56,5 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         F.lit("drive").alias("connector"), F.col("doc_id").alias("file_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("content"), F.concat(F.lit("text/"), "lang").alias("mime_type"), F.col("source").alias("folder_id"), F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("folder_path"), F.col("n_chars").alias("size_bytes"),
         F.pmod("doc_id", F.lit(TENANTS)).alias("tenant"), (F.lit(1_704_067_200_000_000) + F.pmod(F.col("doc_id") * 7919, F.lit(2_592_000)) * 1_000_000).alias("modified_us"), F.concat("source", F.lit("@example.com")).alias("owner_email"), (F.col("doc_id") % 3 == 0).alias("is_shared"),
+        F.when(F.col("doc_id") % 3 == 0, F.array(F.concat("lang", F.lit("@example.com")), F.lit("user@example.com"))).otherwise(F.array().cast("array<string>")).alias("shared_with_emails"),
     )
