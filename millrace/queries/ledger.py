@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators import rules as R
 from ..sources.scratch import scratch, stored
 from ..sources.shapes import at, calendar, table
 from ..streaming import keyed
 from .base import ORACLES, query
 
+NOW = 1_706_659_200_000_000  # 2024-01-31, after the last event
 _DOCS = "SELECT doc_id AS id, md5(text) AS hash, n_chars AS size, CASE WHEN doc_id % 2 = 0 THEN doc_id * 10 END AS vec FROM documents WHERE doc_id % 5 <> 0"
 _BATCH = "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'new' END AS hash, n_chars + 1 AS size, CASE WHEN doc_id % 7 = 0 THEN -doc_id END AS vec FROM documents WHERE doc_id % 4 = 0"
 
@@ -103,17 +105,36 @@ def m16_monotone_max(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.greatest(F.max(F.when(~p, t)), F.max(F.when(p, t))).alias("last_us"))
 
 
-@query("SELECT event_id, CASE WHEN k >= 95 THEN 'timed_out' WHEN title = 'error' AND k % 2 = 0 THEN 'cancel' WHEN title = 'purchase' THEN 'resume' ELSE 'leave' END AS action FROM calendar")
-def m17_classify(spark: SparkSession, d: str) -> DataFrame:
-    c = calendar(spark, d)
-    return c.select("event_id", F.when(F.col("k") >= 95, "timed_out").when((F.col("title") == "error") & (F.col("k") % 2 == 0), "cancel").when(F.col("title") == "purchase", "resume").otherwise("leave").alias("action"))
+_RUNS = """r AS (SELECT user_id AS run, min(epoch_us(ts)) AS began, max(epoch_us(ts)) AS last FROM events GROUP BY user_id),
+p AS (SELECT user_id AS run, event_type AS prompt, epoch_us(ts) AS asked FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('signup', 'error') AND value > 40) WHERE n = 1)"""
 
 
-@query("SELECT c.event_id, CASE WHEN p.attempts IS NULL THEN 'held' WHEN c.k >= p.attempts THEN 'abandoned' WHEN c.k * 600 < p.pause THEN 'not_yet' ELSE 'replay' END AS action FROM calendar c LEFT JOIN (VALUES ('click', 90, 6000), ('view', 50, 60000), ('error', 99, 0)) p(title, attempts, pause) ON p.title = c.title")
+@query(f"""WITH {_RUNS}, x AS (SELECT r.run, coalesce(prompt, 'none') AS prompt, ({NOW} - last) // 1000000 AS idle, (last - coalesce(asked, began)) // 1000000 AS waited FROM r LEFT JOIN p USING (run)),
+u(priority, prompt, idle_from, waited_from, action) AS (VALUES (1, NULL, 86400 * 3, NULL, 'timed_out'), (2, 'error', NULL, 86400, 'cancel'), (3, 'signup', NULL, 86400 * 10, 'cancel'), (4, 'signup', NULL, NULL, 'resume'), (5, 'none', NULL, 86400 * 20, 'resume'))
+SELECT run, coalesce((SELECT min_by(action, priority) FROM u WHERE (u.prompt IS NULL OR u.prompt = x.prompt) AND (idle_from IS NULL OR idle >= idle_from) AND (waited_from IS NULL OR waited >= waited_from)), 'leave') AS action FROM x""")
+def m17_classify(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a run with its first blocking prompt, classified by a table of rules."""
+    e = calendar(spark, d).select(F.col("calendar_id").alias("run"), "title", "starts_us", "event_id", "value")
+    runs = e.groupBy("run").agg(F.min("starts_us").alias("began"), F.max("starts_us").alias("last"))
+    asked = e.where("title IN ('signup', 'error') AND value > 40").groupBy("run").agg(F.min(F.struct("starts_us", "event_id", "title")).alias("p"))
+    seconds = lambda c: F.floor(c / 1_000_000)
+    x = runs.join(asked, "run", "left").select("run", F.coalesce("p.title", F.lit("none")).alias("prompt"), seconds(F.lit(NOW) - F.col("last")).alias("idle"), seconds(F.col("last") - F.coalesce("p.starts_us", "began")).alias("waited"))
+    day = 86_400
+    rules = [(1, None, 3 * day, None, "timed_out"), (2, "error", None, day, "cancel"), (3, "signup", None, 10 * day, "cancel"), (4, "signup", None, None, "resume"), (5, "none", None, 20 * day, "resume")]
+    table_ = spark.createDataFrame(rules, "priority int, prompt string, idle_from bigint, waited_from bigint, action string")
+    return R.decide(x, table_, ["run"], "action", "leave").select("run", "action")
+
+
+@query(f"""WITH p AS (SELECT event_type AS title, max((props::JSON ->> 'k')::INT) - 5 AS attempts, count(*) // 10 AS pause FROM events WHERE event_type <> 'view' GROUP BY event_type)
+SELECT c.event_id, CASE WHEN p.attempts IS NULL THEN 'held' WHEN c.k >= p.attempts THEN 'abandoned' WHEN c.k * 60 < p.pause THEN 'not_yet' ELSE 'replay' END AS action FROM calendar c LEFT JOIN p ON p.title = c.title""")
 def m18_sweep_policy(spark: SparkSession, d: str) -> DataFrame:
-    policy = spark.createDataFrame([("click", 90, 6000), ("view", 50, 60000), ("error", 99, 0)], "title string, attempts int, pause int")
-    c = calendar(spark, d).select("event_id", "title", "k").join(policy, "title", "left")
-    return c.select("event_id", F.when(F.col("attempts").isNull(), "held").when(F.col("k") >= F.col("attempts"), "abandoned").when(F.col("k") * 600 < F.col("pause"), "not_yet").otherwise("replay").alias("action"))
+    """Letters by the policy of their kind: attempts and pauses come from a table, kinds without one are held."""
+    c = calendar(spark, d).select("event_id", "title", "k")
+    policy = c.where("title <> 'view'").groupBy(F.col("title").alias("kind")).agg((F.max("k") - 5).alias("attempts"), F.floor(F.count("*") / 10).alias("pause"))
+    rule = lambda priority, action, low, high: F.struct(F.lit(priority).alias("priority"), F.col("kind").alias("title"), low.cast("int").alias("k_from"), high.cast("int").alias("k_upto"), F.lit(action).alias("action"))
+    none = F.lit(None)
+    rules = policy.select(F.explode(F.array(rule(1, "abandoned", F.col("attempts"), none), rule(2, "not_yet", none, F.ceil(F.col("pause") / 60)), rule(3, "replay", none, none))).alias("r")).select("r.*")
+    return R.decide(c, rules, ["event_id"], "action", "held").select("event_id", "action")
 
 
 @query("SELECT user_id, event_type, count(*) AS attempts, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events WHERE event_type = 'error' GROUP BY ALL")
@@ -139,22 +160,27 @@ def m7_set_vectors_with_their_model(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left").select("doc_id", F.coalesce("model", F.lit("none")).alias("model"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderkey % 2 = 0 THEN 'P' ELSE o_orderstatus END AS status FROM orders")
+@query("""WITH l AS (SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'P' ELSE max(l_linestatus) END AS dest FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_orderkey),
+n AS (SELECT o_orderstatus AS st, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT st FROM n WHERE n >= (SELECT max(n) FROM n))
+SELECT o_orderkey, CASE WHEN o_orderstatus IN (SELECT st FROM e) OR dest IS NULL THEN o_orderstatus ELSE dest END AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def m14_terminal_status_never_moves(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderkey") % 2 == 0, "P").otherwise(F.col("o_orderstatus")).alias("status"))
+    """Orders move to what their lines say; the status that most orders have is an end."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    lines = table(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    moves = lines.agg(F.when(F.min("l_linestatus") < F.max("l_linestatus"), "P").otherwise(F.max("l_linestatus")).alias("to"))
+    n = o.groupBy("status").agg(F.count("*").alias("n"))
+    ends = n.join(n.agg(F.max("n").alias("n")), "n", "left_semi")
+    return R.guarded(o, moves, ["o_orderkey"], ends)
 
 
-@query("SELECT c_nationkey AS tenant, count(*) AS gone, sum(CASE WHEN c_nationkey IN (3, 7) THEN 0 ELSE 1 END) AS stays FROM customer GROUP BY c_nationkey")
+@query("""WITH g AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
+SELECT n_nationkey AS tenant, coalesce(n, 0) AS gone, 0 AS stays FROM g LEFT JOIN c ON c_nationkey = n_nationkey UNION ALL SELECT c_nationkey, 0, n FROM c WHERE c_nationkey NOT IN (SELECT n_nationkey FROM g)""")
 def m6_purge_with_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count("*").alias("gone"))
-    return n.withColumn("stays", F.when(F.col("tenant").isin(3, 7), 0).otherwise(F.col("gone")))
-
-
-def _kept_vector() -> dict[str, Column]:
-    """With an unchanged hash a missing vector is kept, else it falls."""
-    same = F.when(F.col("hash").eqNullSafe(F.col("s_hash")), F.coalesce("s_vec", "vec")).otherwise(F.col("s_vec"))
-    return {"hash": F.col("s_hash"), "size": F.col("s_size"), "vec": same}
+    """Customers of one region's nations go; what each tenant had, and what the others keep."""
+    gone = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("tenant"))
+    kept, counts = R.purge(table(spark, d, "customer").select(F.col("c_nationkey").alias("tenant"), "c_custkey"), "tenant", gone)
+    stays = kept.groupBy("tenant").agg(F.lit(0).cast("bigint").alias("gone"), F.count("*").alias("stays"))
+    return counts.select("tenant", F.col("n").alias("gone"), F.lit(0).cast("bigint").alias("stays")).unionAll(stays)
 
 
 @query(ORACLES["m1_upsert"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from ..operators import rules as R
 from ..operators import search as S
 from ..sources.shapes import calendar, messages, micros, table
 from .base import query
@@ -148,11 +149,14 @@ def c41_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("message_id", F.md5(F.concat_ws(chr(31), "subject", "body", "from_email").cast("binary")).alias("hash"))
 
 
-@query("SELECT event_id, CASE WHEN title = 'error' AND k < 30 THEN 'auth' WHEN title = 'error' THEN 'transient' ELSE 'ok' END AS class, least(2 * power(2, k % 8), 60) AS wait FROM calendar")
+@query("""WITH r(priority, reason, status_from, status_upto, class) AS (VALUES (1, 'error', NULL, NULL, 'quota'), (2, 'refund', 50, NULL, 'auth'), (3, NULL, 10, 40, 'transient'), (4, NULL, 90, NULL, 'server'), (5, 'click', NULL, 5, 'not_found'))
+SELECT event_id, coalesce((SELECT min_by(class, priority) FROM r WHERE (r.reason IS NULL OR r.reason = title) AND (status_from IS NULL OR k >= status_from) AND (status_upto IS NULL OR k < status_upto)), 'other') AS class, least(2 * power(2, k % 8), 60) AS wait FROM calendar""")
 def c44_error_class_and_backoff(spark: SparkSession, d: str) -> DataFrame:
-    c = calendar(spark, d)
-    bad = F.col("title") == "error"
-    return c.select("event_id", F.when(bad & (F.col("k") < 30), "auth").when(bad, "transient").otherwise("ok").alias("class"), F.least(2 * F.pow(F.lit(2), F.col("k") % 8), F.lit(60.0)).alias("wait"))
+    """Classes of errors by reason first and status then, from a table of rules; the wait before the next try."""
+    c = calendar(spark, d).select("event_id", F.col("title").alias("reason"), F.col("k").alias("status"))
+    rules = [(1, "error", None, None, "quota"), (2, "refund", 50, None, "auth"), (3, None, 10, 40, "transient"), (4, None, 90, None, "server"), (5, "click", None, 5, "not_found")]
+    out = R.decide(c, spark.createDataFrame(rules, "priority int, reason string, status_from int, status_upto int, class string"), ["event_id"], "class", "other")
+    return out.select("event_id", "class", F.least(2 * F.pow(F.lit(2), F.col("status") % 8), F.lit(60.0)).alias("wait"))
 
 
 @query("SELECT p_partkey, price FROM (SELECT p_partkey, price, row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC) AS r FROM part JOIN (VALUES ('Brand', 1), ('Brand#1', 2), ('Brand#12', 3), ('Brand#3', 4)) m(prefix, price) ON starts_with(p_brand, prefix)) WHERE r = 1")
