@@ -100,6 +100,40 @@ def clean_mail(c: Column, least_before_signature: int = 40) -> Column:
     return F.regexp_replace(F.when(sign > least_before_signature, F.substring(head, F.lit(1), sign - 1)).otherwise(head), r"^\s+|\s+$", "")
 
 
+# Lines that begin a quoted thread, a signature or a footer, and marks of links that only track.
+QUOTES = (r"On .{3,120} wrote:", r"-{2,} ?Original Message.*", r"-{2,} ?Forwarded message.*", r"_{10,}", r"From: .*")
+SIGNATURES = (r"--[ \t]?", r"[ \t]*Sent from my (?:iPhone|iPad|Android|Samsung|BlackBerry|mobile).*", r"[ \t]*Get Outlook for (?:iOS|Android).*")
+FOOTERS = ("unsubscribe", "view this email in your browser", "view it in your browser", "this e-?mail was sent to", "this message was sent to", "you are receiving this", "you received this", "manage (?:your )?(?:email )?preferences", "all rights reserved", "confidential(?:ity)? notice")
+TRACKERS = (r"utm_[a-z]+=", "/track/", "/o/", "/wf/click", r"list-manage\.com", r"sendgrid\.net", "mailchimp")
+
+
+def tidy_lines(c: Column) -> Column:
+    """Line ends as \\n, no zero-width spaces and soft hyphens, no blanks before a line end, at most one empty line, none at the ends."""
+    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[\u200B\u00AD]", "")
+    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def before_line(c: Column, patterns: tuple[str, ...], least: Column | None = None) -> Column:
+    """The text before the first whole line that one of the patterns describes, if at least ``least`` characters stand before it."""
+    at = F.regexp_instr(c, F.lit(rf"(?im)^(?:{'|'.join(patterns)})$"))
+    goes = at > 0
+    return F.when(goes if least is None else goes & (at - 1 >= least), F.substring(c, F.lit(1), at - 1)).otherwise(c)
+
+
+def ingested_mail(c: Column, most: int = 40_000) -> Column:
+    """What somebody wrote in a mail: no quoted thread, signature, footer or tracking links.
+
+    A footer is one only behind 80 characters and 55 percent of the text. Beyond ``most`` characters the text ends with the last whole word.
+    """
+    c = tidy_lines(F.coalesce(c, F.lit("")))
+    c = F.regexp_replace(before_line(c, QUOTES), r"(?m)^[ \t]*>.*(?:\n|\z)", "")
+    c = before_line(c, SIGNATURES)
+    c = before_line(c, tuple(rf".{{0,120}}\b{x}\b.{{0,200}}" for x in FOOTERS), F.greatest(F.lit(80), F.floor(F.length(c) * 0.55)))
+    c = tidy_lines(F.regexp_replace(c, rf"(?i)https?://\S*?(?:{'|'.join(TRACKERS)})\S*", ""))
+    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, F.lit(1), F.lit(most)), r" [^ ]*\z", ""), F.lit(" ..."))).otherwise(c)
+
+
 def file_words(name: Column) -> Column:
     """Words of a file name: no extension, camel case and punctuation taken apart."""
     stem = F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", "")

@@ -52,6 +52,32 @@ def c5_clean_mail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_mail(F.concat("text", tail)).cast("binary")).alias("cleaned"))
 
 
+_MAIL = r"""text || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'On Monday 3 May, Kim Doe wrote:' || chr(10) || '> old' WHEN 1 THEN '-- ' || chr(10) || 'Kim' WHEN 2 THEN 'Click to unsubscribe from ' || source WHEN 3 THEN '> quoted' || chr(10) || 'see https://x.example.com/track/' || doc_id || ' now' ELSE 'Sent from my iPhone' END"""
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_TIDY = _TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[\x{{200B}}\x{{00AD}}]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_FOOT = tuple(rf".{{0,120}}\b{x}\b.{{0,200}}" for x in T.FOOTERS)
+
+
+def _before(c: str, patterns: tuple[str, ...], least: str = "0") -> str:
+    at = f"strpos({c}, nullif(regexp_extract({c}, '(?im)^(?:{'|'.join(patterns)})$'), ''))"
+    return f"CASE WHEN {at} > 0 AND {at} - 1 >= {least} THEN substr({c}, 1, {at} - 1) ELSE {c} END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_TIDY.format(_MAIL)} AS a FROM documents),
+b AS (SELECT doc_id, regexp_replace({_before("a", T.QUOTES)}, '(?m)^[ \t]*>.*(?:\n|\z)', '', 'g') AS b FROM t),
+c AS (SELECT doc_id, {_before("b", T.SIGNATURES)} AS c FROM b),
+d AS (SELECT doc_id, {_before("c", _FOOT, 'greatest(80, floor(length(c) * 0.55))')} AS d FROM c),
+e AS (SELECT doc_id, {_TIDY.format(f"regexp_replace(d, '(?i)https?://[^[:space:]]*?(?:{'|'.join(T.TRACKERS)})[^[:space:]]*', '', 'g')")} AS e FROM d)
+SELECT doc_id, md5(CASE WHEN length(e) > 40000 THEN regexp_replace(substr(e, 1, 40000), ' [^ ]*\z', '') || ' ...' ELSE e END) AS cleaned FROM e""")
+def c6_ingested_mail(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as mails with a quoted thread, a signature, a footer, a tracking link or a phone's line, without all that."""
+    tail = F.expr(r"CASE doc_id % 5 WHEN 0 THEN 'On Monday 3 May, Kim Doe wrote:\n> old' WHEN 1 THEN '-- \nKim' WHEN 2 THEN concat('Click to unsubscribe from ', source) WHEN 3 THEN concat('> quoted\nsee https://x.example.com/track/', doc_id, ' now') ELSE 'Sent from my iPhone' END")
+    mail = F.concat("text", F.lit("\n"), tail)
+    return table(spark, d, "documents").select("doc_id", F.md5(T.ingested_mail(mail).cast("binary")).alias("cleaned"))
+
+
 @query()
 def c7_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = T.chunks(table(spark, d, "documents"), "doc_id", "text")

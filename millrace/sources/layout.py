@@ -1,4 +1,4 @@
-"""Physical layouts: tables dealt by tenant and sorted by time, derived columns, inverted postings, an approximate prefilter."""
+"""Physical layouts: tables dealt by tenant and sorted by time, derived columns, inverted postings."""
 
 from __future__ import annotations
 
@@ -43,18 +43,3 @@ def lookup(lists: DataFrame, terms: list[str], key: str) -> DataFrame:
     """Keys that hold all terms with their scores, from the terms' lists alone."""
     own = lists.where(F.col("term").isin(terms))
     return own.groupBy(key).agg(F.count("*").alias("terms"), (F.sum("n") / (1 + F.log(F.first("size").cast("double")))).alias("score")).where(F.col("terms") == len(set(terms))).select(key, "score")
-
-
-def near_candidates(df: DataFrame, query: list[float], key: str, vector: str, fit_rows: int = 20_000, tables: int = 6, width: float = 0.7) -> DataFrame:
-    """Keys that share a random-projection bucket with the query: an opt-in prefilter, fitted on at most ``fit_rows`` rows."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.linalg import Vectors
-
-    rows = df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=11).fit(rows.limit(fit_rows))
-    wanted = model.transform(df.sparkSession.createDataFrame([(Vectors.dense(query),)], ["v"])).first()["h"]
-    hit = F.lit(False)
-    for i, h in enumerate(wanted):
-        hit = hit | (vector_to_array(F.col("h")[i])[0] == float(h[0]))
-    return model.transform(rows).where(hit).select(key)

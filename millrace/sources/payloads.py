@@ -86,3 +86,13 @@ def alias_table(groups: dict[str, dict[str, list[str]]], spark: SparkSession) ->
     """Rows (grp, kind, value) of alias groups: tokens, domains and addresses, each in its folded form."""
     rows = [(g, kind, v.lower()) for g, kinds in groups.items() for kind, values in kinds.items() for v in values]
     return spark.createDataFrame(rows, "grp string, kind string, value string")
+
+
+def alias_files(spark: SparkSession, path: str) -> DataFrame:
+    """The alias table of a folder of JSON Lines, a group a line: (group, tokens, domains, codes).
+
+    Lines of one group are united, missing lists are empty, values stand once; lines without a name are left out.
+    """
+    rows = spark.read.schema("`group` string, tokens array<string>, domains array<string>, codes array<string>").json(path).where("`group` IS NOT NULL")
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
+    return rows.groupBy("group").agg(*[united(c) for c in ("tokens", "domains", "codes")])

@@ -42,3 +42,31 @@ def test_lines_and_aliases(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"_schema": "1"}\n{"id": 3, "q": "x"}\n')
     assert [tuple(r) for r in Y.jsonl(spark, str(tmp_path / "d.jsonl"), "id int, q string").collect()] == [(3, "x")]
     assert Y.alias_table({"sky": {"token": ["SkyAir"], "domain": ["sky.example"]}}, spark).count() == 2
+
+
+def test_alias_files_become_an_alias_table(spark, tmp_path):
+    from millrace.operators.evidence import terms_of
+    from millrace.sources.payloads import alias_files
+
+    lines = ['{"group": "blue", "tokens": ["Blue Air"], "domains": ["blueair.com"]}', '{"group": "blue", "tokens": ["BA", "Blue Air"], "codes": ["BX-\\\\d+"]}', '{"group": "red"}', '{"tokens": ["lost"]}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    table = alias_files(spark, str(tmp_path))
+    assert {r.group: (r.tokens, r.domains, r.codes) for r in table.collect()} == {"blue": (["BA", "Blue Air"], ["blueair.com"], ["BX-\\d+"]), "red": ([], [], [])}
+    assert terms_of(spark, "mail of blue air", table).aliases == ("BA", "Blue Air")
+
+
+def test_mail_at_ingest(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.text import ingested_mail
+
+    body = "Hello there,\r\nplease see the plan.  \n\n\n\nIt is long enough to stand in front of what a machine has added below it.\nReally."
+    cases = {
+        f"{body}\nOn Mon, Kim wrote:\n> x": True, f"{body}\n--\nKim": True, f"{body}\nTo unsubscribe click here\nmore": True, f"{body}\n> quoted\n": True, f"{body}\nSent from my iPhone": True,
+        f"{body} https://t.example.com/track/77": True, f"unsubscribe me\n{body}": False, f"{body}\nsent from my desk": False,
+    }
+    want = "Hello there,\nplease see the plan.\n\nIt is long enough to stand in front of what a machine has added below it.\nReally."
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", ingested_mail(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m == want for r in rows} == cases
+    odd = spark.createDataFrame([(None,), ("",), ("word " * 9000,)], "t string").select(ingested_mail(F.col("t")).alias("m")).collect()
+    assert [r.m for r in odd[:2]] == ["", ""] and len(odd[2].m) <= 40_004 and odd[2].m.endswith("word ...")

@@ -102,7 +102,3 @@ def test_layouts(spark, tmp_path):
     layout.append(df, path + "log")
     layout.append(df, path + "log")
     assert spark.read.parquet(path + "log").count() == 600
-    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    q = [float(x) for x in e.where("vec_id = 0").first().embedding]
-    keys = {r.vec_id for r in layout.near_candidates(e, q, "vec_id", "embedding").collect()}
-    assert 0 in keys and len(keys) <= e.count()
