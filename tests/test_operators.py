@@ -81,7 +81,7 @@ def test_upsert_keeps_a_vector_only_with_its_hash(spark):
 
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(T.normalise(F.lit("  Crème-Brûlée №5 "))) == "creme brulee 5"
+    assert one(T.normalise(F.lit("  Crème-Brûlée №5 "))) == "creme brulee no5"
     assert one(T.strip_html(F.lit("<p>a&amp;b<!-- x --><script>no</script> <b>c</b>"))) == "a&b c"
     assert one(T.file_words(F.lit("budgetReport_v2-final.docx"))) == "budget report v2 final"
     assert one(T.number(F.lit("1.234,56"))) == 1234.56 and one(T.number(F.lit("1,234.56"))) == 1234.56 and one(T.number(F.lit("1,234"))) == 1234
