@@ -180,3 +180,34 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeating words of every document, some of whose words go in circles by rule."""
     return periodic_runs(table(spark, sf_dir, "documents"), prepare=looped).withColumnRenamed("doc", "doc_id")
+
+
+#: crc32 by its table of 256 remainders; the program backward over four states (nothing yet, system, user, assistant), then the
+#: walk forward, an edit a step.
+ORACLES["op13_conversation_repair"] = """
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+fat AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM src, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM fat WHERE fate <> 0),
+num AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS bare, lag(role[1]) OVER o || role[1] AS pair
+  FROM dam WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role COLLATE C, text COLLATE C, copy)),
+r AS (SELECT conv_id, turn, i, n, role, text, role[1] AS x, pair, CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN bare[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f FROM num),
+b(conv_id, i, c0, c1, c2, c3) AS (SELECT DISTINCT conv_id, n + 1, 0, 10, 5, 0 FROM r UNION ALL
+  SELECT conv_id, i, least(b0, 5 + least(b2, 5 + b3)), least(b1, 5 + least(b2, 5 + b3)), least(b2, 5 + b3), least(b3, 5 + b2) FROM (
+    SELECT b.conv_id, r.i, least(2 + c0, CASE WHEN f IN (1, 2) THEN 999999999 ELSE least(1 + c2, CASE x WHEN 's' THEN c1 WHEN 'u' THEN c2 ELSE 999999999 END) + m END) AS b0,
+      least(2 + c1, CASE WHEN f IN (1, 2) THEN 999999999 ELSE c2 + m + (x <> 'u')::INT END) AS b1, least(2 + c2, CASE WHEN f IN (1, 2) THEN 999999999 ELSE c3 + m + (x <> 'a')::INT END) AS b2,
+      least(2 + c3, CASE WHEN f IN (1, 2) THEN 999999999 ELSE c2 + m + (x <> 'u')::INT END) AS b3
+    FROM b JOIN (SELECT *, CASE WHEN f = 3 THEN 5 ELSE 0 END AS m FROM r) r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)),
+p AS (SELECT b.conv_id, b.i, [b.c0, b.c1, b.c2, b.c3] AS c, [v.c0, v.c1, v.c2, v.c3] AS v, r.role, r.text, r.x, r.f, CASE WHEN r.f = 3 THEN 5 ELSE 0 END AS m FROM b LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i LEFT JOIN b v ON v.conv_id IS NOT DISTINCT FROM b.conv_id AND v.i = b.i + 1),
+w(conv_id, i, s, audit, said) AS (SELECT conv_id, 1, 0, '', []::VARCHAR[] FROM p WHERE i = 1 UNION ALL
+  SELECT conv_id, i + (e <> 'I')::INT, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND x = 's' THEN 1 ELSE t END, audit || e,
+    CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE t WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE WHEN e = 'R' THEN text ELSE '' END) END FROM (
+    SELECT w.*, p.role, p.text, p.x, CASE WHEN s = 2 THEN 3 ELSE 2 END AS t,
+      CASE WHEN v IS NOT NULL AND v[1] IS NOT NULL AND 2 + v[s + 1] = c[s + 1] THEN 'D' WHEN 5 + c[CASE WHEN s = 2 THEN 3 ELSE 2 END + 1] = c[s + 1] THEN 'I'
+        WHEN f IN (0, 3) AND (CASE x WHEN 's' THEN CASE WHEN s = 0 THEN v[2] END WHEN 'u' THEN CASE WHEN s <> 2 THEN v[3] END WHEN 'a' THEN CASE WHEN s = 2 THEN v[4] END END) + m = c[s + 1] THEN 'K' WHEN v[1] IS NOT NULL THEN 'R' END AS e
+    FROM w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i) WHERE e IS NOT NULL),
+z AS (SELECT conv_id, max_by(audit, (i, length(audit))) AS audit, max_by(said, (i, length(audit))) AS said FROM w GROUP BY conv_id),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.i = 1"""

@@ -115,13 +115,13 @@ def test_pipeline_equals_brute_force_behind_its_classifier(spark):
     assert sorted(got) == sorted(want) and len(got) > 50
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op6_mix_sources", "op7_minhash_near_dedup", "op9_line_dedup", "op10_hnsw_near_dedup"])
+@pytest.mark.parametrize("name", ["op4_warc", "op6_mix_sources", "op7_minhash_near_dedup", "op9_line_dedup", "op10_hnsw_near_dedup", "op13_conversation_repair"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     theirs = con.execute(__spark_entry__.oracle_sql()[name])
     columns = sorted(c[0] for c in theirs.description)
