@@ -176,8 +176,11 @@ def fingerprint(c: Column, namespace: str) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 19, 2)), F.substring(digest, 21, 12))
 
 
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
 def emails(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ADDRESS), F.lit(0)), F.lower))
 
 
 def urls(c: Column) -> Column:

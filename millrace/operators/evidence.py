@@ -8,13 +8,15 @@ not with texts times aliases, and no two aliases meet.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import emails, file_words, has_words, identifier, normalise, normalised
+from ..functions.text import ADDRESS, file_words, has_words, identifier, normalise, normalised
+from ..sources.scratch import stored
 
 EXACT_ID, EXACT_SENDER, EXACT_FILENAME, ALIAS_TOKEN = "EXACT_ID", "EXACT_SENDER", "EXACT_FILENAME", "ALIAS_TOKEN_IN_SUBJECT"
 LEAST_ID = 8  # an identifier that a question contains by chance is shorter
@@ -40,7 +42,7 @@ def surface_forms(aliases: DataFrame) -> DataFrame:
 
 def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """Rows (key, group, token): every form of every group that stands in the text as whole words."""
-    forms = surface_forms(aliases)
+    forms = stored(surface_forms(aliases), "forms")
     # the different numbers of words of forms, a few small numbers
     lengths = sorted(r.n for r in forms.select(F.size(F.split("token", " ")).alias("n")).distinct().collect())
     words = texts.select(F.col(key).alias("key"), F.split(normalise(F.col(text)), " ").alias("words")).where(F.array_max(F.transform("words", F.length)) > 0)
@@ -56,14 +58,16 @@ def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) ->
     return hits.groupBy("key").agg(best.alias("b")).select("key", "b.group", "b.token")
 
 
-def terms_of(spark: SparkSession, question: str, aliases: DataFrame, *, ids: tuple[str, ...] = (), filenames: tuple[str, ...] = ()) -> Terms:
+def terms_of(question: str, aliases: DataFrame, *, ids: tuple[str, ...] = (), filenames: tuple[str, ...] = ()) -> Terms:
     """What a question names, with all forms, domains and codes of the groups that it names."""
-    asked = spark.createDataFrame([(0, question)], "key int, text string")
-    named = alias_hits(asked, "key", "text", aliases).groupBy("group").agg(F.max(F.length("token")).alias("_n"))
-    own = aliases.join(F.broadcast(named), "group").select("group", "_n", "tokens", "domains", "codes").collect()  # groups that one question names
-    own.sort(key=lambda r: (-r._n, r.group))
+    words = normalised(question).split(" ")
+    said = {" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)} - {""}
+    forms = F.transform("tokens", normalise)
+    named = aliases.select("group", forms.alias("forms"), "tokens", "domains", "codes").where(F.arrays_overlap("forms", F.lit(sorted(said) or [""])))
+    longest = lambda r: max((len(x) for x in r.forms if x in said and len(x) > 1), default=0)
+    own = sorted((r for r in named.collect() if longest(r)), key=lambda r: (-longest(r), r.group))  # groups that one question names
     every = lambda c: tuple(dict.fromkeys(x for r in own for x in (r[c] or [])))
-    found = asked.select(emails(F.col("text")).alias("e"), F.lit(0).alias("z")).first().e
+    found = dict.fromkeys(x.lower() for x in re.findall(ADDRESS, question))
     return Terms(question, ids, tuple(found), every("domains"), filenames, every("tokens"), every("codes"))
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 # Weights of a title and of a body; words that English indexes leave out.
 TITLE, BODY = 1.0, 0.4
 STOP = frozenset(
@@ -207,7 +209,8 @@ def write_index(df: DataFrame, path: str, key: str, body: str, title: str | None
     """The two tables of an index below ``path``. ``config`` is english (stems, no stop words) or simple."""
     if config not in ("english", "simple"):
         raise ValueError(f"no configuration {config!r}")
-    lists = postings(df, key, title, body, STOP if config == "english" else frozenset()).withColumn("bucket", bucket_of(F.col("word"), buckets))
+    lists = stored(postings(df, key, title, body, STOP if config == "english" else frozenset()), "postings")  # ranges are sampled from it
+    lists = lists.withColumn("bucket", bucket_of(F.col("word"), buckets))
     lists.repartitionByRange("bucket", "word", "key").sortWithinPartitions("bucket", "word", "key").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
     words = df.sparkSession.read.parquet(f"{path}/postings").groupBy("word").agg(F.count("*").alias("texts"))
     words = stemmed(words, "word", "stem") if config == "english" else words.withColumn("stem", F.col("word"))

@@ -24,7 +24,7 @@ fused AS (SELECT id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT id, r FROM rv UNION
 KNOWN_SQL = """g AS (SELECT source AS grp, ['src' || regexp_replace(source, '[^0-9]', '', 'g'), 'doc ' || min(doc_id)] AS tokens, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
 qs AS (SELECT 'doc 9 txt of ' || min_by(grp, (n, grp)) || ' or ' || max_by(grp, (n, grp)) || ' example com' AS q, min_by(grp, (n, grp)) AS few, max_by(grp, (n, grp)) AS many FROM g),
 al AS (SELECT DISTINCT unnest(tokens) AS token FROM g, qs WHERE len(list_filter(tokens, lambda x: contains(' ' || q || ' ', ' ' || x || ' '))) > 0),
-xl AS (SELECT max_by(doc_id, (length(text), -doc_id)) AS id FROM documents),
+xl AS (SELECT max_by(doc_id, (n_chars, -doc_id)) AS id FROM documents),
 kn AS (SELECT doc_id AS id, (doc_id % 90)::DOUBLE AS age_days, list_filter([CASE WHEN doc_id = xl.id THEN 'EXACT_ID' END, CASE WHEN source = few THEN 'EXACT_SENDER' END,
   CASE WHEN doc_id = 9 THEN 'EXACT_FILENAME' END, CASE WHEN EXISTS (SELECT 1 FROM al WHERE contains(' doc ' || doc_id || ' txt ', ' ' || token || ' ')) THEN 'ALIAS_TOKEN_IN_SUBJECT' END], lambda x: x IS NOT NULL) AS evidence FROM documents, qs, xl)"""
 
@@ -84,8 +84,8 @@ def _terms(spark: SparkSession, d: str) -> E.Terms:
     """The sample question: a file, the address of the source with the fewest documents, the name of that with the most; and the id of the longest text."""
     groups = aliases(spark, d)
     few, many = groups.agg(F.min_by("group", F.struct("n", "group")), F.max_by("group", F.struct("n", "group"))).first()
-    longest = table(spark, d, "documents").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("id")).first().id
-    return E.terms_of(spark, f"doc_9.txt of {few}@example.com or {many} example com", groups, ids=(str(longest),))
+    longest = table(spark, d, "documents").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("id")).first().id
+    return E.terms_of(f"doc_9.txt of {few}@example.com or {many} example com", groups, ids=(str(longest),))
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:

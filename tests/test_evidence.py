@@ -36,7 +36,7 @@ def test_flags_equal_the_rule(spark, question, ids):
     from millrace.operators.evidence import flags, terms_of
 
     aliases = spark.createDataFrame([("blue", ["Blue Air", "Azul"], ["blueair.com"], [r"\bBX-\d{5}\b"]), ("red", ["Red"], ["red.com"], None)], "group string, tokens array<string>, domains array<string>, codes array<string>")
-    terms = terms_of(spark, question, aliases, ids=ids, filenames=("trip plan 2024",) if "azul" in question else ())
+    terms = terms_of(question, aliases, ids=ids, filenames=("trip plan 2024",) if "azul" in question else ())
     named = any(f" {fold(x)} " in f" {fold(question)} " for x in ("Blue Air", "Azul"))
     assert (terms.domains == ("blueair.com",)) == named
     asked, inside = fold(question), lambda x: f" {x} " in f" {fold(question)} "

@@ -52,7 +52,7 @@ def test_alias_files_become_an_alias_table(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(lines))
     table = alias_files(spark, str(tmp_path))
     assert {r.group: (r.tokens, r.domains, r.codes) for r in table.collect()} == {"blue": (["BA", "Blue Air"], ["blueair.com"], ["BX-\\d+"]), "red": ([], [], [])}
-    assert terms_of(spark, "mail of blue air", table).aliases == ("BA", "Blue Air")
+    assert terms_of("mail of blue air", table).aliases == ("BA", "Blue Air")
 
 
 def test_mail_at_ingest(spark):
