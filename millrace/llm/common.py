@@ -33,18 +33,23 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def _shuffles_go_when_written(spark: SparkSession) -> Iterator[None]:
-    """While a scratch table is written, its shuffle files are dropped as soon as the write ends."""
-    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block and are as before behind it."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
-        for k in _CLEANUP:
-            spark.conf.set(k, "true")
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _shuffles_go_when_written(spark: SparkSession):
+    """While a scratch table is written, its shuffle files are dropped as soon as the write ends."""
+    return settings(spark, dict.fromkeys(_CLEANUP, "true"))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a scratch Parquet table and read it again: lineage ends in files every executor can reach."""
     spark = df.sparkSession

@@ -8,8 +8,11 @@ full shingle sets. Further rounds look only at buckets whose members are not yet
 centre drawn for each bucket; they settle large groups cheaply. Members of buckets that are open after that are
 compared by prefixes within each bucket: with shingles in one order for all, rare ones first, two sets at the
 threshold share one of their first n - ceil(percent * n / 100) + 1 shingles, and so many must follow it in both, so
-that every remaining link is among the candidates. Pairs within one component are never made. With 40 bands of 6
-rows a pair at the threshold 0.8 shares no bucket with a chance of 5e-6.
+that every remaining link is among the candidates. Each set has a sketch beside it, the parity of its shingles in
+1,024 slots: a shingle that one of two sets lacks changes one slot at most, so that sketches which differ in more
+slots than the threshold lets shingles differ rule the pair out. The join itself compares places, sizes and sketches, and
+a pair that cannot be a link is never a row. Pairs within one component are never made. With 40 bands of 6
+rows a pair at the threshold 0.8 shares no bucket with a chance of 5e-6. Components settle in 40 rounds or the job fails.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; a null id keeps its row, is linked with nothing and has a null component; each row
@@ -27,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import slices, stored, tidy
+from .common import settings, slices, stored, tidy
 from .components import components
 
-_ATTEMPTS, _SLOTS, _WORDS = 256, 1 << 18, 8
+_ATTEMPTS, _SLOTS, _WORDS, _SKETCH = 256, 1 << 18, 8, 16
+_COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000"}  # the JVM leaves longer methods uncompiled; Spark then splits them
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -101,14 +105,24 @@ def _features(words_each: int, bands: int, rows: int, id_col: str, text_col: str
     return run
 
 
+def sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each of the sets one after another ``_SKETCH`` words of 64 bits: whether the shingles in a slot are odd in number."""
+    slots, sets = 64 * _SKETCH, len(offsets) - 1
+    with np.errstate(over="ignore"):
+        slot = (B.mix(shingles.view(np.uint64) + np.uint64(5)) >> np.uint64(32)).astype(np.int64) % slots
+    odd = np.bincount(np.repeat(np.arange(sets), np.diff(offsets)) * slots + slot, minlength=sets * slots).reshape(sets, slots) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def _sets(words_each: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch, text_col):
                 h, offsets = shingle_hashes(batch.column(text_col).slice(lo, hi - lo), words_each)
                 own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                ends = np.cumsum([0, *map(len, own)])
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, hi - lo), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))})
+                ends, v = np.cumsum([0, *map(len, own)]), np.concatenate(own)
+                words = {f"w{j}": pa.array(np.ascontiguousarray(w)) for j, w in enumerate(sketches(v, ends).T)}
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, hi - lo), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)), **words})
 
     return run
 
@@ -165,6 +179,12 @@ def _bits(key: str) -> list[Column]:
     return [F.bit_or(F.when(F.floor(place / 64) == j, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{j}") for j in range(_WORDS)]
 
 
+def _close(x: str, y: str, percent: int) -> str:
+    """Whether the sketches of two sets differ in no more slots than shingles may at the threshold."""
+    apart = " + ".join(f"bit_count(w{j}{x} ^ w{j}{y})" for j in range(_SKETCH))
+    return f"({apart}) * {100 + percent} <= {100 - percent} * (n{x} + n{y})"
+
+
 def _by_prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that hold all links between them within the buckets.
 
@@ -174,17 +194,21 @@ def _by_prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
     tally = np.zeros(_SLOTS, np.int32)
     for r in sets.mapInArrow(tidy(_tally), "slot int, k bigint").groupBy("slot").agg(F.sum("k").alias("k")).toArrow().to_batches():
         tally[np.asarray(r.column("slot"))] = np.minimum(np.asarray(r.column("k")), np.iinfo(np.int32).max)
+    own, sketch = [f"b{j}" for j in range(_WORDS)], [f"w{j}" for j in range(_SKETCH)]
     nodes = stored(open_rows.groupBy("node", "component").agg(*_bits("key")), "open")
     grams = nodes.join(sets, "node").select("node", "component", "shingles").mapInArrow(tidy(_prefixes(tally, percent)), "shingle bigint, node bigint, component bigint, n bigint, place bigint")
     grams = stored(grams, "prefixes")
     met = stored(grams.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "met")
-    own = [f"b{j}" for j in range(_WORDS)]
-    grams = stored(grams.join(met, "shingle").join(nodes.select("node", *own), "node").withColumn("left", F.col("n") - F.col("place")).drop("place"), "prefixes")
-    sides = stored(grams.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"), *[F.bit_or(b).alias(b) for b in own]), "sides")
-    side = lambda df, c, *more: df.select("shingle", F.col("component").alias(c), *more, *[F.col(x).alias(f"{x}_{c}") for x in ("n", "left", *own)])
+    known = nodes.join(sets, "node").select("node", *own, *sketch)
+    grams = stored(grams.join(met, "shingle").join(known, "node").withColumn("left", F.col("n") - F.col("place")).drop("place"), "prefixes")
+    # of a component's members at a shingle: slots that are odd in all of them, and in any
+    slots = [f(w).alias(f"{k}{w}") for w in sketch for k, f in (("all_", F.bit_and), ("any_", F.bit_or))]
+    sides = stored(grams.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("left").alias("left"), *[F.bit_or(b).alias(b) for b in own], *slots), "sides")
+    side = lambda df, c, *more: df.select("shingle", F.col("component").alias(c), *more, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in ("shingle", "component", "node")])
     fit = f"least(left_x, left_y) * {100 + percent} >= {percent} * (n_x + n_y) AND (" + " | ".join(f"(b{j}_x & b{j}_y)" for j in range(_WORDS)) + ") <> 0"
-    meeting = side(sides, "x").join(side(sides, "y"), "shingle").where(f"x < y AND {fit}").select("shingle", "x", "y")
-    pairs = meeting.join(side(grams, "x", F.col("node").alias("a")), ["shingle", "x"]).join(side(grams, "y", F.col("node").alias("b")), ["shingle", "y"]).where(fit)
+    surely = " + ".join(f"bit_count((all_{w}_x & ~any_{w}_y) | (all_{w}_y & ~any_{w}_x))" for w in sketch)
+    meeting = side(sides, "x").join(side(sides, "y"), "shingle").where(f"x < y AND {fit} AND ({surely}) * {100 + percent} <= {100 - percent} * (most_x + most_y)").select("shingle", "x", "y")
+    pairs = meeting.join(side(grams, "x", F.col("node").alias("a")), ["shingle", "x"]).join(side(grams, "y", F.col("node").alias("b")), ["shingle", "y"]).where(f"{fit} AND {_close('_x', '_y', percent)}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -207,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
 
     chosen = members.select("node").distinct()
     texts = narrow.withColumnRenamed(id_col, "node").join(chosen, "node").select("node", text_col)
-    sets = stored(texts.mapInArrow(tidy(_sets(words_each, text_col)), "node bigint, shingles array<bigint>"), "shingles")
+    sets = stored(texts.mapInArrow(tidy(_sets(words_each, text_col)), "node bigint, shingles array<bigint>, " + ", ".join(f"w{j} bigint" for j in range(_SKETCH))), "shingles")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys")), "b")
@@ -231,10 +255,13 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
         centres = stored(lively.groupBy("key").agg(first.alias("c")), "centres")
         near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
         pairs = lively.join(centres, "key").where(near & (F.col("component") != F.col("c.component")))
-        pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).where("a < b").distinct()
+        ends = F.struct("node", "n"), F.struct("c.node", "c.n")
+        pairs = pairs.select(F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi")).select(F.col("lo.node").alias("a"), F.col("lo.n").alias("na"), F.col("hi.node").alias("b"), F.col("hi.n").alias("nb")).where("a < b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "candidates")
+        of = lambda x: sets.select(F.col("node").alias(x), *[F.col(f"w{j}").alias(f"w{j}{x}") for j in range(_SKETCH)])
+        with settings(docs.sparkSession, _COMPILED):
+            pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").where(_close("a", "b", int(percent))).select("a", "b"), "candidates")
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = confirmed(pairs)
         links = found if links is None else links.unionAll(found)
@@ -243,7 +270,8 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80,
     # the first round has tried the only pair of a bucket of two
     left = unsettled(3).select("key", "node", "component")
     if not left.isEmpty():
-        pairs = stored(_by_prefixes(left, sets, int(percent)).join(tried, ["a", "b"], "left_anti"), "candidates")
+        with settings(docs.sparkSession, _COMPILED):
+            pairs = stored(_by_prefixes(left, sets, int(percent)).join(tried, ["a", "b"], "left_anti"), "candidates")
         found = confirmed(pairs)
         if not found.isEmpty():
             reached = components(links.unionAll(found)).select("node", "component")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.hnsw import near_vectors
 from millrace.llm.linededup import dedup_lines
+from millrace.llm import minhash
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.suffixdedup import remove_repeats
 
@@ -108,6 +109,34 @@ def test_links_within_large_mixed_buckets_are_found(spark):
     assert {r.doc: r.component for r in got} == roots(range(len(sets)), edges)
 
 
+def test_pairs_of_one_template_that_cannot_be_links_are_never_rows(spark, monkeypatch):
+    rng, made = random.Random(9), []
+    template, pool = [f"t{i}" for i in range(140)], [f"p{i}" for i in range(140)]
+    rows = [(i, " ".join([*template, *rng.sample(pool, 60)])) for i in range(240)]
+    plain = minhash.stored
+
+    def counted(df, label):
+        out = plain(df, label)
+        made.extend([out.count()] if label == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words_each=1).collect()
+    sets = [set(t.split()) for _, t in rows]
+    edges = [(a, b) for a in range(240) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {r.doc: r.component for r in got} == roots(range(240), edges)
+    assert len(made) == 4 and sum(made) < 240  # of 28,680 pairs
+
+
+def test_sketches_never_differ_in_more_slots_than_sets_in_shingles():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 900, 5000):
+        x = rng.integers(-(1 << 63), 1 << 63, n)
+        y = np.concatenate([x[: n - n // 5], rng.integers(-(1 << 63), 1 << 63, n // 6)])
+        one, other = minhash.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).view(np.uint8)
+        assert np.unpackbits(one ^ other).sum() <= len({*x.tolist()} ^ {*y.tolist()})
+
+
 def removed(texts, width=400):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[p : p + width] for d in data for p in range(len(d) - width + 1))
