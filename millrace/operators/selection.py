@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..sources.scratch import stored
 
@@ -93,3 +94,68 @@ def running_totals(df: DataFrame, by: str, order: list[str], size: str, out: str
     parts = parts.select("_g", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
     met = local.join(parts, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
     return met.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_local") + F.col("_before")).alias(out))
+
+
+def greedy_fit(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """The rows of ``df`` that fit when each group is filled in ``order``: what does not fit is passed over, later rows may fit.
+
+    Rows are dealt by ranges of group and order. What is left behind a part of a group is a function of what is left before it,
+    held as stretches of budgets from which the same is taken; these functions, not rows, are applied one after another for each group,
+    and then each part is filled on its own. Null sizes and sizes below 0 count as 0. Rows that tie in ``order`` stand in any order.
+    """
+    width = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
+    dealt = df.withColumn("_size", width).repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id())
+    local = stored(dealt, "dealt")
+    kind, columns = df.schema[by].dataType, df.columns
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, top = None, None, 0
+
+        def row() -> pa.RecordBatch:
+            taken = np.arange(budget + 1) - left
+            begin = np.flatnonzero(np.diff(taken, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], own), pa.array([key[1]], pa.int32()), pa.array([begin.tolist()]), pa.array([taken[begin].tolist()])], ["_g", "_p", "begin", "taken"])
+
+        for batch in batches:
+            own = batch.column(by).type
+            for g, p, n in zip(*(batch.column(c).to_pylist() for c in (by, "_part", "_size")), strict=True):
+                if (g, p) != key:
+                    if key:
+                        yield row()
+                    key, left, top = (g, p), np.arange(budget + 1), budget
+                if 0 < n <= top:
+                    left[left >= n] -= n
+                    top = int(left.max())
+        if key:
+            yield row()
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, group, left = False, None, budget
+        for batch in batches:
+            before = []
+            for g, begin, taken in zip(*(batch.column(c).to_pylist() for c in ("_g", "begin", "taken")), strict=True):
+                if not begun or g != group:
+                    begun, group, left = True, g, budget
+                before.append(left)
+                left -= taken[int(np.searchsorted(begin, left, "right")) - 1]
+            yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_p"), pa.array(before, pa.int64())], ["_g", "_p", "_left"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left = None, 0
+        for batch in batches:
+            fits = []
+            for g, p, n, before in zip(*(batch.column(c).to_pylist() for c in (by, "_part", "_size", "_left")), strict=True):
+                if (g, p) != key:
+                    key, left = (g, p), before
+                fits.append(n <= left)
+                left -= n if n <= left else 0
+            yield batch.select(columns).filter(pa.array(fits, pa.bool_()))
+
+    deal = lambda x: x.repartition(by, "_part").sortWithinPartitions(by, "_part", *order)
+    ints = ArrayType(LongType())
+    maps = StructType([StructField("_g", kind), StructField("_p", IntegerType()), StructField("begin", ints), StructField("taken", ints)])
+    parts = stored(deal(local).select(by, "_part", "_size").mapInArrow(stretches, maps), "stretches")
+    lefts = StructType([StructField("_g", kind), StructField("_p", IntegerType()), StructField("_left", LongType())])
+    parts = stored(parts.repartition("_g").sortWithinPartitions("_g", "_p").mapInArrow(chain, lefts), "lefts")
+    met = local.join(parts, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
+    return deal(met).mapInArrow(fill, df.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import search as S
-from ..operators.selection import running_totals
+from ..operators.selection import greedy_fit, running_totals
 from ..sources.scratch import stored
 from ..sources.shapes import at, calendar, messages, micros, table
 from .base import query
@@ -132,6 +132,12 @@ def t13_budgeted_packing(spark: SparkSession, d: str) -> DataFrame:
     return running_totals(docs, "source", ["n_chars", "doc_id"], "n_chars").where("upto <= 20000").select("source", "doc_id")
 
 
+@query("WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), walk AS (SELECT source, 0::BIGINT AS i, NULL::BIGINT AS doc_id, 20000::BIGINT AS room, false AS fits FROM (SELECT DISTINCT source FROM d) UNION ALL SELECT d.source, d.i, d.doc_id, CASE WHEN d.n_chars <= w.room THEN w.room - d.n_chars ELSE w.room END, d.n_chars <= w.room FROM walk w JOIN d ON d.source = w.source AND d.i = w.i + 1) SELECT source, doc_id FROM walk WHERE fits")
+def t13_greedy_packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return greedy_fit(docs, "source", ["doc_id"], "n_chars", 20000).select("source", "doc_id")
+
+
 @query("SELECT service, count(*) AS n FROM (SELECT 'mail' AS service FROM conversations UNION ALL SELECT 'calendar' FROM events UNION ALL SELECT 'drive' FROM documents) GROUP BY service")
 def u1_union_with_tag(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).groupBy(F.lit(s).alias("service")).agg(F.count("*").alias("n")) for t, s in (("conversations", "mail"), ("events", "calendar"), ("documents", "drive"))]

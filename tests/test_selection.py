@@ -44,3 +44,32 @@ def test_running_totals_cross_partitions(spark):
     got = out.collect()
     assert out.columns == [*table.columns, "upto"] and len(got) == 2000 and {r.i: r.upto for r in got} == want
     assert running_totals(table.where("false"), "g", ["i"], "n").count() == 0
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_greedy_fit_passes_over_what_does_not_fit(spark, monkeypatch, coalesced):
+    from millrace.operators import selection
+    from millrace.operators.selection import greedy_fit
+
+    made, plain = {}, selection.stored
+    monkeypatch.setattr(selection, "stored", lambda df, label: made.setdefault(label, plain(df, label)))
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([None, -2, 0, *range(1, 90)]), "x") for i in range(3000)]
+    table = spark.createDataFrame(rows, "g string, i int, n int, _other string").repartition(5)
+    room, want = defaultdict(lambda: 400), set()
+    for g, i, n, _ in rows:
+        if max(n or 0, 0) <= room[g]:
+            room[g] -= max(n or 0, 0)
+            want.add(i)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        out = greedy_fit(table, "g", ["i"], "n", 400)
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert coalesced == "true" or made["lefts"].where("_g = 'hot'").count() > 1  # the group lies in several parts
+    made.clear()
+    assert out.columns == table.columns and len(got) == len(want) and {r.i for r in got} == want
+    assert greedy_fit(table.where("false"), "g", ["i"], "n", 400).count() == 0
