@@ -207,11 +207,22 @@ def _by_prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
     side = lambda df, c, *more: df.select("shingle", F.col("component").alias(c), *more, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in ("shingle", "component", "node")])
     fit = f"least(left_x, left_y) * {100 + percent} >= {percent} * (n_x + n_y) AND (" + " | ".join(f"(b{j}_x & b{j}_y)" for j in range(_WORDS)) + ") <> 0"
     surely = " + ".join(f"bit_count((all_{w}_x & ~any_{w}_y) | (all_{w}_y & ~any_{w}_x))" for w in sketch)
-    meeting = side(sides, "x").join(side(sides, "y"), "shingle").where(f"x < y AND {fit} AND ({surely}) * {100 + percent} <= {100 - percent} * (most_x + most_y)").select("shingle", "x", "y")
-    pairs = meeting.join(side(grams, "x", F.col("node").alias("a")), ["shingle", "x"]).join(side(grams, "y", F.col("node").alias("b")), ["shingle", "y"]).where(f"{fit} AND {_close('_x', '_y', percent)}")
+    meeting = side(sides, "x").join(side(sides, "y"), "shingle").where(f"x < y AND {fit} AND ({surely}) * {100 + percent} <= {100 - percent} * (most_x + most_y)")
+    meeting = meeting.select("shingle", "x", "y", *[f"{c}_y" for c in sides.columns if c not in ("shingle", "component")])
+    pairs = _members_met(meeting, side(grams, "x", F.col("node").alias("a")), fit, percent).join(side(grams, "y", F.col("node").alias("b")), ["shingle", "y"]).where(f"{fit} AND {_close('_x', '_y', percent)}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _members_met(meeting: DataFrame, members: DataFrame, fit: str, percent: int) -> DataFrame:
+    """Members of x at a shingle, for each y met there that holds a set the member may resemble by what is known of all of y.
+
+    A large component meets many others at a shingle; the join itself leaves out its members that none of y's can be linked with.
+    """
+    surely = " + ".join(f"bit_count((w{j}_x & ~any_w{j}_y) | (all_w{j}_y & ~w{j}_x))" for j in range(_SKETCH))
+    known = [c for c in meeting.columns if c.endswith("_y")]
+    return meeting.join(members, ["shingle", "x"]).where(f"{fit} AND ({surely}) * {100 + percent} <= {100 - percent} * (n_x + most_y)").drop(*known)
+
+
 def near_duplicates(docs: DataFrame, *, words_each: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, n_shingles, component): one for each row of ``docs``, component the smallest id reachable by links.
 

@@ -128,6 +128,34 @@ def test_pairs_of_one_template_that_cannot_be_links_are_never_rows(spark, monkey
     assert len(made) == 4 and sum(made) < 240  # of 28,680 pairs
 
 
+def rows_of_joins(plan):
+    """Numbers of output rows of all joins of a plan that has run."""
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for i in range(plan.children().size()) for n in rows_of_joins(plan.children().apply(i))]
+
+
+def test_members_of_a_large_component_meet_only_what_they_may_resemble(spark, monkeypatch):
+    rng = random.Random(8)
+    first, second = ([f"{k}{i}" for i in range(200)] for k in "ab")
+    texts = [" ".join(rng.sample(base, 190) + [f"{base[0]}own{k}x{i}" for i in range(10)]) for base, n in ((first, 160), (second, 220)) for k in range(n)]
+    texts += [" ".join(rng.sample(first, 160) + rng.sample(second, 40)) for _ in range(40)]  # alone, with shingles that are rare for them and for the first group
+    made, stored = [], minhash.stored
+
+    def counted(df, label):
+        if label == "candidates":
+            with minhash.settings(spark, {"spark.sql.adaptive.enabled": "false"}):  # a join whose rows all go would leave the plan
+                df.collect()
+            made.append(max(rows_of_joins(df._jdf.queryExecution().executedPlan())))
+        return stored(df, label)
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), words_each=1).collect()
+    sets = [set(x.split()) for x in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert {r.doc: r.component for r in got} == roots(range(len(sets)), pairs)
+    assert len(made) == 4 and made[-1] < 2_000, made
+
+
 def test_sketches_never_differ_in_more_slots_than_sets_in_shingles():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60, 900, 5000):
