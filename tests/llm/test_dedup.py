@@ -1,12 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm import hnsw
 from millrace.llm.hnsw import near_vectors
 from millrace.llm.linededup import dedup_lines
 from millrace.llm import minhash
@@ -260,3 +263,22 @@ def test_small_groups_are_found_beside_a_large_one(spark):
     assert len(small) > 1000
     assert sum(got[i].n_links == want[i] for i in small) >= 0.99 * len(small)
     assert all(got[i].n_links == want[i] for i in range(2600, 3000)) and len({got[i].component for i in range(2600, 3000)}) == 1
+
+
+def test_links_of_a_large_group_are_not_held_as_pairs():
+    """A graph in parts, then queries that are all linked with all of it: memory is that of the graph and a few pairs."""
+    rng = np.random.default_rng(9)
+    n, size = 1500, 64
+    raw = (rng.normal(size=size) + rng.normal(size=(n, size)) * 0.05).astype(np.float32)
+    rows = pa.table({"node": pa.array(range(n), pa.int64()), "vector": pa.array(raw.tolist(), pa.list_(pa.float32()))})
+    graph = hnsw._build_shard((pa.scalar(size), pa.scalar(0)), rows)
+    parts = graph.num_rows
+    kinds = pa.schema([("size", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("seq", pa.int32()), ("part", pa.binary()), ("node", pa.int64()), ("vector", pa.list_(pa.float32()))])
+    head = pa.record_batch([[size] * parts, [0] * parts, [0] * parts, graph.column("seq").to_pylist(), graph.column("part").to_pylist(), [None] * parts, [None] * parts], schema=kinds)
+    asked = pa.record_batch([[size] * n, [0] * n, [0] * n, [hnsw._LAST] * n, [None] * n, range(n), raw.tolist()], schema=kinds)
+    tracemalloc.start()
+    found = sum(x.num_rows for x in hnsw._search(0.95, 48, 0.995)(iter([head, asked])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1)
+    assert most < 150e6  # two matrices of all pairs' vectors in double precision would be 2.3 GB
