@@ -227,8 +227,7 @@ def _training_rows(model, posterior, index, text_col: str):
 def fit(labelled: DataFrame, *, max_rows: int = 20_000, least_odds: float = 2.0, least_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from rows (id, text, label 0/1), at most about ``max_rows`` of them by a hash of the id."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    from pyspark.sql.functions import udf
+    from pyspark.ml.linalg import VectorUDT
 
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
@@ -272,9 +271,11 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, least_odds: float = 2.0,
     names = sorted(r["feature"] for r in strong)
     index = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
     width = len(names) + votes.shape[1] - 1
-    vector = udf(lambda at, values: Vectors.sparse(width, at, values), VectorUDT())
     training = sample.mapInArrow(tidy(_training_rows(shared, posterior, index, "text")), "label double, weight double, at array<int>, values array<double>")
-    training = stored(training.select("label", "weight", vector("at", "values").alias("features")), "training")
+    # sparse vectors as Spark keeps them in files, read back as such: a function for them would take a second Python worker beside each of the first, and all live on
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), F.col("at").alias("indices"), "values")
+    training = stored(training.select("label", "weight", sparse.alias("features")), "training")
+    training = spark.read.schema(StructType([*training.schema.fields[:2], StructField("features", VectorUDT())])).parquet(training.scratch_path)
     fitted = LogisticRegression(weightCol="weight", regParam=3e-5, maxIter=100, standardization=False).fit(training)
     c = fitted.coefficients.toArray()
     model.weights = {x: float(w) for x, w in zip(names, c[: len(names)], strict=True) if w}

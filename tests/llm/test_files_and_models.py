@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import toxicity
 from millrace.llm.media import cuts, image, samples, store_and_read
 from millrace.llm.mixing import capped_shares, cheapest_flow, mix, words
 from millrace.llm.toxicity import label_model, learn, score
@@ -146,3 +147,14 @@ def test_toxicity_learns_words_and_beginnings(spark, odd, none):
     assert score(none, learn(none, given.where("false"))).count() == 0
     lone = learn(docs, given.where("toxic = 0"))
     assert 0 <= lone.score("") < 0.5
+
+
+def test_learning_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Two Python operators in one stage would take two workers a task, which live on and count for every later stage."""
+    rows = [(i, ("you idiot " if i % 3 == 0 else "a calm ") + f"text number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    plans, stored = {}, toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), stored(df, label))[1])
+    learn(docs, labels)
+    assert plans["training"].count("MapInArrow") == 1 and "EvalPython" not in plans["training"]
