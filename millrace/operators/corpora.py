@@ -95,12 +95,18 @@ def ambiguity_card(hits: DataFrame, order: list[str]) -> DataFrame:
 
 
 def token_bags(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """Rows (key, vector): deterministic embeddings for tests, words hashed into ``size`` places, of length 1; zeros for no words."""
-    words = df.select(key, F.explode_outer(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")).alias("w"))
-    place = F.when(F.col("w") != "", F.pmod(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(size)))
+    """Rows (key, vector, texts): deterministic embeddings for tests, words hashed into ``size`` places, of length 1; zeros for no words.
+
+    Texts with the same key make one bag; ``texts`` counts them. The dotted capital I lower-cases to one letter, as in SQL.
+    """
+    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), "\u0130", "i"))
+    # a null behind the words of each text counts the texts
+    words = df.select(key, F.explode(F.array_append(F.split(plain, "[^a-z0-9]+"), F.lit(None).cast("string"))).alias("w")).where("w IS NULL OR w <> ''")
+    place = F.pmod(F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(size))
     n = words.groupBy(key, place.alias("place")).agg(F.count("*").cast("double").alias("n"))
-    bags = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "n")))).alias("m"), F.sqrt(F.sum(F.when(F.col("place").isNotNull(), F.col("n") * F.col("n")))).alias("length"))
-    return bags.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("length"), F.lit(0.0))).alias("vector"))
+    known = F.col("place").isNotNull()
+    bags = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("place", "n")))).alias("m"), F.sqrt(F.sum(F.when(known, F.col("n") * F.col("n")))).alias("length"), F.max(F.when(~known, F.col("n"))).alias("texts"))
+    return bags.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("length"), F.lit(0.0))).alias("vector"), F.col("texts").cast("bigint").alias("texts"))
 
 
 def missing_embeddings(rows: DataFrame, cache: DataFrame, model: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -45,3 +46,25 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_token_bags_of_odd_texts_equal_their_sql(spark, tmp_path):
+    """Texts without words, a dotted capital I, an id twice or missing, and a share that rounds at a tie (41 of 640)."""
+    import duckdb
+
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64
+    names = {}
+    for i in range(100_000):
+        names.setdefault(place(f"w{i}"), f"w{i}")
+        if len(names) == 64:
+            break
+    tie = [(7, 41), (1, 637), (2, 46), (3, 5), (4, 3)]  # squares add up to 640 * 640
+    assert sum(n * n for _, n in tie) == 640 * 640
+    dotted = next(w for w in (f"i{i}x" for i in range(1000)) if place(w) == 7)
+    texts = [(1, ""), (2, "!!! ?"), (3, dotted.upper().replace("I", "İ") + " a"), (4, None), (5, f"{names[7]} b"), (5, f"{names[7]} {names[63]}"), (None, names[7]), (6, "日本"), (7, " ".join(w for p, n in tie for w in [names[p]] * n))]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["c43_token_bag"](spark, str(tmp_path)).select("doc_id", "x7", "x63").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(ORACLES["c43_token_bag"]).fetchall()))
+    assert {r.doc_id: r.x7 for r in got}[7] == 0.064062
