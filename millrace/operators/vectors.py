@@ -12,6 +12,9 @@ How many lists and candidates a search needs depends on the vectors: where they
 neighbours; where they are spread evenly, no choice of lists does. Building measures it on sampled rows against all rows of
 the sample and stores the least numbers that reach ``recall``; a caller can give others.
 
+``exact_of_all`` finds the true best of a query set: vectors of a list lie within its radius around its centre, so that a list
+is passed over only where none of its vectors can come among a query's best.
+
 Null, zero, non-finite and odd-sized vectors are left out, as their cosine is undefined.
 """
 
@@ -24,18 +27,20 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .search import PLACES, cosine, cosine_to, top
 
 BOOK = 256
+PART_FLOATS, ASKED = 1 << 20, 20_000  # numbers in a part of the vectors, and queries, that one task holds at once
 
 
 @dataclass
 class Model:
     """Centres of the lists, code books of the residuals (parts x 256 x width), lists to probe, share of rows to rank
-    exactly; rows of each list and type of the keys."""
+    exactly; rows of each list, type of the keys, and the largest distance of a list's vectors from its centre."""
 
     centres: np.ndarray
     books: np.ndarray
@@ -43,6 +48,7 @@ class Model:
     share: float
     sizes: np.ndarray
     key: str = ""
+    radii: np.ndarray | None = None
 
     def residuals(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
         return (unit - self.centres[lists]).reshape(len(unit), len(self.books), -1)
@@ -71,7 +77,7 @@ class Model:
         return max(least, 2 * n, math.ceil(self.share * int(self.sizes.sum())))
 
     def table(self, spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.schema(f"key {self.key}, vector array<float>, code binary, list int").parquet(f"{path}/vectors")
+        return spark.read.schema(f"key {self.key}, vector array<float>, code binary, rest double, list int").parquet(f"{path}/vectors")
 
     def to_json(self) -> str:
         return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(self).items()})
@@ -155,16 +161,17 @@ def build(df: DataFrame, path: str, key: str, vector: str, *, lists: int | None
                 part = batch.slice(a, 4096)
                 u = _units(part.column("vector"), width)
                 own = model.lists_of(u)
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "vector": part.column("vector"), "list": pa.array(own, pa.int32()), "code": pa.array([x.tobytes() for x in model.encode(u, own)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "vector": part.column("vector"), "list": pa.array(own, pa.int32()), "code": pa.array([x.tobytes() for x in model.encode(u, own)], pa.binary()), "rest": pa.array(np.sqrt(((u - model.centres[own]) ** 2).sum(1)))})
 
     kind = dict(rows.dtypes)["key"]
-    coded = rows.mapInArrow(run, f"key {kind}, vector array<float>, list int, code binary")
+    coded = rows.mapInArrow(run, f"key {kind}, vector array<float>, list int, code binary, rest double")
     # ranges of keys split a list that very many vectors have
     dealt = coded.repartitionByRange("list", "key").sortWithinPartitions("list", "key")
-    dealt.select("key", "vector", "code", "list").write.partitionBy("list").mode("overwrite").option("parquet.page.row.count.limit", "256").parquet(f"{path}/vectors")
+    dealt.select("key", "vector", "code", "rest", "list").write.partitionBy("list").mode("overwrite").option("parquet.page.row.count.limit", "256").parquet(f"{path}/vectors")
     model.key = kind
-    for r in model.table(spark, path).groupBy("list").agg(F.count("*").alias("n")).collect():  # a row a list
-        model.sizes[r.list] = r.n
+    model.radii = np.zeros(len(model.centres))
+    for r in model.table(spark, path).groupBy("list").agg(F.count("*").alias("n"), F.max("rest").alias("rest")).collect():  # a row a list
+        model.sizes[r.list], model.radii[r.list] = r.n, r.rest
     spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     return model
 
@@ -250,3 +257,75 @@ def nearest_of_all(spark: SparkSession, path: str, queries: DataFrame, n: int =
     ranked = full.select("query", "key", cosine(F.col("vector"), F.col("q")).alias("cosine"))
     order = Window.partitionBy("query").orderBy(F.round("cosine", PLACES).desc(), "key")
     return ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+
+def _parts(sizes: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """Rows (list, first, n): the parts that a list's rows are dealt to, ``n`` from ``first`` on. Small lists share a part."""
+    out, part, held = [], 0, 0
+    for own, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            part, held = part + 1, 0
+        n = max(1, -(-size // most))
+        out.append((own, part, n))
+        held += size
+        if n > 1:
+            part, held = part + n, 0
+    return out
+
+
+def exact_of_all(spark: SparkSession, path: str, queries: DataFrame, n: int = 40) -> DataFrame:
+    """Rows (query, key, cosine): the true best ``n`` for each row (query, vector) of a query set.
+
+    Every part of the vectors meets every query and keeps its best ``n``, of equal ones the first keys. Within a part a query's
+    nearest list comes first; others are scored only if their centre and radius allow more than the query has by then.
+    """
+    model = load(spark, path)
+    width, centres, radii = model.centres.shape[1], model.centres, model.radii
+    queries = queries.select("query", F.col("vector").cast("array<float>").alias("vector")).where(_usable("vector", width))
+    parts = _parts(model.sizes, max(1, PART_FLOATS // width))
+    count, blocks = max(first + k for _, first, k in parts), 1 + queries.count() // ASKED
+    dealt = spark.createDataFrame(parts, "list int, first int, parts int")
+    rows = model.table(spark, path).select("key", "list", "vector").join(F.broadcast(dealt), "list")  # a row a list
+    rows = rows.select("key", "list", "vector", (F.col("first") + F.pmod(F.xxhash64("key"), "parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = queries.select("query", "vector", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("part"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
+
+    def best(own: pa.Table, asked: pa.Table) -> pa.Table:
+        names, keys = asked["query"].combine_chunks(), own["key"].combine_chunks()
+        if not len(names) or not len(keys):
+            return pa.table({"query": names[:0], "key": keys[:0], "cosine": pa.array([], pa.float64())})
+        sorted_at = pc.sort_indices(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[sorted_at.to_numpy()] = np.arange(len(keys))
+        order = np.argsort(own["list"].to_numpy(), kind="stable")
+        rank, x = rank[order], _units(own["vector"].combine_chunks(), width)[order]
+        lists, starts = np.unique(own["list"].to_numpy()[order], return_index=True)
+        spans = [(a, min(a + 2048, z)) for s, z in zip(starts, [*starts[1:], len(x)], strict=True) for a in range(s, z, 2048)]
+        of = np.searchsorted(starts, [a for a, _ in spans], side="right") - 1
+        every = _units(asked["vector"].combine_chunks(), width)
+        found, value, place = [], [], []
+        for q in range(0, len(every), 1024):
+            unit = every[q : q + 1024]
+            bound = unit @ centres[lists].T + radii[lists] + 1e-6
+            nearest_list = bound.argmax(1)
+            score, at, floor = np.full((len(unit), n), -np.inf), np.full((len(unit), n), len(keys)), np.full(len(unit), -np.inf)
+            for first in (True, False):
+                for (a, z), k in zip(spans, of, strict=True):
+                    who = np.flatnonzero(nearest_list == k if first else (nearest_list != k) & (bound[:, k] >= floor))
+                    dots = unit[who] @ x[a:z].T
+                    enough = dots >= floor[who, None]
+                    for i in np.flatnonzero(enough.any(1)).tolist():
+                        w, hit = who[i], np.flatnonzero(enough[i])
+                        s, r = np.concatenate([score[w], dots[i, hit]]), np.concatenate([at[w], rank[a + hit]])
+                        keep = np.lexsort((r, -np.round(s, PLACES)))[:n]
+                        score[w], at[w] = s[keep], r[keep]
+                        floor[w] = s[keep].min() - 2 * 10.0**-PLACES  # what rounds alike may still come first by its key
+            real = score > -np.inf
+            found.append(q + np.nonzero(real)[0])
+            value.append(score[real])
+            place.append(at[real])
+        return pa.table({"query": names.take(pa.array(np.concatenate(found))), "key": keys.take(sorted_at.take(pa.array(np.concatenate(place)))), "cosine": np.concatenate(value)})
+
+    kinds = f"query {dict(queries.dtypes)['query']}, key {model.key}, cosine double"
+    near = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(best, kinds)
+    order = Window.partitionBy("query").orderBy(F.round("cosine", PLACES).desc(), "key")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")

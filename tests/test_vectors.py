@@ -80,3 +80,45 @@ def test_recall_on_the_evenly_spread_vectors_of_the_tables(spark, tmp_path):
     hits = [len(set(r["keys"]) & set(exact(keys, x, x[keys == r["query"]][0], 40))) for r in got]
     assert len(hits) == len(keys) // 100 and sum(hits) / (40 * len(hits)) >= 0.95
     assert model.share <= 0.1  # rows that are read in full; of the others one byte in sixteen is read
+
+
+def test_exact_search_of_all_queries(spark, groups, monkeypatch):
+    """Groups with copies that tie across lists and parts, few vectors a part, fewer rows than are asked for."""
+    from millrace.operators import vectors as V
+
+    _, path, rows, table = groups
+    keys, asked = np.arange(len(rows)), range(0, 6000, 500)
+    queries = table.where("id % 500 = 0 AND id < 6000 OR id > 9000").selectExpr("id AS query", "e AS vector")
+    for floats in (V.PART_FLOATS, 32 * 700):
+        monkeypatch.setattr(V, "PART_FLOATS", floats)
+        got = {}
+        for r in V.exact_of_all(spark, path, queries).collect():
+            got.setdefault(r["query"], set()).add(r.key)
+            assert r.cosine == pytest.approx(rows[r.key] @ rows[r["query"]] / np.linalg.norm(rows[r.key]) / np.linalg.norm(rows[r["query"]]))
+        assert got == {q: set(exact(keys, rows, rows[q], 40)) for q in asked}
+
+
+def test_exact_search_of_copies_and_of_few_rows(spark, tmp_path, monkeypatch):
+    from millrace.operators import vectors as V
+
+    monkeypatch.setattr(V, "PART_FLOATS", 4 * 50)
+    monkeypatch.setattr(V, "ASKED", 2)
+    copies = spark.range(300).selectExpr("id", "IF(id % 3 = 0, array(1D, 0D, 0D, 0D), array(1D, CAST(id AS DOUBLE), 2D, 3D)) AS e")
+    V.build(copies, str(tmp_path / "copies"), "id", "e")
+    got = V.exact_of_all(spark, str(tmp_path / "copies"), copies.where("id % 60 = 0").selectExpr("id AS query", "e AS vector"), 10).collect()
+    assert sorted((r["query"], r.key) for r in got) == [(q, k) for q in range(0, 300, 60) for k in range(0, 30, 3)]
+    V.build(copies.limit(3), str(tmp_path / "few"), "id", "e")
+    assert V.exact_of_all(spark, str(tmp_path / "few"), copies.where("id = 0").selectExpr("id AS query", "e AS vector")).count() == 3
+    V.build(copies.where("false"), str(tmp_path / "none"), "id", "e")
+    assert V.exact_of_all(spark, str(tmp_path / "none"), copies.selectExpr("id AS query", "array(1.0) AS vector")).count() == 0
+
+
+def test_query_equals_its_sql_where_vectors_are_evenly_spread(spark):
+    import duckdb
+
+    from millrace.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    got = sorted(map(tuple, QUERIES["t1_nearest_by_index"](spark, "/root/testdata/sf0.1").collect()))
+    assert got == sorted(con.execute(ORACLES["t1_nearest_by_index"]).fetchall()) and len(got) == 800
