@@ -40,22 +40,29 @@ def surface_forms(aliases: DataFrame) -> DataFrame:
     return aliases.select("group", F.explode("tokens").alias("t")).select("group", normalise(F.col("t")).alias("token")).where(F.length("token") > 1).distinct()
 
 
-def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """Rows (key, group, token): every form of every group that stands in the text as whole words."""
-    forms = stored(surface_forms(aliases), "forms")
+def _sequences(texts: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
+    """Rows (key, token): the word sequences of a text of those lengths that forms have, each once."""
     # the different numbers of words of forms, a few small numbers
     lengths = sorted(r.n for r in forms.select(F.size(F.split("token", " ")).alias("n")).distinct().collect())
     words = texts.select(F.col(key).alias("key"), F.split(normalise(F.col(text)), " ").alias("words")).where(F.array_max(F.transform("words", F.length)) > 0)
     sequences = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (n - 1))), lambda i: F.array_join(F.slice("words", i, n), " "))
     every = F.array_distinct(F.flatten(F.array(*[F.when(F.size("words") >= n, sequences(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    return words.select("key", F.explode(every).alias("token")).join(forms, "token").select("key", "group", "token")
+    return words.select("key", F.explode(every).alias("token"))
+
+
+def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """Rows (key, group, token): every form of every group that stands in the text as whole words."""
+    forms = stored(surface_forms(aliases), "forms")
+    return _sequences(texts, key, text, forms).join(forms, "token").select("key", "group", "token")
 
 
 def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """Rows (key, group): the group of the longest form in the text; of equally long ones the first in order."""
-    hits = alias_hits(texts, key, text, aliases)
-    best = F.min_by(F.struct("group", "token"), F.struct((-F.length("token")).alias("n"), "token", "group"))
-    return hits.groupBy("key").agg(best.alias("b")).select("key", "b.group", "b.token")
+    """Rows (key, group, token): the longest form in the text with its group; of equally long ones the first in order."""
+    # of the groups that share a form only the first can be it; ids ascend in the order of choice, so that a text keeps one number
+    first = surface_forms(aliases).groupBy("token").agg(F.min("group").alias("group"))
+    forms = stored(first.orderBy(F.length("token").desc(), "token").withColumn("id", F.monotonically_increasing_id()), "forms")
+    met = _sequences(texts, key, text, forms).join(forms.select("token", "id"), "token")
+    return met.groupBy("key").agg(F.min("id").alias("id")).join(forms, "id").select("key", "group", "token")
 
 
 def terms_of(question: str, aliases: DataFrame, *, ids: tuple[str, ...] = (), filenames: tuple[str, ...] = ()) -> Terms:

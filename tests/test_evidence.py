@@ -88,3 +88,28 @@ def test_ten_thousand_aliases_meet_texts_by_word_sequences(spark):
     assert {r.key: (-len(r.token), r.token, r.group) for r in longest_alias(table, "id", "text", aliases).collect()} == best
     assert "NestedLoop" not in hits._jdf.queryExecution().toString() and "Cartesian" not in hits._jdf.queryExecution().toString()
     assert alias_hits(table, "id", "text", aliases.where("false")).count() == 0
+
+
+def most_rows(df):
+    """The most rows that any join of the finished plan has made."""
+
+    def walk(node):
+        yield node
+        name = node.nodeName()
+        inside = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        for x in [*inside, *(children.apply(i) for i in range(children.size()))]:
+            yield from walk(x)
+
+    df.collect()
+    return max(x.metrics().apply("numOutputRows").value() for x in walk(df._jdf.queryExecution().executedPlan()) if "Join" in x.nodeName())
+
+
+def test_a_form_that_many_groups_share_meets_a_text_once(spark):
+    from millrace.operators.evidence import longest_alias
+
+    aliases = spark.range(3000).selectExpr("CAST(id AS INT) AS group", "array('the', concat('own ', id)) AS tokens")
+    texts = spark.createDataFrame([(i, f"the, and own {i} of the") for i in range(40)] + [(i, "Thé end") for i in range(40, 50)], "id int, text string")
+    best = longest_alias(texts, "id", "text", aliases)
+    assert sorted(map(tuple, best.collect())) == [(i, i, f"own {i}") for i in range(40)] + [(i, 0, "the") for i in range(40, 50)]
+    assert most_rows(best) <= 100

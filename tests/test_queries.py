@@ -68,3 +68,19 @@ def test_token_bags_of_odd_texts_equal_their_sql(spark, tmp_path):
     got = QUERIES["c43_token_bag"](spark, str(tmp_path)).select("doc_id", "x7", "x63").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(ORACLES["c43_token_bag"]).fetchall()))
     assert {r.doc_id: r.x7 for r in got}[7] == 0.064062
+
+
+@pytest.mark.parametrize("name", ["r24_alias_longest", "x12_aliases_in_messages"])
+def test_aliases_from_odd_beginnings_equal_their_sql(spark, tmp_path, name):
+    """Beginnings without words for long, words that are cut where only the head is read, and shared ones."""
+    import duckdb
+
+    texts = [None, "", "..", "-" * 300 + "the of in", "x" * 197 + " of the", "the " + "y" * 400 + " end", "Thé\u0301 öf " + "é" * 250, "of" + " " * 196 + "the of", "z" * 200, "z" * 201 + " the", "the of", "in the"] * 5
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(i, 0, "user", t) for i, t in enumerate([*texts[3:12], "of the, in THE", "yes", "of the " + "x" * 197, None])]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(ORACLES[name]).fetchall()) and len(got) > 5
