@@ -12,13 +12,14 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ADDRESS, file_words, has_words, identifier, normalise, normalised
 from ..sources.scratch import stored
 
 EXACT_ID, EXACT_SENDER, EXACT_FILENAME, ALIAS_TOKEN = "EXACT_ID", "EXACT_SENDER", "EXACT_FILENAME", "ALIAS_TOKEN_IN_SUBJECT"
+WIDE, NUMBERED = 1024, 100_000  # groups whose bits are in one row, groups that one task numbers
 LEAST_ID = 8  # an identifier that a question contains by chance is shorter
 
 
@@ -56,6 +57,26 @@ def alias_hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> Dat
     return _sequences(texts, key, text, forms).join(forms, "token").select("key", "group", "token")
 
 
+def alias_counts(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """Rows (key, hits, groups): how many rows ``alias_hits`` has for a text, and of how many different groups.
+
+    A form that many groups share meets a text once: its groups are bits of numbers, a row for each ``WIDE`` groups, and those of a text are united.
+    """
+    forms = stored(surface_forms(aliases), "forms")
+    groups = forms.select("group").where("group IS NOT NULL").distinct()
+    # numbered within parts of some ``NUMBERED``
+    part = F.pmod(F.xxhash64("group"), F.lit(1 + groups.count() // NUMBERED))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("group")) - 1
+    numbered = groups.withColumn("part", part).select("group", "part", place.alias("place"))
+    word = F.expr("shiftleft(1L, place % 64)")
+    bits = [f"b{i}" for i in range(WIDE // 64)]
+    sets = forms.join(numbered, "group", "left").groupBy("token", "part", F.floor(F.col("place") / WIDE).alias("wide"))
+    sets = stored(sets.agg(F.count("*").alias("hits"), *[F.coalesce(F.bit_or(F.when(F.floor(F.col("place") % WIDE / 64) == i, word)), F.lit(0)).alias(b) for i, b in enumerate(bits)]), "sets")
+    met = _sequences(texts, key, text, forms).join(sets, "token")
+    united = met.groupBy("key", "part", "wide").agg(F.sum("hits").alias("hits"), *[F.bit_or(b).alias(b) for b in bits])
+    return united.groupBy("key").agg(F.sum("hits").alias("hits"), F.sum(reduce(lambda x, y: x + y, [F.bit_count(b) for b in bits])).cast("bigint").alias("groups"))
+
+
 def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """Rows (key, group, token): the longest form in the text with its group; of equally long ones the first in order."""
     # of the groups that share a form only the first can be it; ids ascend in the order of choice, so that a text keeps one number

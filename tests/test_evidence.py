@@ -113,3 +113,19 @@ def test_a_form_that_many_groups_share_meets_a_text_once(spark):
     best = longest_alias(texts, "id", "text", aliases)
     assert sorted(map(tuple, best.collect())) == [(i, i, f"own {i}") for i in range(40)] + [(i, 0, "the") for i in range(40, 50)]
     assert most_rows(best) <= 100
+
+
+@pytest.mark.parametrize("numbered", [100_000, 1500])
+def test_counts_of_hits_and_groups_without_a_row_for_each(spark, monkeypatch, numbered):
+    from millrace.operators import evidence as E
+
+    monkeypatch.setattr(E, "NUMBERED", numbered)
+    rng = random.Random(9)
+    forms = [(g, ["all", rng.choice(["red", "blue", "red sea", "deep blue"]), f"w{g % 700}"]) for g in range(3000)] + [(None, ["all", "grey"]), (5, ["all", "ALL", "x"])]
+    texts = [(i, " ".join(rng.choice(["all", "red", "sea", "deep", "blue", "grey", "w7", "w699", "none"]) for _ in range(rng.randint(0, 6)))) for i in range(150)] + [(900, None)]
+    aliases, table = spark.createDataFrame(forms, "group int, tokens array<string>"), spark.createDataFrame(texts, "id int, text string")
+    want = E.alias_hits(table, "id", "text", aliases).groupBy("key").agg(F.count("*"), F.count_distinct("group")).collect()
+    counts = E.alias_counts(table, "id", "text", aliases)
+    assert sorted(map(tuple, counts.select("key", "hits", "groups").collect())) == sorted(map(tuple, want))
+    assert most_rows(counts) <= 150 * 11 * 6  # sequences of a text, and rows of 1,024 groups
+    assert E.alias_counts(table, "id", "text", aliases.where("false")).count() == 0
