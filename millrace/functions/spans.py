@@ -3,12 +3,17 @@
 Rules are columns: a pattern's matches with their places, filtered by cues near them and turned into values. A rule has a
 weight, and of overlapping matches those are kept that weigh most together, so that a ticket number is no phone and a date
 within an address is no date. That choice is a pass over at most a few matches a text, in Arrow batches.
+
+Most of a text can hold no match. Addresses, dates, amounts, phones, flights and numbers have a digit or an at sign and cross
+neither line ends nor the signs < and >, which count as the ends of a text do; so they are sought in the stretches between those that have one,
+put together line by line. Links, and numbers behind cues, are sought where the text has their first signs at all.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,11 +38,20 @@ WEIGHTS = {"doc_link": 95, "drive_file": 95, "link": 90, "email": 80, "ticket":
 _SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
+#: Stretches between line ends, < and > that have a digit or an at sign; lines that have a digit.
+PIECE = r"(?<![^\n<>])[^\n<>0-9@]*+[0-9@][^\n<>]*+"
+LINE = r"(?<![^\n])[^\n0-9]*+[0-9][^\n]*+"
+_PLACES = "array<struct<start:int,end:int,text:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(c: Column, pattern: str) -> Column:
     """All matches of a pattern as structs (start, end, text), from 0: places follow from the gaps between matches."""
-    found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
+    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_PLACES).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
@@ -45,7 +59,11 @@ def located(c: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))
         return F.struct(end.alias("at"), F.coalesce(F.concat(s["out"], one), one).alias("out"))
 
-    return F.coalesce(F.aggregate(pairs, first, step)["out"], F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    def places(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(_PLACES))
+
+    return _let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), places)
 
 
 def _spans(kind: str, matches: Column, value: object = None) -> Column:
@@ -104,9 +122,9 @@ def iso_date(t: Column, year: int) -> Column:
     return F.when(clock == "", day.cast("string")).when((hour < 24) & (minute < 60), timed)
 
 
-def candidates(c: Column, codes: Mapping[str, str], year: int) -> Column:
-    """All spans that any rule finds, not yet held against each other."""
-    c = F.coalesce(c, F.lit(""))
+def candidates(cut: DataFrame, codes: Mapping[str, str], year: int) -> tuple[Column, Column]:
+    """Of condensed texts all spans that any rule finds, not yet held against each other: those with places in the text, and those with places in ``dense``."""
+    c, dense, lines = cut["c"], cut["dense"], cut["lines"]
     token = r"(?=[A-Z0-9-]*\d)[A-Z0-9][A-Z0-9-]{3,29}\b"
     after = lambda cue: _ends(located(c, rf"(?:(?iu){cue})[^\n]{{0,{CUE_CHARS}}}?\b{token}"), token)
     plain = r"\d{1,3}(?:[., ]\d{3})*(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d{1,2})?(?!\d)"
@@ -122,23 +140,30 @@ def candidates(c: Column, codes: Mapping[str, str], year: int) -> Column:
     bare = lambda t: F.regexp_replace(t, r"[.,;:!?)\]]+$", "")
     long = r"\b\d{3}[- ]?\d{10}\b"
     link = r"(?i)\bhttps?://[^\s<>\"')\]]+"
+    none = F.array().cast(_SPAN)
+    if_any = lambda sign, spans: F.when(sign, spans.cast(_SPAN)).otherwise(none)
+    cued = lambda kind, cue: if_any(lines.rlike(f"(?iu){cue}"), _spans(kind, after(cue)))
+    six = r"\b(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{6}\b"
     rules = [
-        _spans("doc_link", located(c, r"(?i)\bhttps?://docs\.google\.com/(?:document|spreadsheets|presentation|forms)/d/[\w/-]{10,}"), lambda t: F.concat(F.regexp_extract(t, r"com/(\w+)/d/", 1), F.lit(":"), F.regexp_extract(t, r"/d/(?:e/)?([\w-]+)", 1))),
-        _spans("drive_file", located(c, r"(?i)\bhttps?://drive\.google\.com/(?:file/d/|open\?id=|drive/folders/)[\w-]{10,}"), lambda t: F.regexp_extract(t, r"([\w-]+)$", 1)),
-        _spans("link", located(c, link), bare),
-        _spans("email", located(c, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b"), F.lower),
-        F.when(c.rlike(long), _spans("ticket", located(c, long), digits)).otherwise(_spans("ticket", after(TICKET))),
-        _spans("order", after(ORDER)),
-        _spans("invoice", after(INVOICE)),
-        _spans("date", located(c, DATE), lambda t: iso_date(t, year)),
-        _spans("amount", located(c, money), amount),
-        _spans("booking", _near(located(c, r"\b(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{6}\b"), located(c, rf"(?iu){BOOKING}"))),
+        if_any(cut["linked"], _spans("doc_link", located(c, r"(?i)\bhttps?://docs\.google\.com/(?:document|spreadsheets|presentation|forms)/d/[\w/-]{10,}"), lambda t: F.concat(F.regexp_extract(t, r"com/(\w+)/d/", 1), F.lit(":"), F.regexp_extract(t, r"/d/(?:e/)?([\w-]+)", 1)))),
+        if_any(cut["linked"], _spans("drive_file", located(c, r"(?i)\bhttps?://drive\.google\.com/(?:file/d/|open\?id=|drive/folders/)[\w-]{10,}"), lambda t: F.regexp_extract(t, r"([\w-]+)$", 1))),
+        if_any(cut["linked"], _spans("link", located(c, link), bare)),
+        F.when(dense.rlike(long), none).otherwise(cued("ticket", TICKET)),
+        cued("order", ORDER),
+        cued("invoice", INVOICE),
+        if_any(dense.rlike(six), _spans("booking", _near(located(c, six), located(c, rf"(?iu){BOOKING}")))),
         *[_spans("code", located(c, rf"(?i){p}"), lambda t, name=name: F.concat(F.lit(f"{name}:"), F.upper(t))) for name, p in sorted(codes.items())],
-        _spans("phone", located(c, r"(?<![\w.])\+?\d[\d ().-]{7,17}\d(?!\w)"), phone),
         _spans("route", located(c, rf"\b[A-Z]{{3}} ?(?:→|->|[—–/-]|to) ?[A-Z]{{3}}\b|\([A-Z]{{3}}\)[^()\n]{{0,{CUE_CHARS}}}\([A-Z]{{3}}\)"), route),
-        _spans("flight", located(c, r"\b[A-Z]{2} ?\d{1,4}\b"), flight),
     ]
-    return F.concat(*[r.cast(_SPAN) for r in rules])
+    inner = [
+        _spans("email", located(dense, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b"), F.lower),
+        if_any(dense.rlike(long), _spans("ticket", located(dense, long), digits)),
+        _spans("date", located(dense, DATE), lambda t: iso_date(t, year)),
+        _spans("amount", located(dense, money), amount),
+        _spans("phone", located(dense, r"(?<![\w.])\+?\d[\d ().-]{7,17}\d(?!\w)"), phone),
+        _spans("flight", located(dense, r"\b[A-Z]{2} ?\d{1,4}\b"), flight),
+    ]
+    return tuple(F.concat(*[r.cast(_SPAN) for r in own]) for own in (rules, inner))
 
 
 def heaviest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -160,15 +185,36 @@ def heaviest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str
     return out[::-1]
 
 
+def condensed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, c, linked, dense, lines, gaps, sizes): texts, whether a link may be in them, their pieces and their lines with a digit put
+    together, the characters between pieces, and those of pieces."""
+    c, pieces = F.col("c"), F.col("pieces")
+    cut = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("c")).select("key", "c", F.regexp_extract_all("c", F.lit(PIECE), F.lit(0)).alias("pieces"))
+    some = F.size(pieces) > 0
+    gaps = F.when(some, F.transform(F.split(c, PIECE, -1), F.length))
+    lines = F.when(some, F.array_join(F.regexp_extract_all(c, F.lit(LINE), F.lit(0)), "\n")).otherwise("")
+    return cut.select("key", "c", c.rlike("(?i)http").alias("linked"), F.array_join(pieces, "\n").alias("dense"), lines.alias("lines"), gaps.alias("gaps"), F.transform(pieces, F.length).alias("sizes"))
+
+
 def claimed(df: DataFrame, key: str, text: str, *, codes: Mapping[str, str] | None = None, year: int = 2024) -> DataFrame:
     """Rows (key, spans): the spans of a text in order, none of which overlap."""
     kind = dict(df.dtypes)[key]
-    found = df.select(F.col(key).alias("key"), candidates(F.col(text), codes or {}, year).alias("spans"))
+    cut = condensed(df, key, text)
+    whole, inner = candidates(cut, codes or {}, year)
+    found = cut.select("key", whole.alias("spans"), inner.alias("inner"), "gaps", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("spans")
-            chosen = [[dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in heaviest([tuple(x.values()) for x in own])] for own in column.to_pylist()]
+            column, chosen = batch.column("spans"), []
+            for own, inner, gaps, sizes in zip(column.to_pylist(), *(batch.column(x) for x in ("inner", "gaps", "sizes")), strict=True):
+                spans = [tuple(x.values()) for x in own]
+                if len(inner):
+                    starts = [0, *accumulate(n + 1 for n in sizes.as_py())]
+                    ahead = list(accumulate(n - (k > 0) for k, n in enumerate(gaps.as_py())))  # of its place among the pieces
+                    for x in inner.as_py():
+                        on = ahead[bisect_right(starts, x["start"]) - 1]
+                        spans.append((x["start"] + on, x["end"] + on, x["kind"], x["value"]))
+                chosen.append([dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in heaviest(spans)])
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "spans": pa.array(chosen, column.type)})
 
     return found.mapInArrow(run, f"key {kind}, spans {_SPAN}")

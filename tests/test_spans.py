@@ -90,3 +90,20 @@ def test_fields_and_help_desk(spark):
     x = fields(spark.createDataFrame([(1, LETTER), (2, None)], "id int, t string"), "id", "t").collect()
     by = {r.key: r.x for r in x}
     assert by[1].support == "support@air.example.com" and by[1].phone == ["+902125550102"] and by[1].route == ["IST→JFK", "IST→FCO"] and by[2].email == [] and by[2].support is None
+
+
+def test_rules_read_only_pieces_that_can_hold_a_match(spark, monkeypatch):
+    """Prose is left out, and spans are those of the whole text as one piece, across tags, lines, cues and marks."""
+    from millrace.functions import spans as S
+
+    prose = "Nothing to be found in this line of text.\n" * 400
+    row = S.condensed(spark.createDataFrame([(1, prose + LETTER + "\n" + prose)], "id int, t string"), "id", "t").first()
+    assert len(row.dense) == len(LETTER) and len(row.lines) == len(LETTER) and one(spark, prose + LETTER + "\n" + prose)[0] == one(spark, LETTER)[0]
+    rng = random.Random(3)
+    parts = [*LETTER.split(), "order", "ticket", "pnr", "\n", "<b>", "</b>", "<", ">", "12", "0", "x@", "é", "\u0308", "😀", "(IST)", "(FCO)", "ABCD-EFGH-IJKLMNOPQRSTUVWXYZABCDEFGHIJKLMN9", "\r", "zx-1"]
+    texts = spark.createDataFrame([(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30)))) for i in range(400)], "id int, t string").cache()
+    find = lambda: {r.key: r.spans for r in S.claimed(texts, "id", "t", codes={"case": r"\bzx-\d+\b"}).collect()}
+    got = find()
+    monkeypatch.setattr(S, "PIECE", "(?s).+")
+    monkeypatch.setattr(S, "LINE", "(?s).+")
+    assert got == find() and sum(map(len, got.values())) > 500
